@@ -11,31 +11,10 @@ from chronoloom.spec import PanelSpec, PanelValidationError
 # Fixed patterns: which texts count as a number or as a timestamp.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
-DAY_ISO = r"\d{4}-\d{1,2}-\d{1,2}"
-DAY_SLASH = r"\d{4}/\d{1,2}/\d{1,2}"
-DAY_US = r"\d{1,2}/\d{1,2}/\d{4}"
+DAY = r"(\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4})"
+CLOCK = r"[ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?"
 OFFSET = r"(Z|[+-]\d{2}:?\d{2})"
-
-# One entry per text layout: (day part, separator, clock part, offset part).
-LAYOUTS = tuple(
-    rf"^{day}{tail}$"
-    for day in (DAY_ISO, DAY_SLASH, DAY_US)
-    for tail in (
-        "",
-        r" \d{1,2}:\d{2}",
-        r" \d{1,2}:\d{2}:\d{2}",
-        r" \d{1,2}:\d{2}:\d{2}\.\d{1,6}",
-        r" \d{1,2}:\d{2}" + OFFSET,
-        r" \d{1,2}:\d{2}:\d{2}" + OFFSET,
-        r" \d{1,2}:\d{2}:\d{2}\.\d{1,6}" + OFFSET,
-        r"T\d{1,2}:\d{2}",
-        r"T\d{1,2}:\d{2}:\d{2}",
-        r"T\d{1,2}:\d{2}:\d{2}\.\d{1,6}",
-        r"T\d{1,2}:\d{2}" + OFFSET,
-        r"T\d{1,2}:\d{2}:\d{2}" + OFFSET,
-        r"T\d{1,2}:\d{2}:\d{2}\.\d{1,6}" + OFFSET,
-    )
-)
+TIMESTAMP = f"^{DAY}({CLOCK}{OFFSET}?)?$"
 
 
 def to_number(c: Column, dtype: T.DataType | None = None) -> Column:
@@ -57,28 +36,25 @@ def numeric(df: DataFrame, cols: list[str] | tuple[str, ...]) -> DataFrame:
 
 
 def layout_of(text: Column) -> Column:
-    """Index of the text layout a timestamp is written in, or NULL."""
+    """The shape a timestamp is written in, such as ``Y-d-d d:d:d``; NULL when unreadable."""
     trimmed = F.trim(text)
-    return F.coalesce(*[F.when(trimmed.rlike(p), F.lit(i)) for i, p in enumerate(LAYOUTS)])
+    shape = F.regexp_replace(F.regexp_replace(trimmed, r"\d{4}", "Y"), r"\d+", "d")
+    return F.when(trimmed.rlike(TIMESTAMP), shape)
 
 
 def parse_utc(text: Column) -> Column:
     """Any supported layout to UTC wall-clock time; NULL when unreadable."""
     trimmed = F.trim(text)
-    known = F.coalesce(*[trimmed.rlike(rf"^{d}([ T]|$)") for d in (DAY_ISO,)], F.lit(False))
-    slashed = F.regexp_replace(trimmed, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    iso = F.regexp_replace(slashed, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
-    iso = F.when(known, trimmed).otherwise(iso)
-    offset = F.regexp_extract(iso, r"\d{2}" + OFFSET + "$", 1)
-    naive = F.regexp_replace(iso, r"(\d{2}(?:\.\d+)?)" + OFFSET + "$", "$1")
-    sign = F.when(offset.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    dashed = F.regexp_replace(trimmed, r"^(\d{4})/(\d{1,2})/", "$1-$2-")
+    dashed = F.regexp_replace(dashed, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
+    iso = F.when(trimmed.contains("/"), dashed).otherwise(trimmed)
+    offset = F.regexp_extract(iso, r":\d{2}(?:\.\d+)?" + OFFSET + "$", 1)
+    naive = F.substring(iso, F.lit(1), F.length(iso) - F.length(offset))
     digits = F.regexp_replace(offset, r"[^0-9]", "")
-    minutes = F.when(
-        F.length(digits) == 4,
-        sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")),
-    ).otherwise(F.lit(0))
-    wall = F.when(layout_of(trimmed).isNotNull(), naive.try_cast("timestamp_ntz"))
-    return F.timestamp_add("MINUTE", -minutes, wall)
+    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
+    signed = F.when(offset.startswith("-"), -minutes).otherwise(minutes)
+    wall = F.when(trimmed.rlike(TIMESTAMP), naive.try_cast("timestamp_ntz"))
+    return F.when(F.length(digits) == 4, F.timestamp_add("MINUTE", -signed, wall)).otherwise(wall)
 
 
 def _as_utc(c: Column, dtype: T.DataType) -> Column:
@@ -101,7 +77,7 @@ def parse_time_strict(df: DataFrame, spec: PanelSpec, order: str | None = None)
     """The first value of a series fixes its layout; values in another layout become NULL.
 
     ``order`` names the column that tells which row came first.  Without it the
-    layout most rows of the series use is taken, the lower index on a tie.
+    layout most rows of the series use is taken, the first by name on a tie.
     """
     dtype = df.schema[spec.time].dataType
     if not isinstance(dtype, T.StringType):
@@ -116,7 +92,7 @@ def parse_time_strict(df: DataFrame, spec: PanelSpec, order: str | None = None)
             .groupBy(spec.key, "_layout")
             .agg(F.count("*").alias("_n"))
             .groupBy(spec.key)
-            .agg(F.max_by("_layout", F.struct(F.col("_n"), -F.col("_layout"))).alias("_chosen"))
+            .agg(F.min_by("_layout", F.struct(-F.col("_n"), F.col("_layout"))).alias("_chosen"))
         )
     return (
         marked.join(chosen, spec.key, "left")

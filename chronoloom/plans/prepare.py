@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import calendar, clock, coerce
 from chronoloom.operators import combine, fill, scale, schema, validate, windows
+from chronoloom.session import durable
 from chronoloom.spec import PanelSpec
 
 
@@ -46,13 +47,14 @@ def prepare_upload(
     cutoffs: DataFrame | None = None,
     features: tuple[str, ...] | None = None,
     order: str | None = None,
-    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
+    stage: Callable[[DataFrame], DataFrame] = durable,
 ) -> PreparedPanel:
     """Validate, cut, fill and align many uploads at once.
 
-    Rejected series end in ``failures`` and leave the other frames.  ``stage``
-    may write the parsed panel once (for example ``session.durable``), as the
-    rules and the result each read it.
+    ``cutoffs`` may name the cutoff of some series (``timestamp_ntz``, UTC); the
+    others have theirs detected.  Rejected series end in ``failures`` and leave the other frames.  ``stage``
+    writes the parsed panel, the failures and the headers once, as the rules and
+    the results each read them.
     """
     parsed = stage(read_panel(raw, spec, order))
     unread = validate.unreadable_times(parsed, spec)
@@ -63,17 +65,11 @@ def prepare_upload(
         validate.duplicate_failures(counts, spec),
         validate.cadence_failures(counts, spec),
     ]
-    if cutoffs is None:
-        found = validate.detect_cutoff(panel, spec)
-        cut_failures = validate.cutoff_failures(found, spec)
-        cuts = found.filter(F.col("cutoff_ts").isNotNull()).select(spec.key, "cutoff_ts")
-    else:
-        found = validate.explicit_cutoff(panel, cutoffs, spec)
-        cut_failures = validate.explicit_cutoff_failures(found, spec)
-        cuts = found.filter("in_data").select(spec.key, "cutoff_ts")
-    summary = validate.cut_summary(panel, cuts, spec)
+    cuts, cut_failures = _cutoffs(panel, cutoffs, spec)
+    cuts = stage(cuts)
+    summary = stage(validate.cut_summary(panel, cuts, spec))
     bad_hours = validate.bad_future_times(panel, cuts, spec)
-    failures = validate.first_failures(
+    failures = stage(validate.first_failures(
         validate.gather(
             [
                 *structural,
@@ -83,18 +79,35 @@ def prepare_upload(
             ]
         ),
         spec,
-    )
-    header = combine.without_series(summary, failures, spec.key).select(
+    ))
+    header = stage(combine.without_series(summary, failures, spec.key).select(
         spec.key,
         "cutoff_ts",
         "n_past",
         "n_future",
         "has_actuals",
         validate.available_horizons(F.col("n_future"), spec).alias("available_horizons"),
-    )
+    ))
     return _aligned(panel, header, failures, spec, features or spec.features)
 
 
+def _cutoffs(panel: DataFrame, wanted: DataFrame | None, spec: PanelSpec) -> tuple[DataFrame, DataFrame]:
+    """The cutoff of each series, as asked for or else detected, and the failures on the way."""
+    found = validate.detect_cutoff(panel, spec)
+    if wanted is None:
+        cuts = found.filter(F.col("cutoff_ts").isNotNull()).select(spec.key, "cutoff_ts")
+        return cuts, validate.cutoff_failures(found, spec)
+    checked = validate.explicit_cutoff(panel, wanted, spec)
+    automatic = combine.without_series(found, wanted, spec.key)
+    cuts = checked.filter("in_data").select(spec.key, "cutoff_ts").unionByName(
+        automatic.filter(F.col("cutoff_ts").isNotNull()).select(spec.key, "cutoff_ts")
+    )
+    failures = validate.explicit_cutoff_failures(checked, spec).unionByName(
+        validate.cutoff_failures(automatic, spec)
+    )
+    return cuts, failures
+
+
 def _aligned(
     panel: DataFrame, header: DataFrame, failures: DataFrame, spec: PanelSpec, features: tuple[str, ...]
 ) -> PreparedPanel:

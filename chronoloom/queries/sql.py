@@ -111,3 +111,24 @@ def calendar() -> list[tuple[str, str]]:
             out.append((f"{name}_{fn}", f"{fn}({turns} * pi() * {part} / {period})"))
     assert [n for n, _ in out] == list(CALENDAR)
     return out
+
+
+# Past rows up to the detected cutoff, filled; future rows after it.
+PAST = UPLOAD + "," + cutoffs("upload") + f""",
+      past AS (SELECT u.* FROM upload u JOIN cuts c ON c.series_id = u.series_id WHERE u.time <= c.cutoff_ts),
+      near AS (SELECT *, {SECONDS} AS sec, {neighbours(MEASURED, SECONDS)} FROM past),
+      filled AS (SELECT series_id, time, """ + ", ".join(f"{limited(c)} AS {c}" for c in MEASURED) + """ FROM near),
+      future AS (SELECT u.*, CAST((epoch(u.time) - epoch(c.cutoff_ts)) / 3600 AS INTEGER) AS step
+                 FROM upload u JOIN cuts c ON c.series_id = u.series_id WHERE u.time > c.cutoff_ts)"""
+
+
+def naive(horizon: int, season: int = 24) -> str:
+    """CTE ``predicted``: the last ``season`` filled rows repeated over the future."""
+    picks = ", ".join(f"p.{c} AS {c}" for c in TARGETS)
+    return PAST + f""",
+      placed AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY time DESC) AS back FROM filled),
+      enough AS (SELECT series_id FROM future GROUP BY 1 HAVING max(step) >= {horizon}),
+      predicted AS (SELECT f.series_id, f.time, f.step, {picks}, f.temperature AS temperature_used, f.wind_speed AS wind_speed_used
+        FROM future f JOIN enough e ON e.series_id = f.series_id
+        JOIN placed p ON p.series_id = f.series_id AND p.back = {season} - ((f.step - 1) % {season})
+        WHERE f.step <= {horizon})"""

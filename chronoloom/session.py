@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,18 +38,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
     if named is None:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="chronoloom-")
-    if spark.sparkContext.getCheckpointDir() is None:
+        named = current or tempfile.mkdtemp(prefix="chronoloom-")
+    if current is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back from there.
+    """Write a frame to the shared folder as parquet and read it back from there.
 
-    Used where a frame feeds many jobs (training rounds) and must outlive the
-    executors that computed it.
+    Used where several jobs read the same costly frame.  The written table
+    outlives the executors that computed it, and later readers scan only the
+    columns they need.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/chronoloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
