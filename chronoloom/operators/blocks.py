@@ -83,7 +83,7 @@ def with_halo(df: DataFrame, step: Column, size: int, before: int, after: int =
     """
     if max(before, after) > size:
         raise ValueError("A halo may not be longer than a block.")
-    home = F.floor(step / F.lit(size)).cast("bigint")
+    home = clock.floor_div(step, size)
     inner = step - home * size
     no_block = F.lit(None).cast("bigint")
     copies = F.array_compact(
@@ -115,7 +115,7 @@ def spine(bounds: DataFrame, spec: PanelSpec, first: str, last: str) -> DataFram
         spec.key,
         lo.alias("_lo"),
         hi.alias("_hi"),
-        F.explode(F.sequence(F.floor(lo / long).cast("bigint"), F.floor(hi / long).cast("bigint"))).alias(BLOCK),
+        F.explode(F.sequence(clock.floor_div(lo, long), clock.floor_div(hi, long))).alias(BLOCK),
     )
     start = F.greatest(F.col("_lo"), F.col(BLOCK) * long)
     end = F.least(F.col("_hi"), F.col(BLOCK) * long + (long - 1))

@@ -144,7 +144,7 @@ def sliding_windows(
     if strict_time:
         span = spec.cadence_seconds * (size_w + ahead)
         built = built.filter(
-            F.timestamp_diff("SECOND", F.col("_start"), F.col("_target_time")) == span
+            clock.epoch_seconds(F.col("_target_time")) - clock.epoch_seconds(F.col("_start")) == span
         )
     return built.select(*keys, F.col("_target_time").alias(spec.time), "window", "y")
 

@@ -11,6 +11,7 @@ from chronoloom.plans import prepare
 from chronoloom.queries import panels as P
 from chronoloom.queries import sql as S
 from chronoloom.queries.registry import query
+from chronoloom.session import durable
 
 
 def _raw_hours(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +51,8 @@ def cadence_gaps(spark: SparkSession, sf: str) -> DataFrame:
     FROM cuts c"""
 )
 def detect_cutoff(spark: SparkSession, sf: str) -> DataFrame:
-    return validate.detect_cutoff(prepare.read_panel(P.upload_text(spark, sf), P.WIDE), P.WIDE)
+    panel = durable(prepare.read_panel(P.upload_text(spark, sf), P.WIDE))
+    return validate.detect_cutoff(panel, P.WIDE)
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +107,7 @@ BROKEN = S.UPLOAD + """,
     FROM bad GROUP BY 1"""
 )
 def future_drivers_check(spark: SparkSession, sf: str) -> DataFrame:
-    panel = prepare.read_panel(P.broken_uploads(spark, sf), P.WIDE)
+    panel = durable(prepare.read_panel(P.broken_uploads(spark, sf), P.WIDE))
     cuts = validate.detect_cutoff(panel, P.WIDE)
     found = validate.bad_future_times(panel, cuts, P.WIDE)
     shown = F.array_join(F.transform("examples", lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")), ", ")

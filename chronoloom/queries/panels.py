@@ -86,12 +86,12 @@ def broken_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads with one defect each, by event type: gap, repeated hour, missing future driver, short."""
     panel = upload_text(spark, sf_dir)
     first = panel.groupBy("series_id").agg(F.min("time").alias("_first"), F.max("time").alias("_last"))
-    marked = panel.join(first, "series_id").withColumn(
-        "_hour",
-        clock.hours_between(F.col("_first").try_cast("timestamp_ntz"), F.col("time").try_cast("timestamp_ntz")),
-    ).withColumn(
-        "_left",
-        clock.hours_between(F.col("time").try_cast("timestamp_ntz"), F.col("_last").try_cast("timestamp_ntz")),
+
+    def hours(start: str, end: str) -> F.Column:
+        return clock.hours_between(*[F.col(c).cast("timestamp_ntz") for c in (start, end)])
+
+    marked = panel.join(first, "series_id").withColumns(
+        {"_hour": hours("_first", "time"), "_left": hours("time", "_last")}
     )
     kind = F.col("series_id")
     kept = marked.filter(~((kind == "click") & F.col("_hour").isin(20, 21, 40))).filter(
