@@ -12,6 +12,7 @@ BANDS = ("Low", "Moderate", "High")
 
 # Labels a stored setting may hold, and the one used otherwise.
 MODEL_LABELS = ("LSTM", "XGBoost")
+RETIRED_LABEL = "ARIMA"
 DEFAULT_LABEL = "LSTM"
 
 
@@ -47,3 +48,9 @@ def model_label(label: Column) -> Column:
     """A known label unchanged; old, unknown or missing ones become the default."""
     trimmed = F.trim(label)
     return F.when(trimmed.isin(*MODEL_LABELS), trimmed).otherwise(F.lit(DEFAULT_LABEL))
+
+
+def stored_label(label: Column) -> Column:
+    """A label as read back: the retired one and a missing one become the default."""
+    trimmed = F.coalesce(F.nullif(F.trim(label), F.lit("")), F.lit(DEFAULT_LABEL))
+    return F.when(trimmed == RETIRED_LABEL, F.lit(DEFAULT_LABEL)).otherwise(trimmed)

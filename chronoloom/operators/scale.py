@@ -33,9 +33,12 @@ def attach(df: DataFrame, stats: DataFrame, keys: tuple[str, ...] = ()) -> DataF
     """Put the fitted statistics next to every row.
 
     Keyed statistics are an ordinary equi-join, broadcast only when small at
-    run time.  Statistics without a key are a single row.
+    run time.  Statistics without a key are one row, read as a scalar subquery.
     """
-    return df.join(stats, list(keys)) if keys else df.crossJoin(stats)
+    if keys:
+        return df.join(stats, list(keys))
+    row = stats.select(F.struct("*").alias("row")).scalar()
+    return df.withColumn("_stats", row).select(*df.columns, "_stats.*")
 
 
 def apply_zscore(df: DataFrame, stats: DataFrame, cols, keys: tuple[str, ...] = ()) -> DataFrame:

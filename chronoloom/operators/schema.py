@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoloom.functions import coerce
 from chronoloom.spec import GEO_NAMES, PanelSpec, PanelValidationError
 
 
@@ -101,3 +102,9 @@ def suffixed(df: DataFrame, columns: list[str] | tuple[str, ...], suffix: str) -
 def calendar_months(df: DataFrame, spec: PanelSpec, *months: int) -> DataFrame:
     """Rows of the listed calendar months."""
     return df.filter(F.month(spec.time).isin(*months))
+
+
+def numeric_frame(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Key, time and the measured columns as numbers; a missing column is an error."""
+    require_columns(df, spec.required_past, "input")
+    return coerce.numeric(df, spec.measured).select(spec.key, spec.time, *spec.measured)

@@ -14,14 +14,21 @@ from chronoloom.spec import PanelSpec, PanelValidationError
 LAGGED_COMPANIONS = ("pm10", "nitrogen_dioxide", "ozone")
 
 
-def with_lags(df: DataFrame, spec: PanelSpec, lags: dict[str, tuple[str, int]]) -> DataFrame:
+def with_lags(
+    df: DataFrame, spec: PanelSpec, lags: dict[str, tuple[str, int]], regular: bool = False
+) -> DataFrame:
     """Add ``name -> (column, n)`` lags in row order; short series give NULLs.
 
-    Rows are placed by position, so gaps in time do not matter.
+    Rows are placed by position, so gaps in time do not matter.  On a
+    ``regular`` panel (every tick present) the tick number places them and the
+    counting pass is saved.
     """
     depth = max(n for _, n in lags.values())
     size = max(spec.block_rows, depth)
-    placed = blocks.with_positions(df, spec).drop(LENGTH)
+    if regular:
+        placed = df.withColumn(POSITION, clock.ticks(F.col(spec.time), spec.cadence_seconds))
+    else:
+        placed = blocks.with_positions(df, spec).drop(LENGTH)
     haloed = blocks.with_halo(placed, F.col(POSITION), size, before=depth)
     ordered = Window.partitionBy(spec.key, BLOCK).orderBy(POSITION)
     return (
@@ -31,13 +38,13 @@ def with_lags(df: DataFrame, spec: PanelSpec, lags: dict[str, tuple[str, int]])
     )
 
 
-def lag_features(df: DataFrame, spec: PanelSpec, target: str = "pm2_5") -> DataFrame:
+def lag_features(df: DataFrame, spec: PanelSpec, target: str = "pm2_5", regular: bool = False) -> DataFrame:
     """Lags 1 and 2 of the target, lag 1 of its companions, complete rows only."""
     if target not in df.columns:
         raise PanelValidationError(f"The target column is missing: {target}")
     lags = {f"{target}_lag1": (target, 1), f"{target}_lag2": (target, 2)}
     lags.update({f"{c}_lag1": (c, 1) for c in LAGGED_COMPANIONS if c in df.columns})
-    return with_lags(df, spec, lags).na.drop("any")
+    return with_lags(df, spec, lags, regular).na.drop("any")
 
 
 def time_steps(df: DataFrame, spec: PanelSpec) -> DataFrame:

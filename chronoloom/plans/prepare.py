@@ -149,11 +149,18 @@ class BatchFrames:
     scaled: DataFrame
 
 
-def batch_frames(raw: DataFrame, spec: PanelSpec, target: str = "pm2_5", test_days: int = 7) -> BatchFrames:
+def batch_frames(
+    raw: DataFrame,
+    spec: PanelSpec,
+    target: str = "pm2_5",
+    test_days: int = 7,
+    stage: Callable[[DataFrame], DataFrame] = durable,
+) -> BatchFrames:
     """Clean, lag, hold out the last days, scale to the training range."""
-    prepared = prepare_batch(raw, spec)
+    prepared = stage(prepare_batch(raw, spec))
     daily = spec.daily()
-    lagged = windows.holdout_last(windows.lag_features(prepared, daily, target), daily, test_days)
+    lagged = windows.lag_features(prepared, daily, target, regular=True)
+    lagged = windows.holdout_last(lagged, daily, test_days)
     cols = [c for c in lagged.columns if c not in (spec.key, spec.time, "split")]
     scaler = scale.fit_minmax(lagged.filter("split = 'train'"), cols, (spec.key,))
     return BatchFrames(prepared, lagged, scaler, scale.apply_minmax(lagged, scaler, cols, (spec.key,)))

@@ -59,26 +59,32 @@ class LinearModel:
 def series_state(
     panel: PreparedPanel, spec: PanelSpec, horizon: int, stats: DataFrame, stat_keys: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per series that has enough future rows.
+    """State (see :func:`gather_state`) of the series with at least ``horizon`` future rows."""
+    header = validate.check_horizon(panel.header, spec, horizon).select(spec.key, "cutoff_ts")
+    last = clock.shift(F.col("cutoff_ts"), horizon * spec.cadence_seconds)
+    ahead = panel.future.join(header, spec.key).filter(F.col(spec.time) <= last).drop("cutoff_ts")
+    state = gather_state(panel.past, ahead, spec, stats, stat_keys)
+    return state.filter(F.size("times") == horizon)
+
+
+def gather_state(
+    past: DataFrame, ahead: DataFrame, spec: PanelSpec, stats: DataFrame, stat_keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per series with a full window of past rows and some future rows.
 
-    ``history``: the last ``spec.window`` feature rows, scaled.  ``drivers``: for
-    each future step the known features, scaled.  ``used``: the drivers in
-    original units.  ``mu`` and ``sigma``: scaling of the targets.
+    ``history``: the last ``spec.window`` feature rows, scaled.  ``times`` and
+    ``drivers``: the future steps and the features known for them, scaled.
+    ``used``: the drivers in original units.  ``mu`` and ``sigma``: scaling of
+    the targets.  ``ahead`` must be bounded per series by the caller's horizon.
     """
     known = (*spec.drivers, *spec.calendar)
-    header = validate.check_horizon(panel.header, spec, horizon).select(spec.key, "cutoff_ts")
-    recent = windows.newest_rows(panel.past, spec, spec.window)
+    recent = windows.newest_rows(past, spec, spec.window)
     history = (
         scale.apply_zscore(recent, stats, spec.features, stat_keys)
         .groupBy(spec.key)
         .agg(F.array_sort(F.collect_list(F.struct(spec.time, F.array(*spec.features).alias("x")))).alias("_h"))
     )
-    last = clock.shift(F.col("cutoff_ts"), horizon * spec.cadence_seconds)
-    ahead = panel.future.join(header, spec.key).filter(F.col(spec.time) <= last)
-    raw = F.array(*spec.drivers).alias("used")
-    scaled = scale.apply_zscore(
-        ahead.withColumn("_used", raw), stats, known, stat_keys
-    )
+    scaled = scale.apply_zscore(ahead.withColumn("_used", F.array(*spec.drivers)), stats, known, stat_keys)
     future = scaled.groupBy(spec.key).agg(
         F.array_sort(
             F.collect_list(F.struct(spec.time, F.array(*known).alias("d"), F.col("_used").alias("used")))
@@ -89,13 +95,13 @@ def series_state(
         "sigma": F.array(*[F.col(f"{t}_sigma") for t in spec.targets]),
     }
     return (
-        scale.attach(header.join(history, spec.key).join(future, spec.key), stats, stat_keys)
+        scale.attach(history.join(future, spec.key), stats, stat_keys)
         .withColumns(target_scale)
-        .filter((F.size("_h") == spec.window) & (F.size("_f") == horizon))
+        .filter(F.size("_h") == spec.window)
         .select(
             spec.key,
-            "cutoff_ts",
             F.transform("_h", lambda s: s["x"]).alias("history"),
+            F.transform("_f", lambda s: s[spec.time]).alias("times"),
             F.transform("_f", lambda s: s["d"]).alias("drivers"),
             F.transform("_f", lambda s: s["used"]).alias("used"),
             "mu",
@@ -110,10 +116,10 @@ def fold_linear(state: DataFrame, spec: PanelSpec, model: LinearModel) -> DataFr
     Adds ``preds``: scaled targets per step.
     """
     width = len(spec.features)
+    if len(model.weights) != len(spec.targets) or len(model.intercepts) != len(spec.targets):
+        raise ValueError("The model needs one weight vector and intercept per target.")
     if any(len(w) != model.rows * width for w in model.weights):
         raise ValueError("The model needs one weight per row and feature.")
-    n_targets = len(spec.targets)
-
     def weighted(flat: Column, weights: tuple[float, ...], start: float) -> Column:
         terms = [flat[i] * F.lit(w) for i, w in enumerate(weights) if w != 0.0]
         total = F.lit(start)
@@ -134,7 +140,6 @@ def fold_linear(state: DataFrame, spec: PanelSpec, model: LinearModel) -> DataFr
     empty = F.array().cast("array<array<double>>")
     start = F.struct(recent.alias("rows"), empty.alias("preds"))
     folded = F.aggregate("drivers", start, step, lambda acc: acc["preds"])
-    assert n_targets == len(model.weights)
     return state.withColumn("preds", folded)
 
 
@@ -148,17 +153,18 @@ def apply_predictor(state: DataFrame, spec: PanelSpec, predictor: Predictor) ->
             if batch.empty:
                 continue
             history = _cube(batch["history"])
-            drivers = _cube(batch["drivers"])
-            steps = drivers.shape[1]
-            preds = np.empty((len(batch), steps, n_targets))
-            for i in range(steps):
+            lengths = batch["drivers"].map(len).to_numpy()
+            preds = np.empty((len(batch), lengths.max(), n_targets))
+            for i in range(lengths.max()):
                 out = np.asarray(predictor.predict(history), dtype=np.float64)
                 if out.shape != (len(batch), n_targets):
                     raise ValueError(f"The predictor returned {out.shape}, not {(len(batch), n_targets)}.")
                 preds[:, i, :] = out
-                row = np.concatenate([out, drivers[:, i, :]], axis=1)
+                # A series past its last step keeps its last drivers; those rows are cut off below.
+                known = np.stack([d[min(i, len(d) - 1)] for d in batch["drivers"]])
+                row = np.concatenate([out, known], axis=1)
                 history = np.concatenate([history[:, 1:, :], row[:, None, :]], axis=1)
-            yield batch.assign(preds=[[list(r) for r in p] for p in preds])
+            yield batch.assign(preds=[[list(r) for r in p[:n]] for p, n in zip(preds, lengths)])
 
     return state.mapInPandas(run, schema)
 
@@ -191,7 +197,7 @@ def forecast_rows(
     given, ``<target>_actual`` matched on the hour.
     """
     steps = predicted.select(
-        spec.key, "cutoff_ts", "mu", "sigma", F.posexplode(F.arrays_zip("preds", "used")).alias("_i", "_s")
+        spec.key, "mu", "sigma", F.explode(F.arrays_zip("times", "preds", "used")).alias("_s")
     )
     preds = [
         (F.col("_s.preds")[j] * F.col("sigma")[j] + F.col("mu")[j]).alias(f"{t}_pred")
@@ -200,7 +206,7 @@ def forecast_rows(
     used = [F.col("_s.used")[j].alias(f"{d}_used") for j, d in enumerate(spec.drivers)]
     out = steps.select(
         spec.key,
-        clock.shift(F.col("cutoff_ts"), (F.col("_i") + 1) * spec.cadence_seconds).alias(spec.time),
+        F.col("_s.times").alias(spec.time),
         *preds,
         *used,
         F.lit(model_name).alias("model_name"),
