@@ -176,6 +176,12 @@ class TreeEnsemble:
         return np.stack([scores[:, self.owner == k].sum(axis=1) for k in range(self.n_targets)], axis=1)
 
 
+def _with_values(df: DataFrame, spec: PanelSpec, cols: tuple[str, ...]) -> DataFrame:
+    """Series with at least one value in every column."""
+    seen = F.array(*[F.count(c) for c in cols])
+    return df.groupBy(spec.key).agg(F.array_min(seen).alias("_n")).filter("_n > 0")
+
+
 def backtest(
     history: DataFrame,
     target: DataFrame,
@@ -197,8 +203,11 @@ def backtest(
     if not filled:
         past = fill.fill_linear(past, spec, spec.measured)
         ahead = fill.fill_linear(ahead, spec, spec.drivers)
-    past = schema.complete_rows(calendar.with_calendar(past, spec))
-    ahead = schema.complete_rows(calendar.with_calendar(ahead, spec))
+    # A filled column has gaps only where a series has no value of it at all.
+    past = combine.only_series(past, _with_values(history, spec, spec.measured), spec.key)
+    ahead = combine.only_series(ahead, _with_values(target, spec, spec.drivers), spec.key)
+    past = calendar.with_calendar(past, spec)
+    ahead = calendar.with_calendar(ahead, spec)
     state = recursive.gather_state(past, ahead, spec, stats, stat_keys)
     rows = recursive.forecast_rows(recursive.apply_predictor(state, spec, model), spec, "", 0)
     preds = rows.drop("model_name", "forecast_horizon")

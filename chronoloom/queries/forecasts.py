@@ -240,7 +240,7 @@ class OldestRow:
 @query(_backtest_sql())
 def backtest_period(spark: SparkSession, sf: str) -> DataFrame:
     """The last five days of each series forecast from the days before, next to what was observed."""
-    panel = P.station_panel(spark, sf)
+    panel = durable(P.station_panel(spark, sf))
     cuts = panel.groupBy("series_id").agg(F.max("time").alias("_last")).select(
         "series_id", clock.shift(F.col("_last"), -120 * 3600).alias("cutoff_ts")
     )
