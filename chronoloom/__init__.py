@@ -1,5 +1,9 @@
 """Multi-series hourly and daily panel analytics, written as Spark DataFrame plans."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from chronoloom.spec import (
     AIR_QUALITY,
     ArtifactMissingError,
@@ -15,3 +19,6 @@ __all__ = [
     "PanelSpec",
     "PanelValidationError",
 ]
+
+# Predictors travel to the executors by value, so no executor needs this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
