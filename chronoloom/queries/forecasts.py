@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from chronoloom.plans import prepare, recursive, training
 from chronoloom.queries import panels as P
 from chronoloom.queries import sql as S
 from chronoloom.queries.registry import query
-from chronoloom.session import durable, shared_folder
+from chronoloom.session import durable, scratch_path
 from chronoloom.sources import artifacts
 
 PREDS = [f"{t}_pred" for t in S.TARGETS]
@@ -279,7 +277,7 @@ def forecast_trees(spark: SparkSession, sf: str) -> DataFrame:
     """Boosted trees on all rows, stored, loaded and rolled forward 24 hours."""
     frames = training.training_frames(_small_panel(spark, sf), SMALL, fraction=None)
     models = training.train_trees(frames, SMALL, training.TreeSettings(rounds=5, depth=3))
-    place = f"{shared_folder(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    place = scratch_path(spark, "model")
     artifacts.save(place, "trees", models, frames.stats, SMALL)
     model = artifacts.load(spark, place, SMALL)
     upload = P.upload_text(spark, sf).select("series_id", "time", *SMALL.measured)

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from chronoloom.plans import history
 from chronoloom.queries import panels as P
+from chronoloom.queries import sql as S
 from chronoloom.queries.registry import query
+from chronoloom.session import scratch_path
+from chronoloom.sources import csv
+from chronoloom.sources.history import HistoryStore
 
 MODEL = "CASE WHEN o_orderkey % 3 = 0 THEN 'XGBoost' ELSE 'LSTM' END"
 
@@ -122,3 +126,26 @@ def settings_default(spark: SparkSession, sf: str) -> DataFrame:
 )
 def settings_migrate(spark: SparkSession, sf: str) -> DataFrame:
     return history.migrated_settings(settings_writes(spark, sf))
+
+
+@query(
+    f"""WITH {RUNS} SELECT {SHOWN.replace('results, ', '')} FROM runs
+    WHERE inserted_seq % 7 <> 0 AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"""
+)
+def history_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs appended to a stored history, some deleted, users in debt removed, then read back."""
+    store = HistoryStore(spark, scratch_path(spark, "history"))
+    runs = runs_table(spark, sf)
+    store.append_runs(runs)
+    store.delete_runs(runs.filter("inserted_seq % 7 = 0"))
+    gone = P.table(spark, sf, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
+    left = history.without_users(store.runs(), gone)
+    return left.select(*[c for c in runs.columns if c != "results"])
+
+
+@query(f"SELECT series_id, time, {S.r('y', 'y')} FROM ({S.event_hours('event_type')})")
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly means written as CSV and read back as a typed panel."""
+    path = scratch_path(spark, "csv")
+    csv.write_csv(P.event_hours(spark, sf, "event_type"), path)
+    return P.settled(csv.read_panel_csv(spark, path, P.SINGLE), ["y"])

@@ -38,16 +38,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset a local session takes a temporary folder; on a cluster
+    that would not be shared, so it is an error there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named is None:
+        if current is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
         named = current or tempfile.mkdtemp(prefix="chronoloom-")
     if current is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder as parquet and read it back from there.
 
@@ -56,6 +67,6 @@ def durable(df: DataFrame) -> DataFrame:
     columns they need.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/chronoloom-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "frame")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,7 +1,8 @@
 """The stored history of forecast runs (A5-A8, A12, L, G5).
 
 Runs are append-only parquet, partitioned by a bucket of the user, so one
-user's reads touch one bucket.  A delete appends a tombstone instead of
+user's reads touch one bucket.  Writes are rebalanced: small buckets share a
+task, and the bucket of a user with very many runs is split over several.  A delete appends a tombstone instead of
 rewriting the table; reads leave tombstoned runs out, and :meth:`compact`
 writes the surviving rows to a new place.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from chronoloom.plans import history
 from chronoloom.spec import PanelValidationError
 
-BUCKETS = 256
+BUCKETS = 64
 RUN_SCHEMA = (
     "run_id string, user_id bigint, timestamp string, model_used string, results string, "
     "dataset_name string, upload_date string, avg_aqi double, risk_level string, "
@@ -95,7 +96,7 @@ class HistoryStore:
         shaped = self.spark.createDataFrame([], RUN_SCHEMA).unionByName(full, allowMissingColumns=True)
         (
             shaped.withColumn("user_bucket", bucket(F.col("user_id")))
-            .repartition("user_bucket", F.pmod(F.xxhash64("run_id"), F.lit(16)))
+            .hint("rebalance", "user_bucket")
             .write.mode("append")
             .partitionBy("user_bucket")
             .parquet(f"{self.root}/runs")
@@ -103,16 +104,15 @@ class HistoryStore:
 
     def delete_run(self, user_id: int, run_id: str) -> None:
         """Delete one run of its owner; a run of another user stays (L3)."""
-        self._bury([(user_id, run_id)])
+        self.delete_runs(self.spark.createDataFrame([(user_id, run_id)], TOMBSTONE_SCHEMA))
+
+    def delete_runs(self, pairs: DataFrame) -> None:
+        """Delete the runs listed as ``(user_id, run_id)``."""
+        pairs.select("user_id", "run_id").write.mode("append").parquet(f"{self.root}/deleted")
 
     def delete_user(self, user_id: int) -> None:
         """Delete all runs a user has now."""
-        mine = self.runs(user_id).select("user_id", "run_id")
-        mine.write.mode("append").parquet(f"{self.root}/deleted")
-
-    def _bury(self, rows: list[tuple[int, str]]) -> None:
-        stones = self.spark.createDataFrame(rows, TOMBSTONE_SCHEMA)
-        stones.write.mode("append").parquet(f"{self.root}/deleted")
+        self.delete_runs(self.runs(user_id))
 
     def put_settings(self, changes: DataFrame) -> None:
         """Upsert settings: append; the newest row of a user counts (L4)."""
@@ -126,7 +126,7 @@ class HistoryStore:
         (
             self.runs()
             .withColumn("user_bucket", bucket(F.col("user_id")))
-            .repartition("user_bucket", F.pmod(F.xxhash64("run_id"), F.lit(16)))
+            .hint("rebalance", "user_bucket")
             .write.partitionBy("user_bucket")
             .parquet(f"{new_root}/runs")
         )

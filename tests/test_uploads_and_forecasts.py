@@ -242,3 +242,14 @@ def test_batch_frames(spark):
     assert scaled["split"].value_counts().to_dict() == {"train": 23, "test": 5}
     train = scaled[scaled["split"] == "train"]
     assert train["pm2_5_lag1"].min() == 0.0 and train["pm2_5_lag1"].max() == 1.0
+
+
+def test_start_and_finite_rules(spark):
+    header = spark.sql("SELECT 'a' AS series_id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS cutoff_ts")
+    late = spark.sql("SELECT 'a' AS series_id, TIMESTAMP_NTZ '2024-01-01 02:00:00' AS time")
+    due = spark.sql("SELECT 'a' AS series_id, TIMESTAMP_NTZ '2024-01-01 01:00:00' AS time")
+    assert validate.starts_after_cutoff(late, header, SPEC).count() == 1
+    assert validate.starts_after_cutoff(due, header, SPEC).count() == 0
+    rows = [("a", 1.0), ("a", None), ("a", float("inf")), ("b", 2.0)]
+    bad = validate.non_finite(spark.createDataFrame(rows, "k string, x double"), ["x"], "k").collect()
+    assert [(r["k"], r["bad_rows"]) for r in bad] == [("a", 2)]
