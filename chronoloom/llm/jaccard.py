@@ -6,10 +6,11 @@
 2. ``candidate_sets``: the sets that are left, and under which hashes they meet.
 3. ``trie_links``: sets that meet are put into a path-compressed trie (frequent hashes first, so that near copies share
    long paths).  A probe goes down it carrying the overlap so far, which all sets below share; a subtree is left when
-   its lengths, or the hashes that remain on either side, rule t out, or when all of it is already in the probe's
-   component.  Links are a spanning forest of all links within the group: no link between components is lost.
-4. Groups whose members are still in several components are searched again under every hash they share, until each hash
-   has been looked at.  Groups too large for one task are split into blocks, and blocks are compared pairwise.
+   its lengths, or the hashes that remain on either side, rule t out, or when no set in it meets the probe or all that
+   do are already in its component.  Links are a spanning forest of the group's links: none between components is lost.
+4. Hashes whose sets are still in several components are open.  Partners share at least a known number of them, so sets
+   with fewer leave, and each other set is searched under all but that number of its open hashes, the rarest first.
+   Sets that hang together by these hashes are one group, in which only sets that share one are compared.  Groups too large for one task are split into blocks, and blocks are compared pairwise.
 
 A null or wordless text has an empty set and no link.  A row without id has no component.  Rows with one id are one
 node.  Repeated rows and equal texts are one class.  Only id and text are read.  Empty tables give empty results.
@@ -34,7 +35,9 @@ from chronoloom.session import durable
 GRAM = 5
 THRESHOLD = Fraction(4, 5)
 #: Hashes beyond the shortest prefix, as a part of the set: so many more must be shared, and sets with fewer leave early.
-MARGIN = 0.05
+MARGIN = 0.08
+#: How often sets with too few open hashes are left out; the result does not depend on it.
+FILTER_ROUNDS = 3
 #: Hashes of all sets in one block of a group; a larger group is split.
 BLOCK_HASHES = 3_000_000
 
@@ -104,106 +107,85 @@ def _owned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-class Forest:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 class Node:
-    """A stretch of hashes that all sets below share, the bounds of their sizes, and one member of them."""
+    """A stretch of hashes that all sets below share, and the bounds of their sizes."""
 
-    __slots__ = ("path", "children", "ends", "low", "high", "member", "mixed")
+    __slots__ = ("path", "depth", "parent", "children", "ends", "low", "high")
 
-    def __init__(self, path: np.ndarray, low: int, high: int, member: int) -> None:
-        self.path, self.low, self.high, self.member = path, low, high, member
+    def __init__(self, path: np.ndarray, depth: int, parent: Node | None, low: int, high: int) -> None:
+        self.path, self.depth, self.parent, self.low, self.high = path, depth, parent, low, high
         self.children: dict[int, Node] = {}
         self.ends: list[int] = []
-        self.mixed = False  # whether members of several components may be below
 
 
 class Trie:
-    """Sets as paths of ranks; ``links`` yields, for a probe, one set of each other component that is similar enough."""
+    """Sets as paths of ranks."""
 
-    def __init__(self, forest: Forest) -> None:
-        self.top = Node(np.zeros(0, np.int64), 1 << 60, 0, -1)
-        self.forest = forest
+    def __init__(self) -> None:
+        self.top = Node(np.zeros(0, np.int64), 0, None, 1 << 60, 0)
 
     def add(self, path: np.ndarray, member: int) -> None:
         n, node, at = len(path), self.top, 0
         while True:
             node.low, node.high = min(node.low, n), max(node.high, n)
-            if node.member >= 0 and self.forest.root(node.member) != self.forest.root(member):
-                node.mixed = True
-            elif node.member < 0:
-                node.member = member
             if at == n:
                 node.ends.append(member)
                 return
             child = node.children.get(int(path[at]))
             if child is None:
-                leaf = node.children[int(path[at])] = Node(path[at:], n, n, member)
+                leaf = node.children[int(path[at])] = Node(path[at:], n, node, n, n)
                 leaf.ends.append(member)
                 return
             m = min(len(child.path), n - at)
             differ = np.flatnonzero(child.path[:m] != path[at : at + m])
             same = int(differ[0]) if len(differ) else m
             if same < len(child.path):
-                lower = Node(child.path[same:], child.low, child.high, child.member)
-                lower.children, lower.ends, lower.mixed = child.children, child.ends, child.mixed
-                child.path, child.children, child.ends = child.path[:same], {int(lower.path[0]): lower}, []
+                lower = Node(child.path[same:], child.depth, child, child.low, child.high)
+                lower.children, lower.ends = child.children, child.ends
+                for c in lower.children.values():
+                    c.parent = lower
+                child.path, child.depth, child.children, child.ends = child.path[:same], at + same, {int(lower.path[0]): lower}, []
             node, at = child, at + same
 
-    def links(self, ranks: np.ndarray, member: int) -> Iterator[int]:
-        """``ranks``: the probe's sorted ranks.  The caller joins what it gets before it goes on."""
+    def places(self) -> dict[int, Node]:
+        out, stack = {}, [self.top]
+        while stack:
+            node = stack.pop()
+            out.update(dict.fromkeys(node.ends, node))
+            stack += node.children.values()
+        return out
+
+    def similar(self, ranks: np.ndarray, wanted: set[Node]) -> Iterator[int]:
+        """Members at wanted nodes that are similar to a probe's sorted ranks; ``wanted`` has all ancestors, too."""
         n = len(ranks)
-        root = self.forest.root
-        stack = [(self.top, 0, 0)]
+        stack = [(self.top, 0)]
         while stack:
-            node, depth, overlap = stack.pop()
+            node, overlap = stack.pop()
             # Lengths: a partner of n lies between t*n and n/t.
             if 5 * node.high < 4 * n or 4 * node.low > 5 * n:
                 continue
-            if not node.mixed and root(node.member) == root(member):
-                continue
+            passed = 0
             if len(node.path):
-                place = np.minimum(np.searchsorted(ranks, node.path), n - 1)
+                place = np.searchsorted(ranks, node.path)
+                passed = int(place[-1]) + 1
+                place[place == n] = 0
                 overlap += int((ranks[place] == node.path).sum())
-                depth += len(node.path)
-                passed = int(np.searchsorted(ranks, node.path[-1], "right"))
-            else:
-                passed = 0
             # What is left: of any set below at most high - depth, of the probe what ranks behind this path.
-            most = overlap + min(node.high - depth, n - passed)
-            size = max(node.low, math.ceil(4 * n / 5))
-            if 9 * most < 4 * (n + size):
+            most = overlap + min(node.high - node.depth, n - passed + 1)
+            if 9 * most < 4 * (n + max(node.low, math.ceil(4 * n / 5))):
                 continue
-            for other in node.ends:
-                if 9 * overlap >= 4 * (n + depth) and root(other) != root(member):
-                    yield other
-            stack += [(child, depth, overlap) for child in node.children.values()]
-            if node.mixed and root(node.member) == root(member):
-                node.mixed = any(root(e) != root(node.member) for e in node.ends) or any(
-                    c.mixed or root(c.member) != root(node.member) for c in node.children.values()
-                )
+            if node.ends and 9 * overlap >= 4 * (n + node.depth):
+                yield from node.ends
+            stack += [(child, overlap) for child in node.children.values() if child in wanted]
 
 
-def spanning_links(sets: list[np.ndarray], component: list[int], block: list[int] | None = None) -> list[tuple[int, int]]:
+def spanning_links(
+    sets: list[np.ndarray], component: list[int], keys: list[list[int]] | None = None, block: list[int] | None = None
+) -> list[tuple[int, int]]:
     """Pairs of set numbers: a spanning forest of the links between given components.
 
-    With ``block`` (0 or 1) only sets of different blocks are compared.
+    Only sets that share one of their ``keys`` are compared (all, where these are not given), and with ``block`` (0 or 1)
+    only sets of different blocks.
     """
     every = np.concatenate(sets)
     values, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
@@ -211,29 +193,52 @@ def spanning_links(sets: list[np.ndarray], component: list[int], block: list[int
     rank = np.empty(len(values), np.int64)
     rank[order] = np.arange(len(values))
     paths = [np.sort(p) for p in np.split(rank[inverse], np.cumsum([len(s) for s in sets])[:-1])]
-    forest = Forest(len(sets))
-    first: dict[int, int] = {}
-    for i, c in enumerate(component):
-        forest.join(first.setdefault(c, i), i)
-    tries = [Trie(forest), Trie(forest)]
+    trie = Trie()
+    for i, path in enumerate(paths):
+        trie.add(path, i)
+    place = trie.places()
+    size = np.array([len(p) for p in paths])
+    label = np.unique(component, return_inverse=True)[1]
+    side = np.array(block) if block else None
+    listed: dict[int, list[int]] = {}
+    for i, own in enumerate(keys or [[0]] * len(sets)):
+        for k in own:
+            listed.setdefault(k, []).append(i)
+    members = {k: np.array(m) for k, m in listed.items() if len(m) > 1}
     out = []
-    for i in sorted(range(len(sets)), key=lambda i: (len(paths[i]), paths[i].tolist()[:8])):
-        side = block[i] if block else 0
-        for other in tries[1 - side if block else 0].links(paths[i], i):
-            if forest.join(i, other):
-                out.append((other, i))
-        tries[side].add(paths[i], i)
+    for i in range(len(sets)):
+        lists = [m for m in (members.get(k) for k in (keys[i] if keys else [0])) if m is not None]
+        if not lists:
+            continue
+        near = np.unique(np.concatenate([m[: np.searchsorted(m, i)] for m in lists])) if len(lists) > 1 else lists[0][: np.searchsorted(lists[0], i)]
+        near = near[(label[near] != label[i]) & (5 * size[near] >= 4 * size[i]) & (4 * size[near] <= 5 * size[i])]
+        if side is not None:
+            near = near[side[near] != side[i]]
+        if not len(near):
+            continue
+        wanted: set[Node] = set()
+        for j in near.tolist():
+            node = place[j]
+            while node is not None and node not in wanted:
+                wanted.add(node)
+                node = node.parent
+        asked = set(near.tolist())
+        for j in trie.similar(paths[i], wanted):
+            if j in asked and label[j] != label[i]:
+                out.append((j, i))
+                label[label == label[i]] = label[j]
     return out
 
 
 def trie_links(grouped: DataFrame, keys: list[str]) -> DataFrame:
-    """Links (a, b) within the groups of rows (doc_id, hashes, component, side)."""
+    """Links (a, b) within the groups of rows (doc_id, hashes, component, side, and shared keys where not all meet)."""
 
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("doc_id").to_pylist()
         sets = [np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()]
         sides = group.column("side").to_pylist()
-        found = spanning_links(sets, group.column("component").to_pylist(), sides if any(sides) else None) if len(ids) > 1 else []
+        shared = group.column("shared").to_pylist() if "shared" in group.column_names else None
+        found = spanning_links(sets, group.column("component").to_pylist(), shared, sides if any(sides) else None) if len(ids) > 1 else []
         return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
 
     return grouped.groupBy(*keys).applyInArrow(run, "a long, b long")
@@ -258,26 +263,36 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     enough = enough.join(classes.select("doc_id"), "doc_id").select("doc_id", "g")
     sets = durable(_owned(docs, enough))
     release(spark)
-    met = durable(met.select("doc_id", "h").join(sets.select("doc_id"), "doc_id", "left_semi"))
+    met = durable(met.join(sets.select("doc_id"), "doc_id", "left_semi").select("doc_id", "need", "h"))
 
     # First under one hash each: near copies mostly meet there, and the rest of the work knows their components.
-    start = sets.select("doc_id", "hashes", F.col("g").alias("h"), F.col("doc_id").alias("component"))
-    links = durable(_block_links(start))
+    links = durable(_block_links(_labelled(sets.select("doc_id", "hashes", F.col("g").alias("group")), None)))
     known = components(links)
     release(spark)
 
-    # Then under every hash whose sets are not all in one component; equal memberships are looked at once.
-    labelled = met.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "h", "doc_id", F.coalesce("component", "doc_id").alias("component")
-    )
-    groups = labelled.groupBy("h").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
-        F.min("doc_id").alias("a"), F.max("doc_id").alias("b"),
-        F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"),
-    )
-    open_ = groups.where("low != high").groupBy("n", "a", "b", "x", "y").agg(F.min("h").alias("h")).select("h")
-    members = durable(labelled.join(open_, "h"))
-    more = durable(_block_links(members.join(sets.select("doc_id", "hashes"), "doc_id")))
+    # Then under hashes whose sets are not all in one component, as far as a set has enough of these.
+    open_ = met
+    for _ in range(FILTER_ROUNDS):
+        named = _labelled(open_, known)
+        several = named.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("h")
+        named = named.join(several, "h").select("doc_id", "need", "h")
+        able = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("doc_id", "n")
+        open_ = durable(named.join(able.select("doc_id"), "doc_id", "left_semi"))
+        release(spark)
+    # Partners share at least ``need`` of these, so each set leaves out its last need - 1, those that most sets have.
+    spread = open_.groupBy("h").agg(F.count("*").alias("n"))
+    ranked = open_.join(spread, "h").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "h")))
+    held = open_.groupBy("doc_id").agg((F.count("*") - F.max("need") + 1).alias("most"))
+    members = ranked.join(held, "doc_id").where("place <= most").select("doc_id", "h")
+    members = _labelled(members, known)
+    several = members.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("b")).where("low != high").select("h", "b")
+    members = durable(members.join(several, "h"))
+    # Sets that hang together by such hashes are searched in one place, each sent once with its hashes.
+    clusters = components(members.select(F.col("doc_id").alias("a"), "b"))
+    release(spark)
+    once = members.groupBy("doc_id").agg(F.first("component").alias("component"), F.collect_set("h").alias("shared"))
+    once = once.join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "doc_id")
+    more = durable(_block_links(once.join(sets.select("doc_id", "hashes"), "doc_id")))
     release(spark)
     if not more.isEmpty():
         known = components(links.unionAll(more))
@@ -291,23 +306,31 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def _labelled(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Rows with the component of their document, its own id where no link is known."""
+    if known is None:
+        return rows.withColumn("component", F.col("doc_id"))
+    joined = rows.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return joined.withColumn("component", F.coalesce("component", "doc_id"))
+
+
 def _block_links(rows: DataFrame) -> DataFrame:
-    """Links of rows (doc_id, hashes, h, component) that meet under h.
+    """Links of rows (doc_id, hashes, component, group and perhaps shared) within their groups.
 
     A group over BLOCK_HASHES is cut into blocks by document; each block is searched alone, and then each two blocks
     against each other.
     """
-    sizes = rows.groupBy("h").agg(F.sum(F.octet_length("hashes") / 8).alias("s"), F.count("*").alias("n")).where("n > 1")
-    cut = sizes.select("h", F.ceil(F.col("s") / BLOCK_HASHES).cast("int").alias("cuts"))
-    placed = rows.join(cut, "h").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
+    sizes = rows.groupBy("group").agg(F.sum(F.octet_length("hashes") / 8).alias("s"), F.count("*").alias("n")).where("n > 1")
+    cut = sizes.select("group", F.ceil(F.col("s") / BLOCK_HASHES).cast("int").alias("cuts"))
+    placed = rows.join(cut, "group").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
     # Block i meets every block j: key (min, max); within its own key it is searched alone.
     others = F.when(F.col("cuts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1))
     spread = placed.withColumn("other", F.explode(others)).select(
-        "doc_id", "hashes", "component", "h",
+        *rows.columns,
         F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
     )
-    return trie_links(spread, ["h", "i", "j"])
+    return trie_links(spread, ["group", "i", "j"])
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
