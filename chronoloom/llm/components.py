@@ -10,6 +10,11 @@ from chronoloom.session import durable
 MAX_ROUNDS = 100
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Count and checksums of distinct edges: equal exactly when nothing has moved, but for a chance of 2**-128."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for all ends of links (a, b); a component is named by its smallest id.
 
@@ -18,6 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     Only ids travel, pre-aggregated by minimum, so a hub with many links is no single group of rows.
     """
     edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    state = _state(edges)
     for _ in range(MAX_ROUNDS):
         # Large star: larger neighbours of u go under the smallest neighbour of u.
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,10 +35,9 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         small = durable(small.where("u != v").distinct())
-        before, edges_now = edges, small
-        changed = not before.exceptAll(edges_now).isEmpty() or not edges_now.exceptAll(before).isEmpty()
-        edges = edges_now
-        if not changed:
+        edges, before = small, state
+        state = _state(edges)
+        if state == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

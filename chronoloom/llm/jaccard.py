@@ -37,7 +37,7 @@ THRESHOLD = Fraction(4, 5)
 #: Hashes beyond the shortest prefix, as a part of the set: so many more must be shared, and sets with fewer leave early.
 MARGIN = 0.08
 #: How often sets with too few open hashes are left out; the result does not depend on it.
-FILTER_ROUNDS = 3
+FILTER_ROUNDS = 1
 #: Hashes of all sets in one block of a group; a larger group is split.
 BLOCK_HASHES = 3_000_000
 
@@ -230,16 +230,34 @@ def spanning_links(
     return out
 
 
+def stars(component: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(smallest, other) of the components that pairs of set numbers join."""
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (c := up.get(d := c, d)) != d:
+            pass
+        return c
+
+    for i, j in pairs:
+        x, y = root(component[i]), root(component[j])
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return [(root(c), c) for c in up]
+
+
 def trie_links(grouped: DataFrame, keys: list[str]) -> DataFrame:
-    """Links (a, b) within the groups of rows (doc_id, hashes, component, side, and shared keys where not all meet)."""
+    """Links (a, b) of components within the groups of rows (hashes, component, side, and shared keys where not all meet)."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids = group.column("doc_id").to_pylist()
-        sets = [np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()]
-        sides = group.column("side").to_pylist()
-        shared = group.column("shared").to_pylist() if "shared" in group.column_names else None
-        found = spanning_links(sets, group.column("component").to_pylist(), shared, sides if any(sides) else None) if len(ids) > 1 else []
-        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+        component = group.column("component").to_pylist()
+        found = []
+        if len(component) > 1:
+            sets = [np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()]
+            sides = group.column("side").to_pylist()
+            shared = group.column("shared").to_pylist() if "shared" in group.column_names else None
+            found = stars(component, spanning_links(sets, component, shared, sides if any(sides) else None))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return grouped.groupBy(*keys).applyInArrow(run, "a long, b long")
 
@@ -266,8 +284,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = durable(met.join(sets.select("doc_id"), "doc_id", "left_semi").select("doc_id", "need", "h"))
 
     # First under one hash each: near copies mostly meet there, and the rest of the work knows their components.
-    links = durable(_block_links(_labelled(sets.select("doc_id", "hashes", F.col("g").alias("group")), None)))
-    known = components(links)
+    known = components(_block_links(_labelled(sets.select("doc_id", "hashes", F.col("g").alias("group")), None)))
     release(spark)
 
     # Then under hashes whose sets are not all in one component, as far as a set has enough of these.
@@ -295,7 +312,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = durable(_block_links(once.join(sets.select("doc_id", "hashes"), "doc_id")))
     release(spark)
     if not more.isEmpty():
-        known = components(links.unionAll(more))
+        # Links now join components: a document takes what its component is called.
+        joined = components(more).select(F.col("id").alias("component"), F.col("component").alias("c"))
+        every = known.unionByName(joined.select(F.col("component").alias("id"), "component")).groupBy("id").agg(F.min("component").alias("component"))
+        known = durable(every.join(joined, "component", "left").select("id", F.coalesce("c", "component").alias("component")))
 
     by_class = classes.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "set_key", F.coalesce("component", "doc_id").alias("class_component")
