@@ -25,7 +25,7 @@ CAPACITY = 4096
 END_ID = 2
 SHARD_PIECES = 50_000
 #: Words kept with their ids; beyond it a worker starts a new memory.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 800_000
 
 
 def tokenizer_path() -> str:
@@ -52,6 +52,13 @@ class Encoder:
         self.begins = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word: the words go as one text, which is twice as fast, and are told apart by their places."""
+        whole = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        begins = np.cumsum([0] + [len(w) + 1 for w in words])
+        at = np.array([o[0] for o in whole.offsets], np.int64)
+        return np.split(np.array(whole.ids, np.uint32), np.searchsorted(at, begins[1:-1]))
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.known) > MEMORY_WORDS:
             self.reset()
@@ -60,7 +67,7 @@ class Encoder:
         if new:
             for w in new:
                 self.known[w] = len(self.known)
-            got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+            got = [x for low in range(0, len(new), 2000) for x in self._words([w.decode() for w in new[low : low + 2000]])]
             self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum([len(g) for g in got])])
             self.ids = np.concatenate([self.ids, *got])
         out = []
