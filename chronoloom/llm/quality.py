@@ -18,14 +18,14 @@ WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 GRAM = 5
 
-#: Bit k is the k-th rule.  Thresholds follow common web-corpus heuristics.
-RULES: dict[str, Column] = {
-    "few_words": F.expr("n_words < 10"),
-    "repeated_words": F.expr("100 * n_repeat_words > 20 * n_words"),
-    "symbols": F.expr("10 * n_symbols > 3 * n_words"),
-    "repeated_lines": F.expr("10 * n_dup_lines > 4 * n_lines"),
-    "upper_case": F.expr("all_upper = 1"),
-    "word_length": F.expr("n_words > 0 AND (word_chars > 15 * n_words OR word_chars < 2 * n_words)"),
+#: Bit k is the k-th rule, as an SQL condition on the measurements.  Thresholds follow common web-corpus heuristics.
+RULES: dict[str, str] = {
+    "few_words": "n_words < 10",
+    "repeated_words": "100 * n_repeat_words > 20 * n_words",
+    "symbols": "10 * n_symbols > 3 * n_words",
+    "repeated_lines": "10 * n_dup_lines > 4 * n_lines",
+    "upper_case": "all_upper = 1",
+    "word_length": "n_words > 0 AND (word_chars > 15 * n_words OR word_chars < 2 * n_words)",
 }
 
 
@@ -130,7 +130,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     )
     bits = F.lit(0).cast("long")
     for k, fails in enumerate(RULES.values()):
-        bits = bits.bitwiseOR(F.when(fails, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+        bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
     return measured.withColumn("fail_bits", bits)
 
 
