@@ -76,6 +76,8 @@ def parse_time_lenient(df: DataFrame, spec: PanelSpec) -> DataFrame:
 def parse_time_strict(df: DataFrame, spec: PanelSpec, order: str | None = None) -> DataFrame:
     """The first value of a series fixes its layout; values in another layout become NULL.
 
+    Where the first value cannot be read there is no layout, and each value is read on its own.
+
     ``order`` names the column that tells which row came first.  Without it the
     layout most rows of the series use is taken, the first by name on a tie.
     """
@@ -98,7 +100,9 @@ def parse_time_strict(df: DataFrame, spec: PanelSpec, order: str | None = None)
         marked.join(chosen, spec.key, "left")
         .withColumn(
             spec.time,
-            F.when(F.col("_layout") == F.col("_chosen"), parse_utc(F.col(spec.time))),
+            F.when(
+                F.col("_chosen").isNull() | (F.col("_layout") == F.col("_chosen")), parse_utc(F.col(spec.time))
+            ),
         )
         .drop("_layout", "_chosen")
     )

@@ -30,6 +30,15 @@ def in_block(spec: PanelSpec, descending: bool = False):
     return Window.partitionBy(spec.key, BLOCK).orderBy(order)
 
 
+def by_block(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Rows with their block, shuffled on (series, block).
+
+    The shuffle is explicit: rows that come from a join on the series are already together by series, and Spark would
+    take that for good enough, so a series would be one task again.
+    """
+    return df.withColumn(BLOCK, time_block(spec)).repartition(spec.key, BLOCK)
+
+
 def block_counts(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """One row per block: how many rows the series has before it, in it and in all."""
     ordered = Window.partitionBy(spec.key).orderBy(BLOCK)
@@ -44,7 +53,7 @@ def block_counts(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
 def with_positions(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Add the 0-based row position in time order and the row count of the series."""
-    inside = df.withColumn(BLOCK, time_block(spec)).withColumn(
+    inside = by_block(df, spec).withColumn(
         POSITION, F.row_number().over(in_block(spec)).cast("bigint") - 1
     )
     counts = block_counts(df, spec).select(spec.key, BLOCK, "_before", LENGTH)
@@ -119,6 +128,8 @@ def spine(bounds: DataFrame, spec: PanelSpec, first: str, last: str) -> DataFram
     )
     start = F.greatest(F.col("_lo"), F.col(BLOCK) * long)
     end = F.least(F.col("_hi"), F.col(BLOCK) * long + (long - 1))
-    return blocks.select(
+    # Blocks are few bytes but many ticks: a stated number of partitions is not merged by size.
+    parts = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(parts, spec.key, BLOCK).select(
         spec.key, F.explode(F.sequence(start, end)).alias("_tick")
     ).select(spec.key, clock.from_epoch_seconds(F.col("_tick") * size).alias(spec.time))

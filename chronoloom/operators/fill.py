@@ -25,7 +25,7 @@ def with_neighbours(df: DataFrame, spec: PanelSpec, cols: list[str], at: str) ->
     A row whose value is known is its own neighbour.  Edges of a block are
     bridged by the first and last known value of every block of the series.
     """
-    keyed = df.withColumn(BLOCK, blocks.time_block(spec))
+    keyed = blocks.by_block(df, spec)
 
     edges = []
     for c in cols:

@@ -6,8 +6,9 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chronoloom.functions import clock
+from chronoloom.functions import coerce
 from chronoloom.operators import schema
 from chronoloom.operators.quantiles import exact_quantiles
 
@@ -15,11 +16,14 @@ from chronoloom.operators.quantiles import exact_quantiles
 TIME_NAMES = ("time", "timestamp", "datetime", "date")
 
 
+def known(c: Column) -> Column:
+    """The value as a double; NaN is a missing value like NULL."""
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+
+
 def to_long(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), name: str = "column") -> DataFrame:
-    """One row per cell: keys, column name, value as double; NULLs kept."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias("value")) for c in columns]
-    )
+    """One row per cell: keys, column name, value as double; NULLs kept, and NaN is NULL."""
+    cells = F.array(*[F.struct(F.lit(c).alias(name), known(F.col(c)).alias("value")) for c in columns])
     return df.select(*keys, F.explode(cells).alias("_cell")).select(*keys, "_cell.*")
 
 
@@ -42,8 +46,14 @@ def statistical_summary(df: DataFrame, columns: list[str], keys: tuple[str, ...]
 
 
 def missing_report(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """NULL count per column."""
-    counted = df.groupBy(*keys).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    """Count of missing values (NULL or NaN) per column."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def missing(c: str) -> Column:
+        floating = isinstance(types[c], (T.DoubleType, T.FloatType))
+        return (known(F.col(c)) if floating else F.col(c)).isNull()
+
+    counted = df.groupBy(*keys).agg(*[F.count_if(missing(c)).alias(c) for c in columns])
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("missing_count")) for c in columns])
     return counted.select(*keys, F.explode(cells).alias("_cell")).select(*keys, "_cell.*")
 
@@ -106,7 +116,7 @@ def correlations(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ())
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     wide = df.groupBy(*keys).agg(
-        *[pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs]
+        *[pearson(known(F.col(a)), known(F.col(b))).alias(f"{a}|{b}") for a, b in pairs]
     )
     index = {c: i for i, c in enumerate(columns)}
 
@@ -150,7 +160,13 @@ def overview(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Rows, first and last day of the first time-like column, number of numeric columns."""
     shaped = schema.drop_geo(df)
     time = next((c for c in TIME_NAMES if c in shaped.columns), None)
-    day = F.to_date(F.col(time)) if time else F.lit(None).cast("date")
+    if time is None:
+        day = F.lit(None).cast("date")
+    elif isinstance(shaped.schema[time].dataType, T.StringType):
+        # An unreadable text date counts as no date.
+        day = coerce.parse_utc(F.col(time)).cast("date")
+    else:
+        day = F.to_date(F.col(time))
     n_numeric = len(schema.numeric_columns(shaped, keys))
     return shaped.groupBy(*keys).agg(
         F.count("*").alias("rows"),

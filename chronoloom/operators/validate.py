@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import clock
-from chronoloom.operators import combine, windows
+from chronoloom.operators import blocks, combine, windows
 from chronoloom.spec import HorizonUnavailableError, PanelSpec, PanelValidationError
 
 # Rules in the order they apply.
@@ -107,12 +107,12 @@ def detect_cutoff(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """
     complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in spec.measured])
     marked = df.select(spec.key, spec.time, complete.alias("_full"))
-    last = marked.groupBy(spec.key).agg(F.max(spec.time).alias("_last"))
-    usable = F.col("_full") & (F.col(spec.time) < F.col("_last"))
-    return marked.join(last, spec.key).groupBy(spec.key).agg(
-        F.max(F.when(usable, F.col(spec.time))).alias("cutoff_ts"),
-        F.count_if("_full").alias("observed"),
-    )
+    whole = marked.groupBy(spec.key).agg(F.max(spec.time).alias("_last"), F.count_if("_full").alias("observed"))
+    # The two newest fully observed times tell the answer; the rows themselves are never joined.
+    full = marked.filter("_full").select(spec.key, spec.time).groupBy(spec.key, spec.time).agg(F.lit(1).alias("_one"))
+    newest = windows.newest_rows(full.drop("_one"), spec, 2).join(whole, spec.key)
+    cut = newest.filter(F.col(spec.time) < F.col("_last")).groupBy(spec.key).agg(F.max(spec.time).alias("cutoff_ts"))
+    return whole.join(cut, spec.key, "left").select(spec.key, "cutoff_ts", "observed")
 
 
 def cutoff_failures(detected: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -159,7 +159,9 @@ def cut_summary(df: DataFrame, cutoffs: DataFrame, spec: PanelSpec) -> DataFrame
     future = F.col(spec.time) >= start
     bad_driver = reduce(Column.__or__, [unusable(c) for c in spec.drivers])
     known = reduce(Column.__and__, [F.col(c).isNotNull() for c in spec.targets])
-    return df.join(cutoffs.select(spec.key, "cutoff_ts"), spec.key).groupBy(spec.key, "cutoff_ts").agg(
+    # Spread again after the join on the series, so that each block is counted where it lies.
+    joined = blocks.by_block(df.join(cutoffs.select(spec.key, "cutoff_ts"), spec.key), spec)
+    return joined.groupBy(spec.key, "cutoff_ts").agg(
         F.count_if(past).alias("n_past"),
         F.count_if(future).alias("n_future"),
         F.count_if(future & bad_driver).alias("bad_future"),
@@ -177,6 +179,7 @@ def bad_future_times(df: DataFrame, cutoffs: DataFrame, spec: PanelSpec) -> Data
         .filter((F.col(spec.time) >= start) & bad_driver)
         .select(spec.key, spec.time)
     )
+    bad = blocks.by_block(bad, spec).drop(blocks.BLOCK)
     shown = windows.oldest_rows(bad, spec, SHOWN_DRIVER_TIMES).groupBy(spec.key).agg(
         F.array_sort(F.collect_list(spec.time)).alias("examples")
     )

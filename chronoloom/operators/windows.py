@@ -53,7 +53,7 @@ def time_steps(df: DataFrame, spec: PanelSpec) -> DataFrame:
     Inside a block the previous row is at hand; the first row of a block takes
     the last time of the nearest earlier block.
     """
-    keyed = df.withColumn(BLOCK, blocks.time_block(spec))
+    keyed = blocks.by_block(df, spec)
     earlier = Window.partitionBy(spec.key).orderBy(BLOCK)
     ends = (
         keyed.groupBy(spec.key, BLOCK)

@@ -24,12 +24,13 @@ def recent_runs(runs: DataFrame, limit: int = 50, user_id: int | None = None) ->
     For all users the rank filter cuts each user to ``limit`` rows before the
     shuffle.
     """
-    shown = runs.withColumn("results", labels.readable_json(F.col("results")))
     if user_id is not None:
-        mine = shown.filter(F.col("user_id") == user_id)
-        return mine.orderBy(*newest_order(runs)).limit(limit)
-    newest = Window.partitionBy("user_id").orderBy(*newest_order(runs))
-    return shown.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= limit).drop("_rank")
+        shown = runs.filter(F.col("user_id") == user_id).orderBy(*newest_order(runs)).limit(limit)
+    else:
+        newest = Window.partitionBy("user_id").orderBy(*newest_order(runs))
+        shown = runs.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= limit).drop("_rank")
+    # Only runs that are shown have their JSON read.
+    return shown.withColumn("results", labels.readable_json(F.col("results")))
 
 
 def filtered_runs(
@@ -78,8 +79,13 @@ def normalised_settings(settings: DataFrame) -> DataFrame:
 
 
 def latest_settings(settings: DataFrame) -> DataFrame:
-    """One row per user, the last write winning (L4)."""
-    value = F.max_by("default_model", F.struct("updated_at", "default_model"))
+    """One row per user, the last write winning (L4).
+
+    ``inserted_seq`` and ``batch_row`` tell which of two writes of one moment came last; the label decides only where a
+    table has no arrival order at all.
+    """
+    arrival = [c for c in ("inserted_seq", "batch_row") if c in settings.columns]
+    value = F.max_by("default_model", F.struct("updated_at", *arrival, "default_model"))
     return settings.groupBy("user_id").agg(
         value.alias("default_model"), F.max("updated_at").alias("updated_at")
     )
@@ -87,7 +93,7 @@ def latest_settings(settings: DataFrame) -> DataFrame:
 
 def upsert_settings(current: DataFrame, changes: DataFrame) -> DataFrame:
     """Current settings with the changes applied, labels normalised (L4)."""
-    return latest_settings(current.unionByName(normalised_settings(changes)))
+    return latest_settings(current.unionByName(normalised_settings(changes), allowMissingColumns=True))
 
 
 def settings_of(users: DataFrame, settings: DataFrame) -> DataFrame:

@@ -154,6 +154,8 @@ def apply_predictor(state: DataFrame, spec: PanelSpec, predictor: Predictor) ->
                 continue
             history = _cube(batch["history"])
             lengths = batch["drivers"].map(len).to_numpy()
+            drivers = np.array([r for d in batch["drivers"] for r in d], dtype=np.float64)
+            flat_start = np.cumsum(lengths) - lengths
             preds = np.empty((len(batch), lengths.max(), n_targets))
             for i in range(lengths.max()):
                 out = np.asarray(predictor.predict(history), dtype=np.float64)
@@ -161,7 +163,7 @@ def apply_predictor(state: DataFrame, spec: PanelSpec, predictor: Predictor) ->
                     raise ValueError(f"The predictor returned {out.shape}, not {(len(batch), n_targets)}.")
                 preds[:, i, :] = out
                 # A series past its last step keeps its last drivers; those rows are cut off below.
-                known = np.stack([d[min(i, len(d) - 1)] for d in batch["drivers"]])
+                known = drivers[flat_start + np.minimum(i, lengths - 1)]
                 row = np.concatenate([out, known], axis=1)
                 history = np.concatenate([history[:, 1:, :], row[:, None, :]], axis=1)
             yield batch.assign(preds=[[list(r) for r in p[:n]] for p, n in zip(preds, lengths)])
@@ -235,10 +237,14 @@ def forecast(
     stats: DataFrame,
     model_name: str,
     stat_keys: tuple[str, ...] = (),
+    fold: bool = False,
 ) -> DataFrame:
-    """Forecast every accepted series with a fitted model and attach known actuals."""
+    """Forecast every accepted series with a fitted model and attach known actuals.
+
+    ``fold`` asks for a linear model to be folded inside Catalyst, which suits short ones.
+    """
     state = series_state(panel, spec, horizon, stats, stat_keys)
-    if isinstance(model, LinearModel) and model.rows <= 4:
+    if fold:
         predicted = fold_linear(state, spec, model)
     else:
         predicted = apply_predictor(state, spec, model)

@@ -94,7 +94,7 @@ def time_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH first AS (SELECT event_type AS series_id, min_by(event_id % 8, event_id) AS kind FROM events GROUP BY 1)
-    SELECT event_id, f.series_id, CASE WHEN event_id % 8 = f.kind THEN {PARSED} END AS time
+    SELECT event_id, f.series_id, CASE WHEN event_id % 8 = f.kind OR f.kind IN (6, 7) THEN {PARSED} END AS time
     FROM events e JOIN first f ON f.series_id = e.event_type"""
 )
 def time_parse_strict(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from chronoloom.functions import coerce
 from chronoloom.spec import PanelSpec
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_text_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All columns as text; types are given later, never guessed from the data."""
     try:
         return spark.read.option("header", True).option("inferSchema", False).csv(path)
@@ -30,17 +32,25 @@ def read_panel_csv(spark: SparkSession, path: str, spec: PanelSpec, series: str
 
 
 def read_uploads(spark: SparkSession, folder: str, spec: PanelSpec) -> DataFrame:
-    """Every CSV of a folder as one text frame; the file name is the series.
+    """Every CSV of a folder as one text frame, columns matched by name; the file name is the series.
 
     ``row_order`` orders the rows of one file as they stand in it, also when a
     large file is read in several splits.
     """
-    raw = read_text_csv(spark, folder)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
     order = F.struct(
         F.col("_metadata.file_block_start").alias("offset"), F.monotonically_increasing_id().alias("line")
     )
-    return raw.select("*", name.alias(spec.key), order.alias("row_order"))
+    # Spark takes the header of one file for all, so files are read together only where their headers are equal.
+    lines = spark.read.text(folder).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    heads = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("head"))
+    # One row for each kind of header; the files of a kind are named by a list.
+    kinds = heads.groupBy("head").agg(F.collect_list("file_path").alias("files")).collect()
+    if not kinds:
+        raw = read_text_csv(spark, folder)
+        return raw.select("*", name.alias(spec.key), order.alias("row_order"))
+    parts = [read_text_csv(spark, kind.files).select("*", name.alias(spec.key), order.alias("row_order")) for kind in kinds]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -25,7 +25,7 @@ RUN_SCHEMA = (
     "dataset_csv binary, prediction_csv binary, details string, inserted_seq bigint, batch_row bigint"
 )
 TOMBSTONE_SCHEMA = "user_id bigint, run_id string"
-SETTING_SCHEMA = "user_id bigint, default_model string, updated_at timestamp_ntz"
+SETTING_SCHEMA = "user_id bigint, default_model string, updated_at timestamp_ntz, inserted_seq bigint, batch_row bigint"
 
 
 def bucket(user: Column) -> Column:
@@ -46,20 +46,22 @@ class HistoryStore:
 
     def _read(self, name: str, schema: str) -> DataFrame:
         """A stored table with the columns it should have; older files may lack some."""
-        empty = self.spark.createDataFrame([], schema)
         try:
-            stored = self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{name}")
-        except AnalysisException:
-            return empty
-        return empty.unionByName(stored, allowMissingColumns=True)
+            # A stated schema gives NULL for what a file lacks, without reading every footer.
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        except AnalysisException as exc:
+            if exc.getCondition() == "PATH_NOT_FOUND":
+                return self.spark.createDataFrame([], schema)
+            raise
 
     def runs(self, user_id: int | None = None) -> DataFrame:
         """Runs that were not deleted, of one user or of all."""
-        stored = self._read("runs", RUN_SCHEMA)
+        stored = self._read("runs", f"{RUN_SCHEMA}, user_bucket int")
         gone = self._read("deleted", TOMBSTONE_SCHEMA)
         if user_id is not None:
-            if "user_bucket" in stored.columns:
-                stored = stored.filter(F.col("user_bucket") == bucket(F.lit(user_id)))
+            # A table written before there were buckets has none.
+            in_bucket = F.col("user_bucket").isNull() | (F.col("user_bucket") == bucket(F.lit(user_id)))
+            stored = stored.filter(in_bucket)
             stored = stored.filter(F.col("user_id") == user_id)
             gone = gone.filter(F.col("user_id") == user_id)
         stored = stored.drop("user_bucket")
@@ -116,10 +118,10 @@ class HistoryStore:
 
     def put_settings(self, changes: DataFrame) -> None:
         """Upsert settings: append; the newest row of a user counts (L4)."""
-        shaped = history.normalised_settings(changes.withColumn("updated_at", now()))
-        shaped.select("user_id", "default_model", "updated_at").write.mode("append").parquet(
-            f"{self.root}/settings"
-        )
+        started = int(dt.datetime.now(dt.timezone.utc).timestamp() * 1_000_000)
+        marks = {"updated_at": now(), "inserted_seq": F.lit(started), "batch_row": F.monotonically_increasing_id()}
+        shaped = history.normalised_settings(changes.withColumns(marks))
+        shaped.select("user_id", "default_model", *marks).write.mode("append").parquet(f"{self.root}/settings")
 
     def compact(self, new_root: str) -> "HistoryStore":
         """Write the surviving rows to a new root and return the store there."""
