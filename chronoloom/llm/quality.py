@@ -141,7 +141,10 @@ def judge(entries: DataFrame, policy: Policy = V2, name: str = "kept") -> DataFr
 
 def accepted(docs: DataFrame, policy: Policy = V2) -> DataFrame:
     """The rows, with all their columns, that a policy keeps."""
-    return judge(ledger(docs, keep_row=True), policy).where("kept").select("row.*")
+    # The filter must stay above the ledger: pushed below it, every measurement would be computed again inside the
+    # condition.  Spark moves no filter past a column that is not deterministic.
+    entries = ledger(docs, keep_row=True).withColumn("mark", F.monotonically_increasing_id())
+    return judge(entries, policy).where("kept AND mark >= 0").select("row.*")
 
 
 def ablation(entries: DataFrame, policies: tuple[Policy, ...] = (BASE, V1, V2)) -> DataFrame:
