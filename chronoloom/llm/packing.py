@@ -12,6 +12,7 @@ Repeated rows are packed like any others.  Other columns are not read, whatever
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ CAPACITY = 4096
 END_ID = 2
 SHARD_PIECES = 50_000
 #: Words kept with their ids; beyond it a worker starts a new memory.
-MEMORY_WORDS = 800_000
+MEMORY_WORDS = 1_500_000
 
 
 def tokenizer_path() -> str:
@@ -34,6 +35,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Numbers(dict):
+    """Numbers of words in order of first sight; ``fresh`` holds the words numbered since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class Encoder:
     """Ids of texts; the ids of each word between ASCII white space are remembered.
 
@@ -48,36 +61,47 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Numbers()
         self.begins = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word: the words go as one text, which is twice as fast, and are told apart by their places."""
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and how many each has: they go as one text, which is twice as fast, and are told apart by place."""
         whole = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        begins = np.cumsum([0] + [len(w) + 1 for w in words])
+        ends = np.cumsum([len(w) + 1 for w in words])
         at = np.array([o[0] for o in whole.offsets], np.int64)
-        return np.split(np.array(whole.ids, np.uint32), np.searchsorted(at, begins[1:-1]))
+        return np.array(whole.ids, np.uint32), np.diff(np.searchsorted(at, ends), prepend=0)
+
+    def _learn(self) -> None:
+        fresh = [w.decode() for w in self.known.fresh]
+        got = [self._words(fresh[low : low + 2000]) for low in range(0, len(fresh), 2000)]
+        self.known.fresh.clear()
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in got)])
+        sizes = np.concatenate([n for _, n in got])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.known) > MEMORY_WORDS:
             self.reset()
         split = [t.split() for t in texts]
-        new = list({w: None for s in split for w in s if w not in self.known})
-        if new:
-            for w in new:
-                self.known[w] = len(self.known)
-            got = [x for low in range(0, len(new), 2000) for x in self._words([w.decode() for w in new[low : low + 2000]])]
-            self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum([len(g) for g in got])])
-            self.ids = np.concatenate([self.ids, *got])
-        out = []
-        for s in split:
-            k = np.fromiter(map(self.known.__getitem__, s), np.int64, len(s))
-            size = self.begins[k + 1] - self.begins[k]
-            ends = np.cumsum(size)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[k] - (ends - size), size)
-            out.append(self.ids[at])
-        return out
+        counts = [len(s) for s in split]
+        k = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
+        if self.known.fresh:
+            self._learn()
+        size = self.begins[k + 1] - self.begins[k]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.begins[k] - ends[:-1], size)]
+        return np.split(ids, ends[np.cumsum(counts, dtype=np.int64)[:-1]])
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python worker, whose memory of words outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,7 +112,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             names = batch.column(0).to_pylist()
             texts = byte_texts(batch.column(1))
