@@ -110,10 +110,10 @@ def _owned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 class Node:
     """A stretch of hashes that all sets below share, and the bounds of their sizes."""
 
-    __slots__ = ("path", "depth", "parent", "children", "ends", "low", "high")
+    __slots__ = ("path", "depth", "children", "ends", "low", "high")
 
-    def __init__(self, path: np.ndarray, depth: int, parent: Node | None, low: int, high: int) -> None:
-        self.path, self.depth, self.parent, self.low, self.high = path, depth, parent, low, high
+    def __init__(self, path: np.ndarray, depth: int, low: int, high: int) -> None:
+        self.path, self.depth, self.low, self.high = path, depth, low, high
         self.children: dict[int, Node] = {}
         self.ends: list[int] = []
 
@@ -122,7 +122,7 @@ class Trie:
     """Sets as paths of ranks."""
 
     def __init__(self) -> None:
-        self.top = Node(np.zeros(0, np.int64), 0, None, 1 << 60, 0)
+        self.top = Node(np.zeros(0, np.int64), 0, 1 << 60, 0)
 
     def add(self, path: np.ndarray, member: int) -> None:
         n, node, at = len(path), self.top, 0
@@ -133,50 +133,83 @@ class Trie:
                 return
             child = node.children.get(int(path[at]))
             if child is None:
-                leaf = node.children[int(path[at])] = Node(path[at:], n, node, n, n)
+                leaf = node.children[int(path[at])] = Node(path[at:], n, n, n)
                 leaf.ends.append(member)
                 return
             m = min(len(child.path), n - at)
             differ = np.flatnonzero(child.path[:m] != path[at : at + m])
             same = int(differ[0]) if len(differ) else m
             if same < len(child.path):
-                lower = Node(child.path[same:], child.depth, child, child.low, child.high)
+                lower = Node(child.path[same:], child.depth, child.low, child.high)
                 lower.children, lower.ends = child.children, child.ends
-                for c in lower.children.values():
-                    c.parent = lower
                 child.path, child.depth, child.children, child.ends = child.path[:same], at + same, {int(lower.path[0]): lower}, []
             node, at = child, at + same
 
-    def places(self) -> dict[int, Node]:
-        out, stack = {}, [self.top]
-        while stack:
-            node = stack.pop()
-            out.update(dict.fromkeys(node.ends, node))
-            stack += node.children.values()
-        return out
-
-    def similar(self, ranks: np.ndarray, wanted: set[Node]) -> Iterator[int]:
-        """Members at wanted nodes that are similar to a probe's sorted ranks; ``wanted`` has all ancestors, too."""
-        n = len(ranks)
-        stack = [(self.top, 0)]
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of all ranges, one range after the other."""
+    size = end - begin
+    stop = np.cumsum(size)
+    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - size), size)
+
+
+class Search:
+    """A finished trie as arrays: nodes level by level, so that children stand together, and members in depth-first order,
+    so that those of a subtree do."""
+
+    def __init__(self, trie: Trie, values: int) -> None:
+        nodes = [trie.top]
+        for node in nodes:
+            nodes += node.children.values()
+        number = {id(node): k for k, node in enumerate(nodes)}
+        self.child = np.cumsum([1] + [len(node.children) for node in nodes])
+        self.flat = np.concatenate([node.path for node in nodes])
+        self.path = np.cumsum([0] + [len(node.path) for node in nodes])
+        self.low, self.high, self.depth = (np.array([getattr(node, f) for node in nodes]) for f in ("low", "high", "depth"))
+        self.first, self.own, self.last = (np.zeros(len(nodes), np.int64) for _ in range(3))
+        order: list[int] = []
+        stack: list[tuple[Node, bool]] = [(trie.top, False)]
         while stack:
-            node, overlap = stack.pop()
-            # Lengths: a partner of n lies between t*n and n/t.
-            if 5 * node.high < 4 * n or 4 * node.low > 5 * n:
+            node, done = stack.pop()
+            k = number[id(node)]
+            if done:
+                self.last[k] = len(order)
                 continue
-            passed = 0
-            if len(node.path):
-                place = np.searchsorted(ranks, node.path)
-                passed = int(place[-1]) + 1
-                place[place == n] = 0
-                overlap += int((ranks[place] == node.path).sum())
+            self.first[k] = len(order)
+            order += node.ends
+            self.own[k] = len(order)
+            stack.append((node, True))
+            stack += [(c, False) for c in node.children.values()]
+        self.members = np.array(order)
+        self.present = np.zeros(values, bool)
+
+    def similar(self, ranks: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Asked members (a mask) that are similar to a probe's sorted ranks; each level of the trie is one step."""
+        n, out = len(ranks), []
+        asked = asked[self.members]
+        before = np.concatenate([[0], np.cumsum(asked)])
+        self.present[ranks] = True
+        node, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        while len(node):
+            # Lengths: a partner of n lies between t*n and n/t; and someone below must be asked for.
+            fits = (5 * self.high[node] >= 4 * n) & (4 * self.low[node] <= 5 * n) & (before[self.last[node]] > before[self.first[node]])
+            node, overlap = node[fits], overlap[fits]
+            begin, end = self.path[node], self.path[node + 1]
+            hits = np.concatenate([[0], np.cumsum(self.present[self.flat[_ranges(begin, end)]])])
+            stop = np.cumsum(end - begin)
+            overlap = overlap + hits[stop] - hits[stop - (end - begin)]
             # What is left: of any set below at most high - depth, of the probe what ranks behind this path.
-            most = overlap + min(node.high - node.depth, n - passed + 1)
-            if 9 * most < 4 * (n + max(node.low, math.ceil(4 * n / 5))):
-                continue
-            if node.ends and 9 * overlap >= 4 * (n + node.depth):
-                yield from node.ends
-            stack += [(child, overlap) for child in node.children.values() if child in wanted]
+            behind = np.where(end > begin, n - np.searchsorted(ranks, self.flat[end - 1], "right"), n)
+            most = overlap + np.minimum(self.high[node] - self.depth[node], behind)
+            fits = 9 * most >= 4 * (n + np.maximum(self.low[node], math.ceil(4 * n / 5)))
+            node, overlap = node[fits], overlap[fits]
+            full = node[9 * overlap >= 4 * (n + self.depth[node])]
+            at = _ranges(self.first[full], self.own[full])
+            out.append(self.members[at[asked[at]]])
+            size = self.child[node + 1] - self.child[node]
+            node, overlap = _ranges(self.child[node], self.child[node + 1]), np.repeat(overlap, size)
+        self.present[ranks] = False
+        return np.concatenate(out)
 
 
 def spanning_links(
@@ -196,7 +229,7 @@ def spanning_links(
     trie = Trie()
     for i, path in enumerate(paths):
         trie.add(path, i)
-    place = trie.places()
+    search = Search(trie, len(values))
     size = np.array([len(p) for p in paths])
     label = np.unique(component, return_inverse=True)[1]
     side = np.array(block) if block else None
@@ -216,15 +249,10 @@ def spanning_links(
             near = near[side[near] != side[i]]
         if not len(near):
             continue
-        wanted: set[Node] = set()
-        for j in near.tolist():
-            node = place[j]
-            while node is not None and node not in wanted:
-                wanted.add(node)
-                node = node.parent
-        asked = set(near.tolist())
-        for j in trie.similar(paths[i], wanted):
-            if j in asked and label[j] != label[i]:
+        asked = np.zeros(len(sets), bool)
+        asked[near] = True
+        for j in search.similar(paths[i], asked).tolist():
+            if label[j] != label[i]:
                 out.append((j, i))
                 label[label == label[i]] = label[j]
     return out
