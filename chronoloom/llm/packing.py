@@ -11,6 +11,7 @@ Repeated rows are packed like any others.  Other columns are not read, whatever
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,6 +28,9 @@ END_ID = 2
 SHARD_PIECES = 50_000
 #: Words kept with their ids; beyond it a worker starts a new memory.
 MEMORY_WORDS = 1_500_000
+# How the tokenizer splits a lower-case word, for words of ASCII signs and composed Latin letters only.
+PLAIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
+PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+|[0-9]|[!-/:-`{-~]+")
 
 
 def tokenizer_path() -> str:
@@ -39,19 +43,39 @@ class Numbers(dict):
     """Numbers of words in order of first sight; ``fresh`` holds the words numbered since it was last emptied."""
 
     def __init__(self) -> None:
-        self.fresh: list[bytes] = []
+        self.fresh: list = []
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         self[word] = number = len(self)
         self.fresh.append(word)
         return number
 
 
+class IdLists:
+    """Lists of ids by number, end to end in one array."""
+
+    def __init__(self) -> None:
+        self.begins = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, ids])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
+
+    def joined(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists numbered ``k`` joined, and the size of each."""
+        sizes = self.begins[k + 1] - self.begins[k]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.begins[k] - ends + sizes, sizes)], sizes
+
+
 class Encoder:
-    """Ids of texts; the ids of each word between ASCII white space are remembered.
+    """Ids of texts; the ids of each word between ASCII white space, and of each part of a word, are remembered.
 
     The tokenizer splits at white space before anything else and never joins over it, so ids of a text are the ids of
-    its words in order.
+    its words in order.  It then splits words into runs of letters, digits and other signs.  Where case and composition
+    of letters leave no doubt (``PLAIN``), words are split the same way here, as many new words consist of known parts.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,36 +85,39 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known = Numbers()
-        self.begins = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.words, self.word_ids = Numbers(), IdLists()
+        self.parts, self.part_ids = Numbers(), IdLists()
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words and how many each has: they go as one text, which is twice as fast, and are told apart by place."""
-        whole = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ends = np.cumsum([len(w) + 1 for w in words])
+    def _together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts and how many each has: they go as one text, which is twice as fast, and are told apart by place."""
+        whole = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        ends = np.cumsum([len(w) + 1 for w in parts])
         at = np.array([o[0] for o in whole.offsets], np.int64)
         return np.array(whole.ids, np.uint32), np.diff(np.searchsorted(at, ends), prepend=0)
 
     def _learn(self) -> None:
-        fresh = [w.decode() for w in self.known.fresh]
-        got = [self._words(fresh[low : low + 2000]) for low in range(0, len(fresh), 2000)]
-        self.known.fresh.clear()
-        self.ids = np.concatenate([self.ids, *(ids for ids, _ in got)])
-        sizes = np.concatenate([n for _, n in got])
-        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
+        fresh = [w.decode() for w in self.words.fresh]
+        self.words.fresh.clear()
+        split = [PART.findall(w.lower()) if PLAIN.fullmatch(w) else [w] for w in fresh]
+        counts = np.array([len(s) for s in split], np.int64)
+        k = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(split)), np.int64, counts.sum())
+        new = self.parts.fresh
+        for low in range(0, len(new), 2000):
+            self.part_ids.add(*self._together(new[low : low + 2000]))
+        new.clear()
+        ids, sizes = self.part_ids.joined(k)
+        self.word_ids.add(ids, np.add.reduceat(sizes, np.cumsum(counts) - counts))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > MEMORY_WORDS:
+        if len(self.words) > MEMORY_WORDS:
             self.reset()
         split = [t.split() for t in texts]
         counts = [len(s) for s in split]
-        k = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
-        if self.known.fresh:
+        k = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
+        if self.words.fresh:
             self._learn()
-        size = self.begins[k + 1] - self.begins[k]
+        ids, size = self.word_ids.joined(k)
         ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.begins[k] - ends[:-1], size)]
         return np.split(ids, ends[np.cumsum(counts, dtype=np.int64)[:-1]])
 
 
