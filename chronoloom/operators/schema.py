@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,9 +99,21 @@ def suffixed(df: DataFrame, columns: list[str] | tuple[str, ...], suffix: str) -
     return df.withColumnsRenamed({c: f"{c}{suffix}" for c in columns})
 
 
-def calendar_months(df: DataFrame, spec: PanelSpec, *months: int) -> DataFrame:
-    """Rows of the listed calendar months."""
-    return df.filter(F.month(spec.time).isin(*months))
+def in_month(spec: PanelSpec, year: int, month: int) -> Column:
+    """Whether a row lies in one calendar month; a range of times, so that a scan can skip files."""
+    after = (year + month // 12, month % 12 + 1)
+    first, end = (F.lit(f"{y:04d}-{m:02d}-01").cast("timestamp_ntz") for y, m in ((year, month), after))
+    return (F.col(spec.time) >= first) & (F.col(spec.time) < end)
+
+
+def year_of_target(year: int, history_month: int, target_month: int) -> int:
+    """The target month is the next one of its name after the history month."""
+    return year if target_month > history_month else year + 1
+
+
+def calendar_month(df: DataFrame, spec: PanelSpec, year: int, month: int) -> DataFrame:
+    """Rows of one calendar month of one year."""
+    return df.filter(in_month(spec, year, month))
 
 
 def numeric_frame(df: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import clock
-from chronoloom.operators import blocks, combine, windows
+from chronoloom.operators import blocks, combine, schema, windows
 from chronoloom.spec import HorizonUnavailableError, PanelSpec, PanelValidationError
 
 # Rules in the order they apply.
@@ -29,6 +29,8 @@ RULES = (
     "unfilled_past",
     "no_future_rows",
     "bad_future_drivers",
+    "short_future",
+    "late_future",
 )
 SHOWN_TIMES = 3
 SHOWN_DRIVER_TIMES = 5
@@ -242,6 +244,19 @@ def require_horizon(header: DataFrame, spec: PanelSpec, horizon: int) -> None:
         )
 
 
+def horizon_failures(header: DataFrame, spec: PanelSpec, horizon: int) -> DataFrame:
+    """Accepted series with fewer future rows than the horizon needs."""
+    check_horizon(header, spec, horizon)
+    short = header.filter(F.col("n_future") < horizon)
+    return _failure(short, spec, "short_future",
+                    F.concat(F.col("n_future").cast("string"), F.lit(f" future rows, {horizon} needed")))
+
+
+def late_failures(late: DataFrame, spec: PanelSpec) -> DataFrame:
+    return _failure(late, spec, "late_future",
+                    F.concat(F.lit("the future begins at "), clock.iso_utc(F.col("first_future"))))
+
+
 def starts_after_cutoff(future: DataFrame, header: DataFrame, spec: PanelSpec) -> DataFrame:
     """Series whose future does not begin one tick after the cutoff."""
     first = future.groupBy(spec.key).agg(F.min(spec.time).alias("first_future"))
@@ -264,12 +279,11 @@ def enough_rows(df: DataFrame, spec: PanelSpec, minimum: int) -> DataFrame:
     )
 
 
-def months_present(df: DataFrame, spec: PanelSpec, history: int, target: int) -> DataFrame:
-    """Rows in the history and the target month, and whether a backtest can run (C14)."""
-    month = F.month(spec.time)
+def months_present(df: DataFrame, spec: PanelSpec, year: int, history: int, target: int) -> DataFrame:
+    """Rows in the history month of ``year`` and in the target month after it, and whether a backtest can run (C14)."""
     return df.groupBy(spec.key).agg(
-        F.count_if(month == history).alias("history_rows"),
-        F.count_if(month == target).alias("target_rows"),
+        F.count_if(schema.in_month(spec, year, history)).alias("history_rows"),
+        F.count_if(schema.in_month(spec, schema.year_of_target(year, history, target), target)).alias("target_rows"),
     ).withColumn("usable", (F.col("history_rows") >= spec.window) & (F.col("target_rows") > 0))
 
 

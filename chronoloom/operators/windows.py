@@ -103,9 +103,12 @@ def holdout_last(df: DataFrame, spec: PanelSpec, n: int) -> DataFrame:
     return df.join(usable, spec.key).withColumn("split", label).drop("_last_train")
 
 
-def too_short(df: DataFrame, spec: PanelSpec, n: int) -> DataFrame:
-    """Series that cannot give up ``n`` rows for a test."""
-    return df.groupBy(spec.key).agg(F.count("*").alias("rows")).filter(F.col("rows") <= n)
+def too_short(df: DataFrame, spec: PanelSpec, n: int, among: DataFrame | None = None) -> DataFrame:
+    """Series that cannot give up ``n`` rows for a test; with ``among`` also its series that have no row at all."""
+    counts = df.groupBy(spec.key).agg(F.count("*").alias("rows"))
+    if among is not None:
+        counts = among.select(spec.key).distinct().join(counts, spec.key, "left").fillna(0, ["rows"])
+    return counts.filter(F.col("rows") <= n)
 
 
 def split_fraction(df: DataFrame, spec: PanelSpec, fraction: float = 0.8) -> DataFrame:

@@ -59,11 +59,16 @@ def newest_first(runs: DataFrame) -> DataFrame:
 
 
 def run_list(runs: DataFrame) -> DataFrame:
-    """Run id, displayed date and model of each run (B18); order by ``date`` descending to show."""
+    """Run id, displayed date and model of each run (B18); :func:`by_date` orders them to show."""
     date = F.substring(F.coalesce(F.nullif("upload_date", F.lit("")), F.col("timestamp")), 1, 16)
     return runs.select("run_id", "user_id", date.alias("date"), F.col("model_used").alias("model"))
 
 
+def by_date(listed: DataFrame) -> DataFrame:
+    """A run list by displayed date, newest first."""
+    return listed.orderBy(F.col("date").desc(), "run_id")
+
+
 def without_deleted(runs: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Runs without a tombstone of the same user and run (L3)."""
     return runs.join(tombstones, ["user_id", "run_id"], "left_anti")

@@ -141,12 +141,16 @@ def prepare_batch(raw: DataFrame, spec: PanelSpec) -> DataFrame:
 
 @dataclass(frozen=True)
 class BatchFrames:
-    """Stages of the offline batch flow; ``scaled`` and ``lagged`` carry the ``split`` label."""
+    """Stages of the offline batch flow; ``scaled`` and ``lagged`` carry the ``split`` label.
+
+    ``rejected`` has the series with too few rows to hold out the last days.
+    """
 
     prepared: DataFrame
     lagged: DataFrame
     scaler: DataFrame
     scaled: DataFrame
+    rejected: DataFrame
 
 
 def batch_frames(
@@ -160,7 +164,8 @@ def batch_frames(
     prepared = stage(prepare_batch(raw, spec))
     daily = spec.daily()
     lagged = windows.lag_features(prepared, daily, target, regular=True)
+    rejected = windows.too_short(lagged, daily, test_days, among=prepared)
     lagged = windows.holdout_last(lagged, daily, test_days)
     cols = [c for c in lagged.columns if c not in (spec.key, spec.time, "split")]
     scaler = scale.fit_minmax(lagged.filter("split = 'train'"), cols, (spec.key,))
-    return BatchFrames(prepared, lagged, scaler, scale.apply_minmax(lagged, scaler, cols, (spec.key,)))
+    return BatchFrames(prepared, lagged, scaler, scale.apply_minmax(lagged, scaler, cols, (spec.key,)), rejected)

@@ -15,6 +15,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Model
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,7 @@ from pyspark.sql import types as T
 from chronoloom.functions import clock
 from chronoloom.operators import combine, scale, validate, windows
 from chronoloom.plans.prepare import PreparedPanel
+from chronoloom.session import durable
 from chronoloom.spec import PanelSpec
 
 PAYLOAD_SOURCE = "upload_full_models"
@@ -67,6 +70,19 @@ def series_state(
     return state.filter(F.size("times") == horizon)
 
 
+def refused(panel: PreparedPanel, spec: PanelSpec, horizon: int) -> DataFrame:
+    """Series without a forecast and the rule that stopped them.
+
+    Those refused by preparation, those with too few future rows (C8), and those whose future does not begin one tick
+    after the cutoff (C10).
+    """
+    late = validate.starts_after_cutoff(panel.future, panel.header, spec)
+    found = validate.gather([
+        validate.horizon_failures(panel.header, spec, horizon), validate.late_failures(late, spec)
+    ])
+    return panel.failures.unionByName(validate.first_failures(found, spec))
+
+
 def gather_state(
     past: DataFrame, ahead: DataFrame, spec: PanelSpec, stats: DataFrame, stat_keys: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -171,6 +187,37 @@ def apply_predictor(state: DataFrame, spec: PanelSpec, predictor: Predictor) ->
     return state.mapInPandas(run, schema)
 
 
+def apply_models(
+    state: DataFrame, spec: PanelSpec, models: list[Model], horizon: int, stored_every: int = 6
+) -> DataFrame:
+    """Forecast with one fitted MLlib model per target; adds ``preds`` as :func:`fold_linear` does.
+
+    A step is one ``transform`` of all series per model.  The state is stored every few steps, so plans stay short
+    and a lost executor costs few steps.  It is a few bytes per series but much work, so it is dealt by series first.
+    """
+    if len(models) != len(spec.targets):
+        raise ValueError(f"{len(models)} models for {len(spec.targets)} targets.")
+    width = len(spec.features)
+    parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    empty = F.array().cast("array<array<double>>")
+    frame = state.repartition(parts, spec.key).withColumns({"_x": F.flatten("history"), "preds": empty})
+    for i in range(horizon):
+        frame = frame.withColumn("_v", array_to_vector("_x"))
+        for j, model in enumerate(models):
+            frame = model.copy().setFeaturesCol("_v").setPredictionCol(f"_p{j}").transform(frame)
+        frame = frame.withColumn("_row", F.array(*[F.col(f"_p{j}") for j in range(len(models))]))
+        # A series past its last step keeps its last drivers; its predictions are complete by then.
+        known = F.coalesce(F.get("drivers", F.lit(i)), F.element_at("drivers", -1))
+        frame = frame.select(
+            *state.columns,
+            F.concat(F.slice("_x", width + 1, (spec.window - 1) * width), "_row", known).alias("_x"),
+            F.when(F.size("drivers") > i, F.concat("preds", F.array("_row"))).otherwise(F.col("preds")).alias("preds"),
+        )
+        if i % stored_every == stored_every - 1 and i + 1 < horizon:
+            frame = durable(frame)
+    return frame.drop("_x")
+
+
 def _cube(column: pd.Series) -> np.ndarray:
     return np.stack([np.stack([np.asarray(r, dtype=np.float64) for r in rows]) for rows in column])
 
@@ -233,7 +280,7 @@ def forecast(
     panel: PreparedPanel,
     spec: PanelSpec,
     horizon: int,
-    model: Predictor,
+    model: Predictor | list[Model],
     stats: DataFrame,
     model_name: str,
     stat_keys: tuple[str, ...] = (),
@@ -241,10 +288,13 @@ def forecast(
 ) -> DataFrame:
     """Forecast every accepted series with a fitted model and attach known actuals.
 
-    ``fold`` asks for a linear model to be folded inside Catalyst, which suits short ones.
+    ``model`` is a predictor, or a list of MLlib models, one per target.  ``fold`` asks for a linear model to be
+    folded inside Catalyst, which suits short ones.  :func:`refused` lists the series without a forecast.
     """
     state = series_state(panel, spec, horizon, stats, stat_keys)
-    if fold:
+    if isinstance(model, list):
+        predicted = apply_models(state, spec, model, horizon)
+    elif fold:
         predicted = fold_linear(state, spec, model)
     else:
         predicted = apply_predictor(state, spec, model)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -51,8 +50,14 @@ class TrainingFrames:
     stats: DataFrame
 
 
+def too_small(panel: DataFrame, spec: PanelSpec, horizon: int = 1) -> DataFrame:
+    """Series that :func:`usable_rows` leaves out, and how many complete rows they have."""
+    kept = schema.complete_rows(schema.numeric_frame(panel, spec))
+    return windows.too_short(kept, spec, spec.window + horizon + MIN_EXTRA_ROWS - 1, among=panel)
+
+
 def usable_rows(panel: DataFrame, spec: PanelSpec, horizon: int = 1) -> DataFrame:
-    """Complete rows of the series long enough to train on."""
+    """Complete rows of the series long enough to train on (B10, C13); :func:`too_small` lists the others."""
     kept = schema.complete_rows(schema.numeric_frame(panel, spec))
     minimum = spec.window + horizon + MIN_EXTRA_ROWS
     long = validate.enough_rows(kept, spec, minimum).filter("enough")
@@ -149,33 +154,6 @@ def evaluate(predicted: DataFrame, spec: PanelSpec, keys: tuple[str, ...] = ())
     return metrics.accuracy(long, "y", "p", (*keys, "target"))
 
 
-@dataclass(frozen=True)
-class TreeEnsemble:
-    """Boosted trees of every target as flat node arrays, evaluated on many windows at once."""
-
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-    roots: np.ndarray
-    weights: np.ndarray
-    owner: np.ndarray
-    n_targets: int
-    depth: int
-
-    def predict(self, windows: np.ndarray) -> np.ndarray:
-        flat = windows.reshape(len(windows), -1)
-        rows = np.arange(len(flat))[:, None]
-        node = np.broadcast_to(self.roots, (len(flat), len(self.roots)))
-        for _ in range(self.depth):
-            leaf = self.left[node] < 0
-            low = flat[rows, np.maximum(self.feature[node], 0)] <= self.threshold[node]
-            node = np.where(leaf, node, np.where(low, self.left[node], self.right[node]))
-        scores = self.value[node] * self.weights
-        return np.stack([scores[:, self.owner == k].sum(axis=1) for k in range(self.n_targets)], axis=1)
-
-
 def _with_values(df: DataFrame, spec: PanelSpec, cols: tuple[str, ...]) -> DataFrame:
     """Series with at least one value in every column."""
     seen = F.array(*[F.count(c) for c in cols])
@@ -218,6 +196,7 @@ def backtest(
 def backtest_months(
     panel: DataFrame,
     spec: PanelSpec,
+    year: int,
     history_month: int,
     target_month: int,
     model: recursive.Predictor,
@@ -225,11 +204,15 @@ def backtest_months(
     stat_keys: tuple[str, ...] = (),
     fill_before_split: bool = False,
 ) -> DataFrame:
-    """Backtest one calendar month on the month before it, of the series that have both."""
-    usable = validate.months_present(panel, spec, history_month, target_month).filter("usable")
+    """Backtest one calendar month on an earlier one of ``year``, of the series that have both.
+
+    :func:`validate.months_present` tells which series those are.
+    """
+    usable = validate.months_present(panel, spec, year, history_month, target_month).filter("usable")
     kept = combine.only_series(panel, usable, spec.key)
     if fill_before_split:
         kept = fill.fill_linear(kept, spec, spec.measured)
-    history = schema.calendar_months(kept, spec, history_month)
-    target = schema.calendar_months(kept, spec, target_month)
+    history = schema.calendar_month(kept, spec, year, history_month)
+    target_year = schema.year_of_target(year, history_month, target_month)
+    target = schema.calendar_month(kept, spec, target_year, target_month)
     return backtest(history, target, spec, model, stats, stat_keys, filled=fill_before_split)

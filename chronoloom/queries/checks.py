@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import clock
 from chronoloom.operators import validate
-from chronoloom.plans import prepare
+from chronoloom.plans import prepare, recursive, training
 from chronoloom.queries import panels as P
 from chronoloom.queries import sql as S
 from chronoloom.queries.registry import query
 from chronoloom.session import durable
+from chronoloom.spec import MIN_EXTRA_ROWS
 
 
 def _raw_hours(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,7 +87,7 @@ def min_past_rows(spark: SparkSession, sf: str) -> DataFrame:
       count(*) FILTER (month(time) = 1) >= 48 AND count(*) FILTER (month(time) = 2) > 0 AS usable FROM panel GROUP BY 1"""
 )
 def months_present(spark: SparkSession, sf: str) -> DataFrame:
-    return validate.months_present(P.station_panel(spark, sf), P.WIDE, 1, 2)
+    return validate.months_present(P.station_panel(spark, sf), P.WIDE, 2024, 1, 2)
 
 
 BROKEN = S.UPLOAD + """,
@@ -114,8 +115,8 @@ def future_drivers_check(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("examples", shown)
 
 
-@query(
-    f"""WITH {BROKEN}, {S.cutoffs('broken')},
+def _failures_sql(last: str = "") -> str:
+    return f"""WITH {BROKEN}, {S.cutoffs('broken')},
     steps AS (SELECT series_id, time, lag(time) OVER (PARTITION BY series_id ORDER BY time) AS prev FROM broken),
     per AS (SELECT b.series_id, c.cutoff_ts,
         count(*) FILTER (b.time <= c.cutoff_ts) AS n_past, count(*) FILTER (b.time > c.cutoff_ts) AS n_future,
@@ -125,15 +126,83 @@ def future_drivers_check(spark: SparkSession, sf: str) -> DataFrame:
       FROM steps GROUP BY 1)
     SELECT * FROM (SELECT p.series_id, CASE WHEN dup THEN 'duplicate_time' WHEN gap THEN 'broken_cadence'
         WHEN cutoff_ts IS NULL THEN 'no_observed_row' WHEN n_past < 48 THEN 'short_past'
-        WHEN n_future = 0 THEN 'no_future_rows' WHEN bad > 0 THEN 'bad_future_drivers' END AS rule
+        WHEN n_future = 0 THEN 'no_future_rows' WHEN bad > 0 THEN 'bad_future_drivers' {last} END AS rule
       FROM per p JOIN flaw f ON f.series_id = p.series_id) WHERE rule IS NOT NULL"""
-)
+
+
+@query(_failures_sql())
 def upload_failures(spark: SparkSession, sf: str) -> DataFrame:
     """First broken rule of each rejected upload."""
     prepared = prepare.prepare_upload(P.broken_uploads(spark, sf), P.WIDE)
     return prepared.failures.select("series_id", "rule")
 
 
+@query(_failures_sql("WHEN n_future < 168 THEN 'short_future'"))
+def forecast_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """Every series that gets no forecast of a week, with the rule that stopped it."""
+    prepared = prepare.prepare_upload(P.broken_uploads(spark, sf), P.WIDE)
+    return recursive.refused(prepared, P.WIDE, 168).select("series_id", "rule")
+
+
+@query(
+    """WITH spans AS (SELECT user_id || ':' || ((day(ts) - 1) // 12) AS series_id,
+      greatest(date_diff('day', min(ts)::DATE, max(ts)::DATE) - 1, 0) AS rows FROM events GROUP BY 1)
+    SELECT * FROM spans WHERE rows <= 7"""
+)
+def batch_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """Stretches of 12 days of each user that are too short, after two lags, to hold out a week."""
+    stretch = F.floor((F.dayofmonth("ts") - 1) / 12).cast("string")
+    events = P.table(spark, sf, "events").select(
+        F.concat(F.col("user_id").cast("string"), F.lit(":"), stretch).alias("series_id"),
+        F.col("ts").alias("time"),
+        F.col("value").alias("pm2_5"),
+    )
+    return prepare.batch_frames(events, P.WIDE).rejected
+
+
+@query(
+    f"""WITH obs AS ({S.event_hours('user_id')})
+    SELECT series_id, count(*) FILTER (y IS NOT NULL) AS rows FROM obs GROUP BY 1
+    HAVING count(*) FILTER (y IS NOT NULL) < {P.SINGLE.window + 1 + MIN_EXTRA_ROWS}"""
+)
+def training_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """Users with too few complete rows to train on."""
+    return training.too_small(P.event_hours(spark, sf, "user_id"), P.SINGLE)
+
+
+def _last_day(panel: DataFrame) -> DataFrame:
+    """A cutoff one day before the end of each series."""
+    return panel.groupBy("series_id").agg(F.max("time").alias("_last")).select(
+        "series_id", clock.shift(F.col("_last"), -24 * 3600).alias("cutoff_ts")
+    )
+
+
+@query(
+    """SELECT event_type AS series_id, 'unfilled_past' AS rule, 'no value to fill from in: ozone' AS detail
+    FROM events WHERE event_type IN ('click', 'view') GROUP BY 1"""
+)
+def unfilled_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Series whose past has a column without any value; two of them had their ozone taken away."""
+    bare = F.col("series_id").isin("click", "view")
+    panel = P.station_panel(spark, sf).withColumn("ozone", F.when(~bare, F.col("ozone")))
+    summary = validate.cut_summary(panel, _last_day(panel), P.WIDE)
+    return validate.past_failures(summary, P.WIDE).select("series_id", "rule", "detail")
+
+
+@query(
+    """SELECT event_type AS series_id, date_trunc('hour', max(ts)) - INTERVAL 24 HOUR AS cutoff_ts,
+      date_trunc('hour', max(ts)) - INTERVAL 21 HOUR AS first_future FROM events WHERE event_type = 'click' GROUP BY 1"""
+)
+def future_start(spark: SparkSession, sf: str) -> DataFrame:
+    """Series whose future does not begin one hour after the cutoff; one lost its first two hours."""
+    panel = P.station_panel(spark, sf)
+    cuts = _last_day(panel)
+    late = F.when(F.col("series_id") == "click", F.lit(2 * 3600)).otherwise(F.lit(0))
+    start = clock.shift(F.col("cutoff_ts"), late)
+    ahead = panel.join(cuts, "series_id").filter(F.col("time") > start).drop("cutoff_ts")
+    return validate.starts_after_cutoff(ahead, cuts, P.WIDE)
+
+
 HEADER = f"""{S.PAST}, head AS (SELECT u.series_id, c.cutoff_ts,
     count(*) FILTER (u.time <= c.cutoff_ts) AS n_past, count(*) FILTER (u.time > c.cutoff_ts) AS n_future
     FROM upload u JOIN cuts c ON c.series_id = u.series_id GROUP BY 1, 2)"""

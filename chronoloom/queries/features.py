@@ -130,7 +130,9 @@ def readable_json(spark: SparkSession, sf: str) -> DataFrame:
     return P.table(spark, sf, "events").select("event_id", labels.readable_json(stored).alias("results"))
 
 
-@query()
+@query(
+    "SELECT doc_id, concat_ws(':', source || '/' || doc_id, CAST(strlen(text) AS VARCHAR), md5(text)) AS signature FROM documents"
+)
 def upload_signature(spark: SparkSession, sf: str) -> DataFrame:
     docs = P.table(spark, sf, "documents")
     name = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
@@ -334,3 +336,27 @@ def combine_sources(spark: SparkSession, sf: str) -> DataFrame:
 def time_diff(spark: SparkSession, sf: str) -> DataFrame:
     hours = P.event_hours(spark, sf, "user_id").select(*KEYS)
     return windows.time_steps(hours, P.SINGLE)
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def numeric_only(spark: SparkSession, sf: str) -> DataFrame:
+    """The numeric columns of a table."""
+    return schema.keep_numeric(P.table(spark, sf, "events"))
+
+
+@query(
+    f"WITH {S.STATION_PANEL} SELECT series_id, time, {S.rs(['ozone', 'temperature'])}, CAST(NULL AS DOUBLE) AS humidity FROM panel"
+)
+def reindexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Listed columns in order, one of them absent."""
+    listed = schema.reindex(P.station_panel(spark, sf), ("humidity", "ozone", "temperature"), ("series_id", "time"))
+    return P.settled(listed, ["ozone", "temperature"])
+
+
+@query(
+    """SELECT o_orderpriority AS series_id, o_orderdate AS time, o_totalprice AS y FROM orders
+    WHERE year(o_orderdate) = 1996 AND month(o_orderdate) = 2"""
+)
+def month_slice(spark: SparkSession, sf: str) -> DataFrame:
+    """One calendar month of one year."""
+    return schema.calendar_month(P.order_events(spark, sf), P.SINGLE, 1996, 2)

@@ -248,6 +248,20 @@ def backtest_period(spark: SparkSession, sf: str) -> DataFrame:
     return P.settled(out, PREDS + USED + [f"{t}_actual" for t in S.TARGETS])
 
 
+SCORES = " UNION ALL ".join(
+    f"""SELECT '{t}' AS target, count(*) AS n, {S.r(f'avg(abs({t}_actual - {t}_pred))', 'mae', 3)},
+    {S.r(f'sqrt(avg(({t}_actual - {t}_pred) ** 2))', 'rmse', 3)} FROM b WHERE {t}_actual IS NOT NULL"""
+    for t in S.TARGETS
+)
+
+
+@query(f"WITH b AS ({_backtest_sql()}) {SCORES}")
+def backtest_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Error of the backtest per target, over the hours where it was observed."""
+    scored = training.evaluate(backtest_period(spark, sf), P.WIDE)
+    return P.settled(scored.select("target", "n", "mae", "rmse"), ["mae", "rmse"], 3)
+
+
 # Learned models on small windows; checked for rows only, as SQL cannot train.
 SMALL = P.WIDE.but(targets=("pm10", "pm2_5"), window=6)
 
@@ -266,10 +280,10 @@ def train_trees(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def train_linear(spark: SparkSession, sf: str) -> DataFrame:
-    """Huber regression per target: hold-out accuracy."""
-    frames = training.training_frames(_small_panel(spark, sf), SMALL)
-    models = training.train_linear(frames, SMALL, training.LinearSettings(iterations=20))
-    return training.evaluate(training.predict_samples(frames, models, SMALL), SMALL)
+    """Huber regression per target, full window and settings: hold-out accuracy."""
+    frames = training.training_frames(P.station_panel(spark, sf), P.WIDE)
+    models = training.train_linear(frames, P.WIDE)
+    return training.evaluate(training.predict_samples(frames, models, P.WIDE), P.WIDE)
 
 
 @query()

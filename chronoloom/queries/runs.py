@@ -63,7 +63,7 @@ def history_filtered(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {RUNS} SELECT run_id, user_id, substr(coalesce(upload_date, timestamp), 1, 16) AS date, model_used AS model FROM runs"
 )
 def history_list(spark: SparkSession, sf: str) -> DataFrame:
-    return history.run_list(runs_table(spark, sf))
+    return history.by_date(history.run_list(runs_table(spark, sf)))
 
 
 @query(f"WITH {RUNS} SELECT run_id, user_id, model_used FROM runs WHERE inserted_seq % 7 <> 0")

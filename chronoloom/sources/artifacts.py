@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.ml import Model
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chronoloom.plans.recursive import Predictor
-from chronoloom.plans.training import TreeEnsemble, linear_model
+from chronoloom.plans.training import linear_model
 from chronoloom.spec import ArtifactMissingError, PanelSpec, PanelValidationError
 
 KINDS = {"trees": GBTRegressionModel, "linear": LinearRegressionModel}
@@ -31,7 +29,8 @@ class Artifact:
     features: tuple[str, ...]
     stats: DataFrame
     models: list[Model]
-    predictor: Predictor
+    #: What a forecast takes: one linear model, or the trees of each target.
+    predictor: Predictor | list[Model]
 
 
 def save(path: str, kind: str, models: list[Model], stats: DataFrame, spec: PanelSpec, horizon: int = 1) -> None:
@@ -60,9 +59,9 @@ def load(spark: SparkSession, path: str, spec: PanelSpec) -> Artifact:
     meta = _metadata(spark, path)
     models = [KINDS[meta["kind"]].load(f"{path}/models/{t}") for t in meta["targets"]]
     if meta["kind"] == "linear":
-        predictor: Predictor = linear_model(models, spec.but(window=meta["window"]))
+        predictor: Predictor | list[Model] = linear_model(models, spec.but(window=meta["window"]))
     else:
-        predictor = tree_ensemble(spark, [f"{path}/models/{t}" for t in meta["targets"]])
+        predictor = models
     return Artifact(
         meta["kind"],
         meta["window"],
@@ -86,61 +85,3 @@ def feature_order(spark: SparkSession, paths: list[str], spec: PanelSpec) -> tup
         if features:
             return tuple(features)
     return spec.features
-
-
-def tree_ensemble(spark: SparkSession, model_paths: list[str]) -> TreeEnsemble:
-    """Node tables of stored boosted trees as arrays.
-
-    Their size is set by rounds and depth, not by the data, so the driver can
-    hold them and send them with the tasks.
-    """
-    parts = []
-    for owner, path in enumerate(model_paths):
-        nodes = spark.read.parquet(f"{path}/data").select(
-            F.col("treeID").alias("tree"),
-            F.col("nodeData.id").alias("id"),
-            F.col("nodeData.prediction").alias("value"),
-            F.col("nodeData.leftChild").alias("left"),
-            F.col("nodeData.rightChild").alias("right"),
-            F.col("nodeData.split.featureIndex").alias("feature"),
-            F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-        )
-        meta = spark.read.parquet(f"{path}/treesMetadata")
-        weights = meta.select(F.col(meta.columns[0]).alias("tree"), F.col(meta.columns[2]).alias("weight"))
-        table = nodes.join(weights, "tree").toPandas().sort_values(["tree", "id"], ignore_index=True)
-        parts.append(table.assign(owner=owner))
-    feature, threshold, left, right, value, roots, weight, owners = [], [], [], [], [], [], [], []
-    offset = 0
-    for table in parts:
-        for _, tree in table.groupby("tree", sort=True):
-            roots.append(offset)
-            weight.append(float(tree["weight"].iloc[0]))
-            owners.append(int(tree["owner"].iloc[0]))
-            feature.append(tree["feature"].to_numpy())
-            threshold.append(tree["threshold"].fillna(0.0).to_numpy())
-            left.append(np.where(tree["left"] < 0, -1, tree["left"] + offset))
-            right.append(np.where(tree["right"] < 0, -1, tree["right"] + offset))
-            value.append(tree["value"].to_numpy())
-            offset += len(tree)
-    lefts, rights = np.concatenate(left), np.concatenate(right)
-    return TreeEnsemble(
-        np.concatenate(feature),
-        np.concatenate(threshold),
-        lefts,
-        rights,
-        np.concatenate(value),
-        np.array(roots),
-        np.array(weight),
-        np.array(owners),
-        len(model_paths),
-        _depth(lefts, rights, np.array(roots)),
-    )
-
-
-def _depth(left: np.ndarray, right: np.ndarray, roots: np.ndarray) -> int:
-    level, depth = roots, 0
-    while True:
-        inner = level[left[level] >= 0]
-        if not len(inner):
-            return depth
-        level, depth = np.concatenate([left[inner], right[inner]]), depth + 1

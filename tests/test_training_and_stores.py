@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import hourly, typed_frame
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from chronoloom.plans import history, prepare, recursive, training
@@ -55,12 +56,19 @@ def test_linear_beats_repeating_and_trees_are_repeatable(spark, frames, tmp_path
     artifacts.save(place, "trees", trees, frames.stats, SMALL)
     loaded = artifacts.load(spark, place, SMALL)
     assert loaded.features == SMALL.features and loaded.window == 4
-    rows = frames.samples.limit(40).toPandas()
-    flat = np.stack([v.toArray() for v in rows["features"]])
-    mine = loaded.predictor.predict(flat.reshape(len(flat), 4, -1))
-    for k, model in enumerate(loaded.models):
-        theirs = [model.predict(v) for v in rows["features"]]
-        np.testing.assert_allclose(mine[:, k], theirs, rtol=1e-9)
+    width, known = len(SMALL.features), len(SMALL.features) - len(SMALL.targets)
+    rng = np.random.default_rng(3)
+    series = [(f"s{n}", rng.normal(size=(4, width)).tolist(), rng.normal(size=(n, known)).tolist()) for n in (1, 8, 3)]
+    state = spark.createDataFrame(series, "series_id string, history array<array<double>>, drivers array<array<double>>")
+    rolled = {r.series_id: r.preds for r in recursive.apply_models(state, SMALL, loaded.predictor, 8, 3).collect()}
+    for name, history_rows, drivers in series:
+        rows = list(history_rows)
+        for step, ahead in enumerate(drivers):
+            flat = Vectors.dense(np.concatenate(rows[-4:]))
+            want = [m.predict(flat) for m in trees]
+            np.testing.assert_allclose(rolled[name][step], want, rtol=1e-9)
+            rows.append([*want, *ahead])
+        assert len(rolled[name]) == len(drivers)
     assert artifacts.feature_order(spark, [str(tmp_path / "absent"), place], AIR_QUALITY) == SMALL.features
     assert artifacts.feature_order(spark, [str(tmp_path / "absent")], AIR_QUALITY) == AIR_QUALITY.features
     with pytest.raises(ArtifactMissingError):
@@ -82,12 +90,14 @@ def test_backtest_scores_only_observed_targets(spark):
         [tuple([0.0] * len(SMALL.features) + [1.0] * len(SMALL.features))],
         ", ".join([f"{c}_mu double" for c in SMALL.features] + [f"{c}_sigma double" for c in SMALL.features]),
     )
-    out = training.backtest_months(panel, SMALL, 1, 2, Last(), stats).toPandas()
+    out = training.backtest_months(panel, SMALL, 2025, 1, 2, Last(), stats).toPandas()
     assert out["series_id"].unique().tolist() == ["a"] and len(out) == 1000 - 744
     assert out["pm10_actual"].isna().sum() == 10
     january = pdf[(pdf["series_id"] == "a") & (pdf["time"].dt.month == 1)]
     np.testing.assert_allclose(out["pm10_pred"], january["pm10"].iloc[-1])
-    leaky = training.backtest_months(panel, SMALL, 1, 2, Last(), stats, fill_before_split=True).toPandas()
+    # The same months of another year are another period.
+    assert training.backtest_months(panel, SMALL, 2024, 1, 2, Last(), stats).count() == 0
+    leaky = training.backtest_months(panel, SMALL, 2025, 1, 2, Last(), stats, fill_before_split=True).toPandas()
     assert leaky["pm10_actual"].isna().sum() == 0
 
 
