@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import typed_frame
+from frames import typed_frame
 from pyspark.sql import functions as F
 
 from chronoloom.operators import blocks, fill, windows

@@ -8,7 +8,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import typed_frame
+from frames import typed_frame
 from pyspark.sql import functions as F
 
 from chronoloom.functions import clock, coerce, labels

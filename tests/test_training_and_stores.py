@@ -7,7 +7,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import hourly, typed_frame
+from frames import hourly, typed_frame
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 

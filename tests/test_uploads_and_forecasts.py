@@ -8,7 +8,7 @@ import sys
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import hourly, text_frame, typed_frame
+from frames import hourly, text_frame, typed_frame
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
