@@ -1,15 +1,7 @@
 from __future__ import annotations
 
-import os
-import sys
-
-HERE = os.path.dirname(os.path.abspath(__file__))
-for folder in (HERE, os.path.dirname(HERE), os.path.dirname(os.path.dirname(HERE))):
-    if folder not in sys.path:
-        sys.path.insert(0, folder)
-
-import pytest  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
+import pytest
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="session")
@@ -25,6 +17,8 @@ def folder(spark, tmp_path_factory):
         "pages": "page_id long, url string, html string",
         "benchmark": "item_id long, text string",
         "labels": "doc_id long, quality int, toxic int",
+        "embeddings": "vec_id long, embedding array<float>, label int",
+        "conversations": "conv_id long, turn long, role string, text string",
     }
 
     def write(extra: bool = False, **tables) -> str:
@@ -41,7 +35,3 @@ def folder(spark, tmp_path_factory):
         return str(at)
 
     return write
-
-
-def rows(df, key="doc_id"):
-    return {r[key]: r for r in df.collect()}

@@ -7,7 +7,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import rows
+from tables import rows
 
 from chronoloom.llm import jaccard, postings, queries, substrings
 from chronoloom.llm.components import components

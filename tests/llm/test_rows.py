@@ -10,7 +10,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
-from conftest import rows
+from tables import rows
 from pyspark.sql import functions as F
 
 from chronoloom.llm import html, langid, packing, quality, queries, secrets, urls, warc
@@ -175,7 +175,7 @@ def reference_ids(docs):
 
 def test_packing(spark, folder):
     rng = random.Random(2)
-    odd = ["<|endoftext|> a", "don't  été x\x85y\x1cz", "İSTANBUL ΟΔΟΣ", "汉字 テスト 123"]
+    odd = ["<|endoftext|> a", "x<|endoftext|>y <|startoftext|>", "a<|ENDOFTEXT|>b <|endoftext|><|endoftext|>é", "don't  été x\x85y\x1cz", "İSTANBUL ΟΔΟΣ", "汉字 テスト 123"]
     docs = [*((i, t) for i, t, _ in DOCS), *((100 + i, t) for i, t in enumerate(odd))]
     docs += [(200 + i, " ".join(rng.choice(["alpha", "beta", "gamma!"]) for _ in range(rng.randint(1, 1500)))) for i in range(150)]
     docs += [(500, "long " * 9000), (501, "x " * 4095), (502, "x " * 4096)]
