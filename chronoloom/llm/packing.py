@@ -76,12 +76,15 @@ class Encoder:
     The tokenizer splits at white space before anything else and never joins over it, so ids of a text are the ids of
     its words in order.  It then splits words into runs of letters, digits and other signs.  Where case and composition
     of letters leave no doubt (``PLAIN``), words are split the same way here, as many new words consist of known parts.
+    A word that holds a token added to the vocabulary is never split: the tokenizer finds such tokens first.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = [re.escape(a.content) for a in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.reset()
 
     def reset(self) -> None:
@@ -98,7 +101,7 @@ class Encoder:
     def _learn(self) -> None:
         fresh = [w.decode() for w in self.words.fresh]
         self.words.fresh.clear()
-        split = [PART.findall(w.lower()) if PLAIN.fullmatch(w) else [w] for w in fresh]
+        split = [PART.findall(w.lower()) if PLAIN.fullmatch(w) and not self.added.search(w) else [w] for w in fresh]
         counts = np.array([len(s) for s in split], np.int64)
         k = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(split)), np.int64, counts.sum())
         new = self.parts.fresh
