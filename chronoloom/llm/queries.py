@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import html, jaccard, langid, packing, postings, quality, secrets, substrings, urls, warc
+from chronoloom.llm import bisectors, html, jaccard, langid, packing, postings, quality, secrets, substrings, urls, warc
 from chronoloom.llm.common import table
 from chronoloom.llm.sql import SQL  # noqa: F401
 
@@ -99,3 +99,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bisectors.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can say.
 
-The others (a network, mined rules, templates, codewords, a tokenizer, base 32) are tested against plain versions.
+The others (networks, mined rules, templates, codewords, a tokenizer, base 32) are tested against plain versions.
 """
 
 from __future__ import annotations
@@ -101,3 +101,40 @@ least_of AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(least_of.b, d.doc_id)) AS component_id
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON least_of.a = d.doc_id
 """
+
+
+def _rounds(n: int) -> str:
+    """Assignments a0, a1, ... to centroids c0, c1, ...; each but c0 is made of the assignment before."""
+    out = []
+    for i in range(n + 1):
+        out.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, vec_id, q, c, d FROM (
+    SELECT r, vec_id, v.q AS q, c, list_sum(list_transform(list_zip(v.q, c{i}.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{i}
+  ) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1
+)""")
+        if i < n:
+            out.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.c AS c, coalesce(m.q, c{i}.q) AS q FROM c{i} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % k + k) % k)) // k AS BIGINT) ORDER BY i) AS q
+    FROM (SELECT c, i, sum(x) AS s, count(*) AS k FROM (SELECT c, unnest(q) AS x, unnest(range(64)) AS i FROM a{i}) GROUP BY c, i)
+    GROUP BY c
+  ) m ON m.c = c{i}.c
+)""")
+    return ",\n".join(out)
+
+
+SQL["op11_centroid_clustering"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS c, q
+  FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, q FROM v ORDER BY h NULLS LAST, q LIMIT 8)
+),
+{_rounds(10)}
+SELECT vec_id, CAST(a10.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+  CAST(sum(d) OVER (PARTITION BY a10.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c10.q, ',')) AS centroid_sha256
+FROM a10 JOIN c10 ON a10.c = c10.c
+"""
