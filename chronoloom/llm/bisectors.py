@@ -44,7 +44,7 @@ def first_centroids(vectors: DataFrame, k: int = CENTROIDS, salt: str = "3:") ->
     """The k vectors whose salted ids have the smallest hashes."""
     named = vectors.withColumn("h", F.sha2(F.concat(F.lit(salt), F.col("vec_id").cast("string")), 256))
     rows = named.orderBy(F.col("h").asc_nulls_last(), "v").limit(k).select("v").collect()
-    return np.array([r.v for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], np.int64).reshape(len(rows), len(rows[0].v) if rows else 0)
 
 
 def bisectors(centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

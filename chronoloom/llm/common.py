@@ -86,11 +86,20 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
         buf = LOWER[buf]
     edge = np.diff(SPACE[buf], prepend=np.int8(1))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(buf * _power(_BASE, len(buf))[: len(buf)], out=total[1:])
-    h = mix((total[end] - total[start]) * _power(_INVERSE, len(buf))[start])
     begins = np.cumsum([0] + [len(x) + 1 for x in texts])
-    return h, np.searchsorted(start, begins)
+    return span_hashes(running_hash(buf), start, end), np.searchsorted(start, begins)
+
+
+def running_hash(buf: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any span of bytes follows; each byte counts one more than its value, so that 0 counts."""
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf + np.uint64(1)) * _power(_BASE, len(buf))[: len(buf)], out=total[1:])
+    return total
+
+
+def span_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, equal for equal bytes wherever they stand."""
+    return mix((total[end] - total[start]) * _power(_INVERSE, len(total) - 1)[start])
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
