@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import bisectors, html, jaccard, langid, packing, postings, quality, secrets, substrings, toxicity, urls, warc
+from chronoloom.llm import bisectors, html, jaccard, langid, packing, postings, quality, secrets, substrings, toxicity, tries, urls, warc
 from chronoloom.llm.common import table
 from chronoloom.llm.sql import SQL  # noqa: F401
 
@@ -113,3 +113,8 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = "coalesce(pmod(crc32(cast(cast(doc_id AS string) AS binary)), 5) = 0, false)"
     net = toxicity.train(docs, table(spark, sf_dir, "labels"), f"NOT {held_out}")
     return toxicity.score(docs, net).select("doc_id", F.expr(held_out).alias("held_out"), "score", "predicted")
+
+
+@query
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_nodes(table(spark, sf_dir, "conversations"))

@@ -138,3 +138,45 @@ SELECT vec_id, CAST(a10.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
   sha256(array_to_string(c10.q, ',')) AS centroid_sha256
 FROM a10 JOIN c10 ON a10.c = c10.c
 """
+
+SQL["op12_conversation_prefix_trie"] = f"""
+WITH own AS (
+  SELECT conv_id, list(struct_pack(h := h, w := w) ORDER BY turn NULLS FIRST, h) AS ts
+  FROM (
+    SELECT conv_id, turn, len(regexp_extract_all(t, {WORD})) AS w, sha256(CAST(length(r) AS VARCHAR) || ':' || r || t) AS h
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)
+  ) GROUP BY conv_id
+),
+bits AS (
+  SELECT k, list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS k)
+),
+crc_table AS (SELECT list(v ORDER BY k) AS v FROM bits),
+crc AS (
+  SELECT conv_id, xor(list_reduce(
+    list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda c, s: xor(c // 256, v[xor(c % 256, s) + 1])), 4294967295) % 4 AS h
+  FROM own, crc_table
+),
+rebuilt AS (
+  SELECT own.conv_id AS c, list_concat(coalesce(base.ts[1:h], []), own.ts[h + 1:]) AS ts
+  FROM own JOIN crc USING (conv_id) LEFT JOIN own base ON base.conv_id = own.conv_id - own.conv_id % 20
+),
+prefixes AS (
+  SELECT c, d, array_to_string(list_transform(ts[1:d], lambda t: t.h), '') AS p, CASE WHEN d > 0 THEN ts[d].w ELSE 0 END AS w, d = len(ts) AS ends
+  FROM (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM rebuilt)
+),
+nodes AS MATERIALIZED (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n, any_value(w) AS w, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ids
+  FROM prefixes GROUP BY p, d
+),
+up AS (SELECT x.*, y.conv_id AS parent FROM nodes x LEFT JOIN nodes y ON y.d = x.d - 1 AND y.p = left(x.p, 64 * (x.d - 1))),
+kids AS (SELECT left(p, 64 * (d - 1)) AS p, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT v.d, left(u.p, 64 * v.d) AS p, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((u.n - 1) * u.w) AS saved
+  FROM nodes u LEFT JOIN kids ON kids.p = u.p AND kids.d = u.d, (SELECT DISTINCT d FROM nodes) v WHERE v.d <= u.d GROUP BY ALL
+)
+SELECT up.conv_id, CAST(up.d AS BIGINT) AS depth, parent AS parent_conv_id, up.n AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ids) AS ends_sha256
+FROM up LEFT JOIN kids ON kids.p = up.p AND kids.d = up.d JOIN below ON below.p = up.p AND below.d = up.d
+"""
