@@ -47,6 +47,8 @@ def canonical(pdf: pd.DataFrame) -> list[tuple[str, ...]]:
     columns = []
     for c in cols:
         s = pdf[c]
+        if isinstance(s.dtype, pd.Int64Dtype) and s.hasnans:
+            s = s.astype(float)  # as the other side gives integers among which there are nulls
         if s.dtype.kind == "f":
             s = s.astype(object)
         columns.append([text(v) for v in s.tolist()])
@@ -55,7 +57,7 @@ def canonical(pdf: pd.DataFrame) -> list[tuple[str, ...]]:
 
 def kinds(pdf: pd.DataFrame) -> dict[str, str]:
     names = {c: str(pdf[c].dtype) for c in sorted(pdf.columns)}
-    return {c: "datetime" if k.startswith("datetime64") else k for c, k in names.items()}
+    return {c: "datetime" if k.startswith("datetime64") else "float64" if k == "Int64" else k for c, k in names.items()}
 
 
 def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
