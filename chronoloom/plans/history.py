@@ -33,6 +33,11 @@ def recent_runs(runs: DataFrame, limit: int = 50, user_id: int | None = None) ->
     return shown.withColumn("results", labels.readable_json(F.col("results")))
 
 
+def day_of_run() -> Column:
+    """The date of a run's timestamp; NULL where it has none."""
+    return F.substring("timestamp", 1, 10).try_cast("date")
+
+
 def filtered_runs(
     runs: DataFrame,
     user_id: int | None = None,
@@ -41,7 +46,7 @@ def filtered_runs(
     model_used: str | None = None,
 ) -> DataFrame:
     """Runs in an inclusive date range and of one model; a filter left out does not apply (L2)."""
-    day = F.substring("timestamp", 1, 10).try_cast("date")
+    day = day_of_run()
     out = runs
     if user_id is not None:
         out = out.filter(F.col("user_id") == user_id)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.queries import checks, features, forecasts, runs, statistics  # noqa: F401 - they register
+from chronoloom.queries import checks, features, forecasts, runs, statistics, stored_runs  # noqa: F401 - they register
 from chronoloom.queries.registry import QUERIES, SQL, Query
 
 
