@@ -7,7 +7,9 @@ scaled features.  The scaler is fitted on training rows only.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -86,13 +88,32 @@ def training_frames(
     return TrainingFrames(durable(flat.drop("window")), stats)
 
 
+def with_validation(frames: TrainingFrames, spec: PanelSpec, share: float = 0.1) -> TrainingFrames:
+    """The same samples, the last ``share`` of every series' training windows labelled ``valid``.
+
+    Their targets come after all training targets of the series; the rows they look back on may be training rows.
+    """
+    known = frames.samples.filter("split = 'train'")
+    parted = windows.split_fraction(known.drop("split"), spec, 1 - share)
+    parted = parted.withColumn("split", F.when(F.col("split") == "test", "valid").otherwise(F.col("split")))
+    rest = frames.samples.filter("split <> 'train'")
+    # Training passes over the samples many times, so they are dealt evenly over all tasks.
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return TrainingFrames(durable(parted.unionByName(rest).repartition(parts, spec.key, spec.time)), frames.stats)
+
+
 def _per_target(samples: DataFrame, index: int) -> DataFrame:
-    return samples.filter("split = 'train'").select("features", F.col("y")[index].alias("label"))
+    kept = samples.filter("split IN ('train', 'valid')")
+    return kept.select("features", F.col("y")[index].alias("label"), (F.col("split") == "valid").alias("valid"))
 
 
 def train_trees(frames: TrainingFrames, spec: PanelSpec, settings: TreeSettings = TreeSettings()) -> list[Model]:
-    """Boosted trees, one regressor per target (K1, K2)."""
-    shared_folder(frames.samples.sparkSession)  # boosting rounds checkpoint there
+    """Boosted trees with squared loss, one regressor per target, fitted side by side (K1, K2).
+
+    With validation samples a target stops at the first round that does not lower its validation error.
+    """
+    spark = frames.samples.sparkSession
+    shared_folder(spark)  # boosting rounds checkpoint there
     learner = GBTRegressor(
         maxIter=settings.rounds,
         maxDepth=settings.depth,
@@ -101,8 +122,13 @@ def train_trees(frames: TrainingFrames, spec: PanelSpec, settings: TreeSettings
         featureSubsetStrategy=settings.column_share,
         maxBins=settings.max_bins,
         seed=settings.seed,
+        validationTol=0.0,
     )
-    return [learner.fit(_per_target(frames.samples, i)) for i in range(len(spec.targets))]
+    if not frames.samples.filter("split = 'valid'").isEmpty():
+        learner = learner.setValidationIndicatorCol("valid")
+    fit = inheritable_thread_target(spark)(lambda i: learner.fit(_per_target(frames.samples, i)))
+    with ThreadPool(len(spec.targets)) as pool:
+        return pool.map(fit, range(len(spec.targets)))
 
 
 def train_linear(frames: TrainingFrames, spec: PanelSpec, settings: LinearSettings = LinearSettings()) -> list[Model]:

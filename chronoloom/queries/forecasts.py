@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import calendar, clock, labels
 from chronoloom.operators import combine, metrics, scale, windows
-from chronoloom.plans import prepare, recursive, training
+from chronoloom.plans import boosting, prepare, recursive, training
 from chronoloom.queries import panels as P
 from chronoloom.queries import sql as S
 from chronoloom.queries.registry import query
@@ -262,20 +262,40 @@ def backtest_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return P.settled(scored.select("target", "n", "mae", "rmse"), ["mae", "rmse"], 3)
 
 
-# Learned models on small windows; checked for rows only, as SQL cannot train.
-SMALL = P.WIDE.but(targets=("pm10", "pm2_5"), window=6)
+# Learned models at full windows, targets and settings; checked for rows only, as SQL cannot train.
 
 
-def _small_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return P.station_panel(spark, sf).select("series_id", "time", *SMALL.measured)
+def _all_rows(spark: SparkSession, sf: str) -> training.TrainingFrames:
+    return training.training_frames(P.station_panel(spark, sf), P.WIDE, fraction=None)
+
+
+def _validated(spark: SparkSession, sf: str, fraction: float | None = training.TRAIN_FRACTION) -> training.TrainingFrames:
+    frames = training.training_frames(P.station_panel(spark, sf), P.WIDE, fraction=fraction)
+    return training.with_validation(frames, P.WIDE)
 
 
 @query()
 def train_trees(spark: SparkSession, sf: str) -> DataFrame:
-    """Boosted trees per target: hold-out accuracy."""
-    frames = training.training_frames(_small_panel(spark, sf), SMALL)
-    models = training.train_trees(frames, SMALL, training.TreeSettings(rounds=5, depth=3))
-    return training.evaluate(training.predict_samples(frames, models, SMALL), SMALL)
+    """Boosted trees with squared loss per target, up to 200 rounds: hold-out accuracy."""
+    frames = _validated(spark, sf)
+    models = training.train_trees(frames, P.WIDE)
+    return training.evaluate(training.predict_samples(frames, models, P.WIDE), P.WIDE)
+
+
+@query()
+def train_boosted(spark: SparkSession, sf: str) -> DataFrame:
+    """Boosted trees with pseudo-Huber loss per target, up to 200 rounds: hold-out accuracy of each target's best round."""
+    frames = _validated(spark, sf)
+    model = boosting.train_boosted(frames, P.WIDE)
+    return training.evaluate(boosting.predict_boosted(frames, model, P.WIDE), P.WIDE)
+
+
+@query()
+def boosting_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Loss of every round of boosting on all rows, and the round chosen by validation loss."""
+    model = boosting.train_boosted(_validated(spark, sf, None), P.WIDE)
+    chosen = boosting.chosen_rounds(model.losses).withColumnsRenamed({"best": "best_round"})
+    return model.losses.join(chosen, "target")
 
 
 @query()
@@ -289,21 +309,19 @@ def train_linear(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def forecast_trees(spark: SparkSession, sf: str) -> DataFrame:
     """Boosted trees on all rows, stored, loaded and rolled forward 24 hours."""
-    frames = training.training_frames(_small_panel(spark, sf), SMALL, fraction=None)
-    models = training.train_trees(frames, SMALL, training.TreeSettings(rounds=5, depth=3))
+    frames = _validated(spark, sf, None)
+    models = training.train_trees(frames, P.WIDE)
     place = scratch_path(spark, "model")
-    artifacts.save(place, "trees", models, frames.stats, SMALL)
-    model = artifacts.load(spark, place, SMALL)
-    upload = P.upload_text(spark, sf).select("series_id", "time", *SMALL.measured)
-    panel = prepare.prepare_upload(upload, SMALL, features=model.features)
-    return recursive.forecast(panel, SMALL, 24, model.predictor, model.stats, "Trees")
+    artifacts.save(place, "trees", models, frames.stats, P.WIDE)
+    model = artifacts.load(spark, place, P.WIDE)
+    panel = prepare.prepare_upload(P.upload_text(spark, sf), P.WIDE, features=model.features)
+    return recursive.forecast(panel, P.WIDE, 24, model.predictor, model.stats, "Trees")
 
 
 @query()
 def forecast_linear(spark: SparkSession, sf: str) -> DataFrame:
     """Huber regression on all rows, rolled forward 24 hours."""
-    frames = training.training_frames(_small_panel(spark, sf), SMALL, fraction=None)
-    models = training.train_linear(frames, SMALL, training.LinearSettings(iterations=20))
-    upload = P.upload_text(spark, sf).select("series_id", "time", *SMALL.measured)
-    panel = prepare.prepare_upload(upload, SMALL)
-    return recursive.forecast(panel, SMALL, 24, training.linear_model(models, SMALL), frames.stats, "Linear")
+    frames = _all_rows(spark, sf)
+    models = training.train_linear(frames, P.WIDE)
+    panel = prepare.prepare_upload(P.upload_text(spark, sf), P.WIDE)
+    return recursive.forecast(panel, P.WIDE, 24, training.linear_model(models, P.WIDE), frames.stats, "Linear")
