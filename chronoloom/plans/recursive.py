@@ -184,7 +184,9 @@ def apply_predictor(state: DataFrame, spec: PanelSpec, predictor: Predictor) ->
                 history = np.concatenate([history[:, 1:, :], row[:, None, :]], axis=1)
             yield batch.assign(preds=[[list(r) for r in p[:n]] for p, n in zip(preds, lengths)])
 
-    return state.mapInPandas(run, schema)
+    # A series is few bytes but many steps of work, so series are dealt over all tasks first.
+    parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return state.repartition(parts, spec.key).mapInPandas(run, schema)
 
 
 def apply_models(

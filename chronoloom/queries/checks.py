@@ -133,14 +133,14 @@ def _failures_sql(last: str = "") -> str:
 @query(_failures_sql())
 def upload_failures(spark: SparkSession, sf: str) -> DataFrame:
     """First broken rule of each rejected upload."""
-    prepared = prepare.prepare_upload(P.broken_uploads(spark, sf), P.WIDE)
+    prepared = prepare.prepare_upload(P.broken_uploads(spark, sf), P.WIDE, order="row_order")
     return prepared.failures.select("series_id", "rule")
 
 
 @query(_failures_sql("WHEN n_future < 168 THEN 'short_future'"))
 def forecast_rejected(spark: SparkSession, sf: str) -> DataFrame:
     """Every series that gets no forecast of a week, with the rule that stopped it."""
-    prepared = prepare.prepare_upload(P.broken_uploads(spark, sf), P.WIDE)
+    prepared = prepare.prepare_upload(P.broken_uploads(spark, sf), P.WIDE, order="row_order")
     return recursive.refused(prepared, P.WIDE, 168).select("series_id", "rule")
 
 
@@ -215,7 +215,7 @@ HEADER = f"""{S.PAST}, head AS (SELECT u.series_id, c.cutoff_ts,
 )
 def available_horizons(spark: SparkSession, sf: str) -> DataFrame:
     """Header row of each accepted upload."""
-    header = prepare.prepare_upload(P.upload_text(spark, sf), P.WIDE).header
+    header = prepare.prepare_upload(P.upload_text(spark, sf), P.WIDE, order="row_order").header
     joined = F.array_join(F.transform("available_horizons", lambda h: h.cast("string")), ",")
     return header.withColumn("available_horizons", joined)
 
@@ -232,7 +232,7 @@ def future_actuals(spark: SparkSession, sf: str) -> DataFrame:
     cuts = panel.groupBy("series_id").agg(F.max("time").alias("_last")).select(
         "series_id", clock.shift(F.col("_last"), -24 * 3600).alias("cutoff_ts")
     )
-    prepared = prepare.prepare_upload(panel, P.WIDE, cutoffs=cuts)
+    prepared = prepare.prepare_upload(panel, P.WIDE, cutoffs=cuts, order="row_order")
     return P.settled(prepared.actuals, S.TARGETS)
 
 
@@ -242,7 +242,7 @@ CALENDAR = ", ".join(S.r(e, n) for n, e in S.calendar())
 @query(f"WITH {S.PAST} SELECT series_id, time, {S.rs(S.MEASURED)}, {CALENDAR} FROM filled")
 def preprocess_upload(spark: SparkSession, sf: str) -> DataFrame:
     """Filled and aligned past rows of every accepted upload."""
-    prepared = prepare.prepare_upload(P.upload_text(spark, sf), P.WIDE)
+    prepared = prepare.prepare_upload(P.upload_text(spark, sf), P.WIDE, order="row_order")
     return P.settled(prepared.past, P.WIDE.features)
 
 
@@ -251,7 +251,7 @@ def preprocess_upload(spark: SparkSession, sf: str) -> DataFrame:
     f"{S.rs(S.DRIVERS)}, {CALENDAR} FROM future"
 )
 def preprocess_future(spark: SparkSession, sf: str) -> DataFrame:
-    prepared = prepare.prepare_upload(P.upload_text(spark, sf), P.WIDE)
+    prepared = prepare.prepare_upload(P.upload_text(spark, sf), P.WIDE, order="row_order")
     return P.settled(prepared.future, P.WIDE.features)
 
 

@@ -19,7 +19,7 @@ USED = [f"{d}_used" for d in S.DRIVERS]
 
 
 def _prepared(spark: SparkSession, sf: str) -> prepare.PreparedPanel:
-    return prepare.prepare_upload(P.upload_text(spark, sf), P.WIDE)
+    return prepare.prepare_upload(P.upload_text(spark, sf), P.WIDE, order="row_order")
 
 
 def _fitted(panel: prepare.PreparedPanel) -> DataFrame:
@@ -314,7 +314,7 @@ def forecast_trees(spark: SparkSession, sf: str) -> DataFrame:
     place = scratch_path(spark, "model")
     artifacts.save(place, "trees", models, frames.stats, P.WIDE)
     model = artifacts.load(spark, place, P.WIDE)
-    panel = prepare.prepare_upload(P.upload_text(spark, sf), P.WIDE, features=model.features)
+    panel = prepare.prepare_upload(P.upload_text(spark, sf), P.WIDE, features=model.features, order="row_order")
     return recursive.forecast(panel, P.WIDE, 24, model.predictor, model.stats, "Trees")
 
 
@@ -323,5 +323,5 @@ def forecast_linear(spark: SparkSession, sf: str) -> DataFrame:
     """Huber regression on all rows, rolled forward 24 hours."""
     frames = _all_rows(spark, sf)
     models = training.train_linear(frames, P.WIDE)
-    panel = prepare.prepare_upload(P.upload_text(spark, sf), P.WIDE)
+    panel = prepare.prepare_upload(P.upload_text(spark, sf), P.WIDE, order="row_order")
     return recursive.forecast(panel, P.WIDE, 24, training.linear_model(models, P.WIDE), frames.stats, "Linear")

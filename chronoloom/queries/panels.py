@@ -77,7 +77,7 @@ def upload_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         panel.join(last, "series_id")
         .withColumns(cells)
         .withColumns({c: F.col(c).cast("string") for c in WIDE.drivers})
-        .withColumns({"time": clock.iso_utc(F.col("time")), "city": F.col("series_id")})
+        .withColumns({"time": clock.iso_utc(F.col("time")), "city": F.col("series_id"), "row_order": F.col("time")})
         .drop("_last")
     )
 
