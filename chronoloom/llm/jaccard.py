@@ -295,24 +295,26 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = durable(sketch(docs))
-    sized = sketches.select("doc_id", "n_shingles", "set_key")
+    sized = sketches.select("doc_id", "n_shingles", "set_key", "need")
     classes = durable(sized.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")))
 
-    # Hashes that different sets have among their first ones, and the sets that have enough of them.
-    firsts = sketches.where("doc_id IS NOT NULL").select(
-        "doc_id", "need", F.xxhash64("set_key").alias("k"), F.explode("firsts").alias("h")
-    )
-    shared = firsts.groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low != high").select("h")
-    met = durable(firsts.drop("k").join(shared, "h"))
+    # Hashes that different sets have among their first ones, and the sets that have enough of them.  They are shuffled
+    # once: grouping by hash and set and counting the sets of a hash both find them dealt by hash.
+    firsts = sketches.where("doc_id IS NOT NULL").select(F.explode("firsts").alias("h"), F.xxhash64("set_key").alias("k"), "doc_id")
+    once = firsts.repartition("h").groupBy("h", "k").agg(F.min("doc_id").alias("doc_id"))
+    met = durable(once.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").select("doc_id", "h"))
     release(spark)
-    enough = met.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("need").alias("need"), F.min("h").alias("g")).where("n >= need")
-    enough = enough.join(classes.select("doc_id"), "doc_id").select("doc_id", "g")
+    # An id with several texts has the least need of any, which leaves nothing out.
+    needs = classes.join(sized, ["set_key", "doc_id"]).groupBy("doc_id").agg(F.min("need").alias("need"))
+    enough = met.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("g")).join(needs, "doc_id").where("n >= need")
+    enough = enough.select("doc_id", "g", "need")
     sets = durable(_owned(docs, enough))
     release(spark)
-    met = durable(met.join(sets.select("doc_id"), "doc_id", "left_semi").select("doc_id", "need", "h"))
+    met = durable(met.join(sets.select("doc_id", "need").distinct(), "doc_id").select("doc_id", "need", "h"))
 
     # First under one hash each: near copies mostly meet there, and the rest of the work knows their components.
-    known = components(_block_links(_labelled(sets.select("doc_id", "hashes", F.col("g").alias("group")), None)))
+    same_id = _links_of_ids(sized, classes)
+    known = components(_block_links(_labelled(sets.select("doc_id", "hashes", F.col("g").alias("group")), None)).unionByName(same_id))
     release(spark)
 
     # Then under hashes whose sets are not all in one component, as far as a set has enough of these.
@@ -349,11 +351,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "set_key", F.coalesce("component", "doc_id").alias("class_component")
     )
     # A row is named by its own id where it stands alone, so rows without words keep theirs.
-    return sized.join(by_class, "set_key", "left").select(
+    return sized.drop("need").join(by_class, "set_key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id")).alias("component_id")
     )
 
 
+def _links_of_ids(sized: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that have one id but unlike texts."""
+    own = sized.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_key")
+    unlike = own.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low != high").select("doc_id")
+    named = own.join(unlike, "doc_id").distinct().join(classes.withColumnRenamed("doc_id", "class"), "set_key")
+    least = named.groupBy("doc_id").agg(F.min("class").alias("a"))
+    return named.join(least, "doc_id").where("class != a").select("a", F.col("class").alias("b")).distinct()
+
+
 def _labelled(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     """Rows with the component of their document, its own id where no link is known."""
     if known is None:
@@ -389,6 +400,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = docs.join(kept.distinct(), "doc_id", "left_semi")
     if twice:
         # Rows that share an id are one document: the one with the smallest text stays.
-        place = Window.partitionBy("doc_id").orderBy("text")
-        rows = rows.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
+        columns = rows.columns
+        packed = rows.select("doc_id", "text", F.struct(*columns).alias("row"))
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        rows = packed.select("row", place.alias("place")).where("place = 1").select("row.*")
     return rows.unionByName(docs.where("doc_id IS NULL"))

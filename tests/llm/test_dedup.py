@@ -111,6 +111,25 @@ def test_empty_and_null(spark, folder, name):
         assert {(r.doc_id, r.component_id) for r in got} == {(None, None), (1, 1), (2, 2)}
 
 
+def test_zero_bytes_are_part_of_words(spark, folder):
+    got = rows(queries.op5_ngram_jaccard_join(spark, folder(documents=[(1, "a a\0 b c d"), (2, "a a b c d"), (3, "a a\0 b c d")])))
+    assert {i: r.component_id for i, r in got.items()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_rows_of_one_id_are_one_node(spark, folder):
+    p, q, s = (" ".join(f"{x}{i}" for i in range(60)) for x in "pqs")
+    docs = [(1, p), (5, p), (5, q), (7, q), (8, q + " end"), (9, s), (9, "short one"), (10, s + " end"), (11, "short one")]
+    got = queries.op5_ngram_jaccard_join(spark, folder(documents=docs)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (5, 1), (5, 1), (7, 1), (8, 1), (9, 9), (9, 9), (10, 9), (11, 9)]
+
+
+def test_one_of_each_with_clashing_names(spark, folder):
+    at = folder(extra=True, documents=[(1, "a b c d e f"), (1, "z y x w v u"), (2, "a b c d e f"), (None, "q")])
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    out = jaccard.one_of_each(docs)
+    assert out.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in out.collect()) == [("1", "a b c d e f"), ("None", "q")]
+
+
 def test_component_names(spark):
     links = [(1, 2), (2, 3), (9, 8), (3, 7), (20, 20)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

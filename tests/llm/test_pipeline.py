@@ -65,6 +65,13 @@ def test_stages(spark, folder):
             assert ids == set(texts)
 
 
+def test_contaminated_rows_without_an_id_or_with_a_shared_one(spark, folder):
+    item = " ".join(f"item{i}" for i in range(12))
+    at = folder(documents=[(None, "x " + item), (None, "clean"), (3, item + " y"), (3, "clean too")], benchmark=[(1, item)])
+    out = corpus_pipeline.decontamination(spark, spark.read.parquet(f"{at}/documents.parquet"), at).collect()
+    assert sorted((str(r.doc_id), r.text) for r in out) == [("3", "clean too"), ("None", "clean")]
+
+
 def test_empty_table(spark, folder):
     assert corpus_pipeline.run(spark, folder()).count() == 0
 
