@@ -101,20 +101,57 @@ def cadence_gaps(counts: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
-def detect_cutoff(df: DataFrame, spec: PanelSpec) -> DataFrame:
+def _complete(spec: PanelSpec) -> Column:
+    return reduce(Column.__and__, [F.col(c).isNotNull() for c in spec.measured])
+
+
+def _bad_driver(spec: PanelSpec) -> Column:
+    return reduce(Column.__or__, [unusable(c) for c in spec.drivers])
+
+
+def _known_targets(spec: PanelSpec) -> Column:
+    return reduce(Column.__and__, [F.col(c).isNotNull() for c in spec.targets])
+
+
+def block_summary(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """What the rules need to know of each block of a series; merged on the map side, so few rows move.
+
+    Sums of blocks answer for whole series.  Only the block in which a cutoff lies has to be read row by row.
+    """
+    complete = _complete(spec)
+    return df.groupBy(spec.key, blocks.time_block(spec).alias(blocks.BLOCK)).agg(
+        F.count("*").alias("_rows"),
+        F.max(spec.time).alias("_last"),
+        F.count_if(complete).alias("_full"),
+        F.max(F.when(complete, F.col(spec.time))).alias("_last_full"),
+        F.count_if(_bad_driver(spec)).alias("_bad"),
+        F.count_if(_known_targets(spec)).alias("_known"),
+        *[F.count(c).alias(f"_seen_{c}") for c in spec.measured],
+    )
+
+
+def detect_cutoff(df: DataFrame, spec: PanelSpec, summary: DataFrame | None = None) -> DataFrame:
     """Last fully observed row that is not the final row (C4).
 
     One row per series: ``cutoff_ts`` is NULL when there is none, ``observed``
-    counts the fully observed rows.
+    counts the fully observed rows.  ``summary`` is :func:`block_summary`, where it is at hand.
     """
-    complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in spec.measured])
-    marked = df.select(spec.key, spec.time, complete.alias("_full"))
-    whole = marked.groupBy(spec.key).agg(F.max(spec.time).alias("_last"), F.count_if("_full").alias("observed"))
-    # The two newest fully observed times tell the answer; the rows themselves are never joined.
-    full = marked.filter("_full").select(spec.key, spec.time).groupBy(spec.key, spec.time).agg(F.lit(1).alias("_one"))
-    newest = windows.newest_rows(full.drop("_one"), spec, 2).join(whole, spec.key)
-    cut = newest.filter(F.col(spec.time) < F.col("_last")).groupBy(spec.key).agg(F.max(spec.time).alias("cutoff_ts"))
-    return whole.join(cut, spec.key, "left").select(spec.key, "cutoff_ts", "observed")
+    parts = block_summary(df, spec) if summary is None else summary
+    whole = parts.groupBy(spec.key).agg(
+        F.max("_last").alias("_end"),
+        F.sum("_full").alias("observed"),
+        F.max("_last_full").alias("_newest"),
+        F.max(blocks.BLOCK).alias("_end_block"),
+    )
+    # Where the final row is full itself, the answer is the one before it: in its block, or else in an earlier one.
+    closed = whole.filter(F.col("_newest") == F.col("_end")).select(spec.key, F.col("_end_block").alias(blocks.BLOCK), "_end")
+    earlier = parts.join(closed.withColumnRenamed(blocks.BLOCK, "_end_block"), spec.key).filter(F.col(blocks.BLOCK) < F.col("_end_block"))
+    earlier = earlier.groupBy(spec.key).agg(F.max("_last_full").alias("_earlier"))
+    full = df.filter(_complete(spec)).select(spec.key, spec.time, blocks.time_block(spec).alias(blocks.BLOCK))
+    inside = full.join(closed, [spec.key, blocks.BLOCK]).filter(F.col(spec.time) < F.col("_end"))
+    inside = inside.groupBy(spec.key).agg(F.max(spec.time).alias("_inside"))
+    cutoff = F.when(F.col("_newest") < F.col("_end"), F.col("_newest")).otherwise(F.coalesce("_inside", "_earlier"))
+    return whole.join(earlier, spec.key, "left").join(inside, spec.key, "left").select(spec.key, cutoff.alias("cutoff_ts"), "observed")
 
 
 def cutoff_failures(detected: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -150,42 +187,71 @@ def unusable(c: str) -> Column:
     return value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
 
 
-def cut_summary(df: DataFrame, cutoffs: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Everything the later rules need to know about each side of the cutoff, in one pass.
+def _edges(cutoffs: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Each cutoff with the start of the future and the blocks of both."""
+    start = clock.shift(F.col("cutoff_ts"), spec.cadence_seconds)
+    size = spec.cadence_seconds * spec.block_rows
+    return cutoffs.select(spec.key, "cutoff_ts", start.alias("_start")).withColumns(
+        {"_cut_block": clock.ticks(F.col("cutoff_ts"), size), "_start_block": clock.ticks(F.col("_start"), size)}
+    )
+
+
+def _near(df: DataFrame, edges: DataFrame, spec: PanelSpec) -> DataFrame:
+    """The rows in the blocks of the cutoff and of the start, a bounded number for each series."""
+    both = F.explode(F.array_distinct(F.array("_cut_block", "_start_block")))
+    near = edges.select(spec.key, "cutoff_ts", "_start", both.alias(blocks.BLOCK))
+    return df.withColumn(blocks.BLOCK, blocks.time_block(spec)).join(near, [spec.key, blocks.BLOCK])
+
+
+def cut_summary(df: DataFrame, cutoffs: DataFrame, spec: PanelSpec, summary: DataFrame | None = None) -> DataFrame:
+    """Everything the later rules need to know about each side of the cutoff.
 
-    Rows per side, unknown values per column before it, hours with unusable
-    drivers after it, and whether every target after it is known.
+    Rows per side, known values per column before it, hours with unusable
+    drivers after it, and whether every target after it is known.  Blocks on one side of the cutoff are added up from
+    :func:`block_summary`; rows are read only in the blocks at the cutoff.
     """
-    start = clock.shift(F.col("cutoff_ts"), spec.cadence_seconds)
-    past = F.col(spec.time) <= F.col("cutoff_ts")
-    future = F.col(spec.time) >= start
-    bad_driver = reduce(Column.__or__, [unusable(c) for c in spec.drivers])
-    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in spec.targets])
-    # Spread again after the join on the series, so that each block is counted where it lies.
-    joined = blocks.by_block(df.join(cutoffs.select(spec.key, "cutoff_ts"), spec.key), spec)
-    return joined.groupBy(spec.key, "cutoff_ts").agg(
-        F.count_if(past).alias("n_past"),
-        F.count_if(future).alias("n_future"),
-        F.count_if(future & bad_driver).alias("bad_future"),
-        (F.count_if(future & known) == F.count_if(future)).alias("_all_known"),
-        *[F.count_if(past & F.col(c).isNotNull()).alias(f"_seen_{c}") for c in spec.measured],
-    ).withColumn("has_actuals", F.col("_all_known") & (F.col("n_future") > 0)).drop("_all_known")
+    edges = _edges(cutoffs, spec)
+    sums = block_summary(df, spec) if summary is None else summary
+    whole = sums.join(edges, spec.key)
+    before, after = F.col(blocks.BLOCK) < F.col("_cut_block"), F.col(blocks.BLOCK) > F.col("_start_block")
+    past, future = F.col(spec.time) <= F.col("cutoff_ts"), F.col(spec.time) >= F.col("_start")
+    rows = _near(df, edges, spec)
+    seen = [f"_seen_{c}" for c in spec.measured]
+
+    def each(a: Column, b: Column, counted: dict[str, Column]) -> list[Column]:
+        return [F.when(a, counted["_rows"]).otherwise(0).alias("n_past"), *[
+            F.when(b, counted[c]).otherwise(0).alias(n) for n, c in (("n_future", "_rows"), ("bad_future", "_bad"), ("_known", "_known"))
+        ], *[F.when(a, counted[c]).otherwise(0).alias(c) for c in seen]]
+
+    of_blocks = {c: F.col(c) for c in ("_rows", "_bad", "_known", *seen)}
+    of_rows = {"_rows": F.lit(True), "_bad": _bad_driver(spec), "_known": _known_targets(spec)}
+    of_rows |= {f"_seen_{c}": F.col(c).isNotNull() for c in spec.measured}
+    of_rows = {c: v.cast("bigint") for c, v in of_rows.items()}
+    parts = whole.filter(before | after).select(spec.key, "cutoff_ts", *each(before, after, of_blocks)).unionByName(
+        rows.select(spec.key, "cutoff_ts", *each(past, future, of_rows))
+    )
+    numbers = [c for c in parts.columns if c not in (spec.key, "cutoff_ts")]
+    out = parts.groupBy(spec.key, "cutoff_ts").agg(*[F.sum(c).alias(c) for c in numbers])
+    whole_future = (F.col("_known") == F.col("n_future")) & (F.col("n_future") > 0)
+    return out.withColumn("has_actuals", whole_future).drop("_known")
 
 
 def bad_future_times(df: DataFrame, cutoffs: DataFrame, spec: PanelSpec) -> DataFrame:
     """Hours after the cutoff with unusable drivers: count and the first five."""
-    start = clock.shift(F.col("cutoff_ts"), spec.cadence_seconds)
-    bad_driver = reduce(Column.__or__, [unusable(c) for c in spec.drivers])
-    bad = (
-        df.join(cutoffs.select(spec.key, "cutoff_ts"), spec.key)
-        .filter((F.col(spec.time) >= start) & bad_driver)
-        .select(spec.key, spec.time)
-    )
-    bad = blocks.by_block(bad, spec).drop(blocks.BLOCK)
-    shown = windows.oldest_rows(bad, spec, SHOWN_DRIVER_TIMES).groupBy(spec.key).agg(
-        F.array_sort(F.collect_list(spec.time)).alias("examples")
+    edges = _edges(cutoffs, spec)
+    bad = df.filter(_bad_driver(spec)).select(spec.key, spec.time)
+    listed = [F.count("*").alias("_n"), F.slice(F.array_sort(F.collect_list(spec.time)), 1, SHOWN_DRIVER_TIMES).alias("_times")]
+    # A block holds few times; blocks after the cutoff count as they are, those at it by their rows.
+    by_block = bad.groupBy(spec.key, blocks.time_block(spec).alias(blocks.BLOCK)).agg(*listed)
+    far = by_block.join(edges, spec.key).filter(F.col(blocks.BLOCK) > F.col("_start_block")).select(*by_block.columns)
+    near = _near(bad, edges, spec).filter(F.col(spec.time) >= F.col("_start")).groupBy(spec.key, blocks.BLOCK).agg(*listed)
+    parts = far.unionByName(near)
+    rank = F.row_number().over(Window.partitionBy(spec.key).orderBy(blocks.BLOCK))
+    first = parts.withColumn("_rank", rank).filter(F.col("_rank") <= SHOWN_DRIVER_TIMES)
+    shown = first.groupBy(spec.key).agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list("_times"))), 1, SHOWN_DRIVER_TIMES).alias("examples")
     )
-    return bad.groupBy(spec.key).agg(F.count("*").alias("bad_hours")).join(shown, spec.key)
+    return parts.groupBy(spec.key).agg(F.sum("_n").alias("bad_hours")).join(shown, spec.key)
 
 
 def past_failures(summary: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -65,9 +65,10 @@ def prepare_upload(
         validate.duplicate_failures(counts, spec),
         validate.cadence_failures(counts, spec),
     ]
-    cuts, cut_failures = _cutoffs(panel, cutoffs, spec)
+    sums = stage(validate.block_summary(panel, spec))
+    cuts, cut_failures = _cutoffs(panel, cutoffs, spec, sums)
     cuts = stage(cuts)
-    summary = stage(validate.cut_summary(panel, cuts, spec))
+    summary = stage(validate.cut_summary(panel, cuts, spec, sums))
     bad_hours = validate.bad_future_times(panel, cuts, spec)
     failures = stage(validate.first_failures(
         validate.gather(
@@ -91,9 +92,11 @@ def prepare_upload(
     return _aligned(panel, header, failures, spec, features or spec.features)
 
 
-def _cutoffs(panel: DataFrame, wanted: DataFrame | None, spec: PanelSpec) -> tuple[DataFrame, DataFrame]:
+def _cutoffs(
+    panel: DataFrame, wanted: DataFrame | None, spec: PanelSpec, sums: DataFrame
+) -> tuple[DataFrame, DataFrame]:
     """The cutoff of each series, as asked for or else detected, and the failures on the way."""
-    found = validate.detect_cutoff(panel, spec)
+    found = validate.detect_cutoff(panel, spec, sums)
     if wanted is None:
         cuts = found.filter(F.col("cutoff_ts").isNotNull()).select(spec.key, "cutoff_ts")
         return cuts, validate.cutoff_failures(found, spec)
