@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import scale, stats, windows
+from chronoloom.operators import gram, scale, stats, windows
 from chronoloom.queries import panels as P
 from chronoloom.queries import sql as S
 from chronoloom.queries.registry import query
@@ -177,3 +177,19 @@ def inverse_scale(spark: SparkSession, sf: str) -> DataFrame:
     scaled = scale.apply_zscore(panel, fitted, S.MEASURED, ("series_id",))
     back = scale.invert_zscore(scaled, fitted, {c: c for c in S.MEASURED}, ("series_id",))
     return P.settled(back, S.MEASURED)
+
+
+COMPONENTS = [f"e{i}" for i in range(64)]
+
+
+@query(
+    f"""WITH cells AS (SELECT vec_id, label, 'e' || (i - 1) AS c, CASE WHEN abs(embedding[i]) >= 0.01 THEN CAST(embedding[i] AS DOUBLE) END AS x
+    FROM embeddings, (SELECT unnest(range(1, 65)) AS i))
+    SELECT a.label, a.c AS column_a, b.c AS column_b, {S.r('corr(a.x, b.x)', 'corr', 5)}
+    FROM cells a JOIN cells b ON a.vec_id = b.vec_id GROUP BY ALL"""
+)
+def corr_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlations among all components of the embeddings by label, small ones counting as missing."""
+    vectors = P.table(spark, sf, "embeddings")
+    cells = [F.when(F.abs(F.col("embedding")[i]) >= 0.01, F.col("embedding")[i].cast("double")).alias(c) for i, c in enumerate(COMPONENTS)]
+    return P.settled(gram.correlations_wide(vectors.select("label", *cells), COMPONENTS, ("label",)), ["corr"], 5)
