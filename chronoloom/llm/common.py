@@ -70,6 +70,21 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base]
 
 
+_sums: list[np.ndarray] = [np.zeros(1, np.uint64)]
+
+
+def _power_sums(n: int) -> np.ndarray:
+    """Sums of the first 0, 1, ... powers, n + 1 of them at least."""
+    if len(_sums[0]) <= n:
+        powers = _power(_BASE, n)
+        out = np.zeros(len(powers) + 1, np.uint64)
+        np.cumsum(powers, out=out[1:])
+        if n > CHUNK_BYTES * 2:
+            return out
+        _sums[0] = out
+    return _sums[0]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -91,15 +106,19 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
 
 
 def running_hash(buf: np.ndarray) -> np.ndarray:
-    """Sums from which the hash of any span of bytes follows; each byte counts one more than its value, so that 0 counts."""
+    """Sums from which the hash of any span of bytes follows."""
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf + np.uint64(1)) * _power(_BASE, len(buf))[: len(buf)], out=total[1:])
+    np.cumsum(buf * _power(_BASE, len(buf))[: len(buf)], out=total[1:])
     return total
 
 
 def span_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of bytes, equal for equal bytes wherever they stand."""
-    return mix((total[end] - total[start]) * _power(_INVERSE, len(total) - 1)[start])
+    """64-bit hashes of spans of bytes, equal for equal bytes wherever they stand.
+
+    Each byte counts one more than its value, so that 0 counts: a span adds the powers of its places.
+    """
+    ones = _power_sums(len(total) - 1)
+    return mix((total[end] - total[start] + ones[end] - ones[start]) * _power(_INVERSE, len(total) - 1)[start])
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
