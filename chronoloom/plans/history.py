@@ -138,3 +138,21 @@ def stored_files(runs: DataFrame, column: str) -> DataFrame:
     """Stored file content as text, of runs that have it (A5)."""
     kept = runs.filter(F.coalesce(F.octet_length(column), F.lit(0)) > 0)
     return kept.select("run_id", F.decode(column, "UTF-8").alias("content"))
+
+
+# Which payload part stands for which stored file.
+FILES = {"history": "dataset_csv", "forecast": "prediction_csv"}
+
+
+def run_files(runs: DataFrame, spec: PanelSpec, part: str) -> DataFrame:
+    """The CSV text of each run: the file as stored, or else rebuilt from the payload's ``part`` (A5).
+
+    ``stored`` tells which.  A run without either has no row; a payload part is as short as a forecast, so a run's lines
+    are put together in one row.
+    """
+    kept = stored_files(runs, FILES[part]).withColumn("stored", F.lit(True))
+    rows = dataset_rows(runs, spec) if part == "history" else prediction_rows(runs, spec)
+    columns = [c for c in rows.columns if c != "run_id"]
+    lines = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("time", F.to_csv(F.struct(*columns)).alias("line")))).alias("_l"))
+    text = F.concat(F.lit(",".join(columns) + "\n"), F.array_join(F.col("_l.line"), "\n"), F.lit("\n"))
+    return kept.unionByName(lines.select("run_id", text.alias("content"), F.lit(False).alias("stored")))

@@ -48,9 +48,13 @@ def prepare_upload(
     features: tuple[str, ...] | None = None,
     order: str | None = None,
     stage: Callable[[DataFrame], DataFrame] = durable,
+    model_paths: tuple[str, ...] = (),
 ) -> PreparedPanel:
     """Validate, cut, fill and align many uploads at once.
 
+    The columns of the result are ``features``, or else those of the first readable model among ``model_paths``, or
+    else the panel's own (A11).
+
     ``cutoffs`` may name the cutoff of some series (``timestamp_ntz``, UTC); the
     others have theirs detected.  Rejected series end in ``failures`` and leave the other frames.  ``stage``
     writes the parsed panel, the failures and the headers once, as the rules and
@@ -89,7 +93,11 @@ def prepare_upload(
         "has_actuals",
         validate.available_horizons(F.col("n_future"), spec).alias("available_horizons"),
     ))
-    return _aligned(panel, header, failures, spec, features or spec.features)
+    if features is None:
+        from chronoloom.sources import artifacts  # reads models, which rest on this module
+
+        features = artifacts.feature_order(raw.sparkSession, list(model_paths), spec)
+    return _aligned(panel, header, failures, spec, features)
 
 
 def _cutoffs(

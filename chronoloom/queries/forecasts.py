@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions import calendar, clock, labels
-from chronoloom.operators import combine, metrics, scale, windows
-from chronoloom.plans import boosting, prepare, recursive, training
+from chronoloom.operators import combine, metrics, scale, schema, windows
+from chronoloom.plans import boosting, lagged, prepare, recursive, training
 from chronoloom.queries import panels as P
 from chronoloom.queries import sql as S
 from chronoloom.queries.registry import query
@@ -325,3 +325,33 @@ def forecast_linear(spark: SparkSession, sf: str) -> DataFrame:
     models = training.train_linear(frames, P.WIDE)
     panel = prepare.prepare_upload(P.upload_text(spark, sf), P.WIDE, order="row_order")
     return recursive.forecast(panel, P.WIDE, 24, training.linear_model(models, P.WIDE), frames.stats, "Linear")
+
+
+@query()
+def train_lagged(spark: SparkSession, sf: str) -> DataFrame:
+    """Huber regression per target without stored windows: hold-out accuracy."""
+    data = lagged.lagged_rows(P.station_panel(spark, sf), P.WIDE)
+    model = lagged.train_huber(data, P.WIDE)
+    return training.evaluate(lagged.predict_lagged(data, model, P.WIDE), P.WIDE)
+
+
+LAGGED = P.WIDE.but(window=3, calendar=())
+TERMS = ", ".join(
+    ["1.0"] + [f"lag({c}, {n}) OVER w" for n in (3, 2, 1) for c in LAGGED.features] + list(LAGGED.targets)
+)
+
+
+@query(
+    f"""WITH {S.STATION_PANEL}, rows AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY time) AS p FROM panel WHERE {S.ALL_KNOWN}),
+    terms AS (SELECT series_id, p, [{TERMS}] AS t FROM rows WINDOW w AS (PARTITION BY series_id ORDER BY time)),
+    long AS (SELECT t, unnest(range(31)) AS i FROM terms WHERE p > 3)
+    SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {S.r('sum(t[i + 1] * t[j + 1])', 'product', 2)}
+    FROM long, (SELECT unnest(range(31)) AS j) GROUP BY ALL"""
+)
+def lagged_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of products of all lagged columns and targets over windows of three rows: what a linear model is solved from."""
+    whole = schema.complete_rows(P.station_panel(spark, sf).select("series_id", "time", *LAGGED.features))
+    rows = lagged.blocked(whole.withColumn("split", F.lit("train")), LAGGED, ("split",))
+    products = lagged.cross_products(lagged.LaggedRows(rows, whole), LAGGED)
+    cells = [(i, j, float(v)) for i, line in enumerate(products) for j, v in enumerate(line)]
+    return P.settled(spark.createDataFrame(cells, "i int, j int, product double"), ["product"], 2)

@@ -149,3 +149,29 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "csv")
     csv.write_csv(P.event_hours(spark, sf, "event_type"), path)
     return P.settled(csv.read_panel_csv(spark, path, P.SINGLE), ["y"])
+
+
+FILED = P.WIDE.but(targets=("pm10",), drivers=("temperature",))
+DAY = "strftime(o_orderdate, '%Y-%m-%d')"
+
+
+@query(
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderkey % 2 = 0 AS stored,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'time,pm10' || chr(10) || {DAY} || ',' || o_custkey || chr(10)
+      ELSE 'time,pm10,temperature' || chr(10) || {DAY} || 'T00,' || o_custkey || '.5,' || chr(10)
+        || {DAY} || 'T01,,' || o_orderkey || '.25' || chr(10) END AS content
+    FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 5 <> 0"""
+)
+def stored_or_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """The uploaded file of each run: as stored for every second one, else rebuilt from the payload, where that is JSON."""
+    orders = P.table(spark, sf, "orders")
+    day, key, user = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    past = F.format_string(
+        '{"history":[{"time":"%sT01","temperature":%s.25},{"time":"%sT00","pm10":%s.5}]}', day, key, day, user
+    )
+    runs = orders.select(
+        key.alias("run_id"),
+        F.when(F.col("o_orderkey") % 5 == 0, "no payload").otherwise(past).alias("results"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("time,pm10\n"), day, F.lit(","), user, F.lit("\n")).cast("binary")).alias("dataset_csv"),
+    )
+    return history.run_files(runs, FILED, "history")

@@ -72,11 +72,12 @@ class HistoryStore:
 
     # -- writing -----------------------------------------------------------------
 
-    def append_runs(self, runs: DataFrame) -> None:
+    def append_runs(self, runs: DataFrame, any_text: bool = True) -> None:
         """Append run records (A6, A7); missing optional columns are NULL.
 
         Needs ``user_id``, ``model_used`` and ``results``.  A blank model label
-        is refused before anything is written.
+        is refused before anything is written, and so is a payload that is not JSON
+        unless ``any_text`` is set, as for records moved from elsewhere (C15).
         """
         missing = [c for c in ("user_id", "model_used", "results") if c not in runs.columns]
         if missing:
@@ -84,6 +85,8 @@ class HistoryStore:
         blank = F.coalesce(F.length(F.trim("model_used")), F.lit(0)) == 0
         if not runs.filter(blank).isEmpty():
             raise PanelValidationError("A run record has no model label.")
+        if not any_text and not runs.filter(F.try_parse_json(F.col("results")).isNull()).isEmpty():
+            raise PanelValidationError("A run record's payload is not JSON.")
         stamped = F.concat(F.translate(now().cast("string"), " ", "T"), F.lit("+00:00"))
         # Later batches sort after earlier ones; the row number keeps the order inside a batch.
         started = int(dt.datetime.now(dt.timezone.utc).timestamp() * 1_000_000)

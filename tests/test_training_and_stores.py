@@ -71,6 +71,9 @@ def test_linear_beats_repeating_and_trees_are_repeatable(spark, frames, tmp_path
         assert len(rolled[name]) == len(drivers)
     assert artifacts.feature_order(spark, [str(tmp_path / "absent"), place], AIR_QUALITY) == SMALL.features
     assert artifacts.feature_order(spark, [str(tmp_path / "absent")], AIR_QUALITY) == AIR_QUALITY.features
+    up = typed_frame(spark, hourly(seed=3))
+    found = prepare.prepare_upload(up, AIR_QUALITY, model_paths=(str(tmp_path / "absent"), place))
+    assert found.past.columns == ["series_id", "time", *SMALL.features]
     with pytest.raises(ArtifactMissingError):
         artifacts.load(spark, str(tmp_path / "absent"), SMALL)
     with pytest.raises(PanelValidationError):
@@ -153,6 +156,9 @@ def test_append_defaults_and_checks(spark, store):
     assert history.stored_files(store.runs(9), "dataset_csv").first()["content"] == "a,b\n1,2\n"
     with pytest.raises(PanelValidationError, match="label"):
         store.append_runs(more.withColumn("model_used", F.lit("  ")))
+    with pytest.raises(PanelValidationError, match="JSON"):
+        store.append_runs(more.withColumn("results", F.lit("{broken")), any_text=False)
+    store.append_runs(more, any_text=False)
     with pytest.raises(PanelValidationError, match="results"):
         store.append_runs(more.drop("results"))
 
