@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -40,8 +41,11 @@ NAMED = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+# Quotes count where a value is given only; all repeats are possessive, so a tag that never ends costs one pass.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S
+)
+ATTRIBUTE = re.compile(r"(?<![^\s=/>\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
 
 
 class Element:
@@ -57,11 +61,16 @@ def parse(html: str) -> Element:
     """The tree of a page, as far as its text needs."""
     top = Element("html")
     stack, at, end = [top], 0, len(html)
+    standing: Counter[str] = Counter()
+
+    def cut(k: int) -> None:
+        standing.subtract(e.tag for e in stack[k:])
+        del stack[k:]
+
     while at < end:
-        m = TOKEN.search(html, at)
-        text = html[at : m.start() if m else end]
-        if text:
-            stack[-1].content.append(unescape(text))
+        m, begin = _token(html, at)
+        if begin > at:
+            stack[-1].content.append(unescape(html[at:begin]))
         if not m:
             break
         at = m.end()
@@ -69,19 +78,17 @@ def parse(html: str) -> Element:
         if not tag:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if standing[tag]:
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         names = {}
         if m[3] and "=" in m[3]:
             names = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])}
         for closed in ({"p"} if tag in CLOSES_P else set(), SELF_CLOSING.get(tag, set())):
-            while closed and (k := next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in closed or stack[k].tag in ("table", "ul", "ol", "dl", "select", "article", "div", "section", "main", "body")), 0)):
+            while any(standing[c] for c in closed) and (k := next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in closed or stack[k].tag in ("table", "ul", "ol", "dl", "select", "article", "div", "section", "main", "body")), 0)):
                 if stack[k].tag not in closed:
                     break
-                del stack[k:]
+                cut(k)
         hidden = "hidden" in m[3].lower() and bool(re.search(r"(?:^|\s)hidden(?:\s|=|$|/)", m[3], re.I)) or names.get("aria-hidden") == "true"
         hidden = hidden or "display:none" in names.get("style", "").replace(" ", "")
         kind = f"{names.get('class', '')} {names.get('id', '')}"
@@ -98,10 +105,23 @@ def parse(html: str) -> Element:
             at = html.find(">", close.start()) + 1 or end
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(element)
+            standing[tag] += 1
     _hash(top)
     return top
 
 
+def _token(html: str, at: int) -> tuple[re.Match | None, int]:
+    """The next piece of markup and where the text before it ends; a tag that is open at the page's end is text."""
+    begin = html.find("<", at)
+    while begin >= 0:
+        if m := TOKEN.match(html, begin):
+            return m, begin
+        if html[begin + 1 : begin + 3].lstrip("/")[:1].isalpha() or html[begin + 1 : begin + 2] in ("!", "?"):
+            break
+        begin = html.find("<", begin + 1)
+    return None, len(html)
+
+
 def _hash(top: Element) -> None:
     """Hashes of all subtrees, from the leaves up, without recursion."""
     order, stack = [], [top]
@@ -115,12 +135,13 @@ def _hash(top: Element) -> None:
 
 
 def subtree_hashes(top: Element) -> set[int]:
-    """Of elements with text below them, apart from the page as a whole."""
+    """Of blocks with text below them, apart from the page as a whole; a word in bold is no template."""
     out, stack = set(), [c for c in top.content if isinstance(c, Element)]
     while stack:
         e = stack.pop()
         if e.content:
-            out.add(e.hash)
+            if e.tag in BLOCKS:
+                out.add(e.hash)
             stack += [c for c in e.content if isinstance(c, Element)]
     return out
 
