@@ -217,15 +217,17 @@ def deduplicate(captures: DataFrame, least_bytes: int = 0) -> DataFrame:
     The responses are found by a pre-aggregated maximum and joined back, so a payload that many pages share is no
     single group of rows.
     """
+    # Of several records with the largest page_id one place in the archives is the response.
+    own = F.struct("page_id", *[c for c in ("file", "begin") if c in captures.columns])
     chosen = captures.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(
-        F.max("page_id").alias("_response")
+        F.max(own).alias("_response")
     )
     joined = captures.join(chosen, ["payload_digest", "payload_bytes"], "left")
-    revisit = F.col("_response").isNotNull() & ~F.col("_response").eqNullSafe(F.col("page_id"))
+    revisit = F.col("_response.page_id").isNotNull() & ~F.col("_response").eqNullSafe(own)
     return joined.select(
         *captures.columns,
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("_response")).alias("refers_to"),
+        F.when(revisit, F.col("_response.page_id")).alias("refers_to"),
     )
 
 

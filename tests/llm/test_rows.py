@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import brute
@@ -318,3 +319,22 @@ def test_empty_and_repeated(spark, folder, name):
 def test_checksum_of_fold(spark):
     ids = spark.range(2000).select("id", (F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4)) == 2).alias("out")).collect()
     assert all(r.out == langid.held_out(r.id) for r in ids)
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<a " * 300_000, '<a ="' * 200_000, "<!" * 500_000, "<p " + "a" * 1_000_000 + " x=1>", "<b>" * 50_000 + "</i>" * 50_000])
+def test_hostile_pages_take_one_pass(page):
+    started = time.process_time()
+    html.parse(page)
+    assert time.process_time() - started < 5
+
+
+def test_inline_elements_are_no_template(spark, folder):
+    pages = [(i, f"http://h.example/{i}", f"<div>menu of all</div><article><p>Text {i}: we <b>must not</b> pay <i>&lt;{i}</i>.</p></article>") for i in range(12)]
+    got = rows(queries.op6_html_extraction(spark, folder(pages=pages)), "page_id")
+    assert {i: r.text for i, r in got.items()} == {i: f"Text {i}: we must not pay <{i}." for i in range(12)}
+
+
+def test_one_response_among_equal_ids(spark, folder):
+    at = folder(pages=[(9, "http://a/x", "same"), (9, "http://a/y", "same"), (3, "http://a/z", "same"), (None, "http://a/n", "same"), (4, "http://b", None)])
+    got = sorted((str(r.page_id), r.record_type, r.refers_to) for r in queries.op7_warc(spark, at).collect())
+    assert got == [("3", "revisit", 9), ("4", "response", None), ("9", "response", None), ("9", "revisit", 9), ("None", "revisit", 9)]
