@@ -90,5 +90,5 @@ def test_sql(spark, small, name):
 
 def test_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(SQL) <= set(entry.oracle_sql())
