@@ -36,6 +36,8 @@ def by_block(df: DataFrame, spec: PanelSpec) -> DataFrame:
     The shuffle is explicit: rows that come from a join on the series are already together by series, and Spark would
     take that for good enough, so a series would be one task again.
     """
+    if BLOCK in df.columns:  # already together by block
+        return df
     return df.withColumn(BLOCK, time_block(spec)).repartition(spec.key, BLOCK)
 
 
@@ -51,8 +53,11 @@ def block_counts(df: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
-def with_positions(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Add the 0-based row position in time order and the row count of the series."""
+def with_positions(df: DataFrame, spec: PanelSpec, keep_block: bool = False) -> DataFrame:
+    """Add the 0-based row position in time order and the row count of the series.
+
+    With ``keep_block`` the block stays as a column, and the next ordered operator finds its rows already shuffled.
+    """
     inside = by_block(df, spec).withColumn(
         POSITION, F.row_number().over(in_block(spec)).cast("bigint") - 1
     )
@@ -60,7 +65,7 @@ def with_positions(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return (
         inside.join(counts, [spec.key, BLOCK])
         .withColumn(POSITION, F.col(POSITION) + F.col("_before"))
-        .drop(BLOCK, "_before")
+        .drop("_before", *([] if keep_block else [BLOCK]))
     )
 
 

@@ -92,7 +92,7 @@ def _fill_between(
             .otherwise(inner(prev, nxt, here))
         )
 
-    return wide.withColumns({c: filled(c) for c in cols}).select(*df.columns)
+    return wide.withColumns({c: filled(c) for c in cols}).select(*[c for c in df.columns if c != BLOCK])
 
 
 def _with_seconds(df: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -123,7 +123,7 @@ def fill_time(df: DataFrame, spec: PanelSpec, cols) -> DataFrame:
 
 def fill_linear(df: DataFrame, spec: PanelSpec, cols) -> DataFrame:
     """Straight line in row position, nearest value at the ends."""
-    placed = blocks.with_positions(df, spec)
+    placed = blocks.with_positions(df, spec, keep_block=True)
     return _fill_between(placed, spec, cols, blocks.POSITION, _line).select(*df.columns)
 
 

@@ -6,6 +6,11 @@ signed logarithmic scale, then in equal-width parts of the buckets hit, and only
 the rows of those parts are counted value by value.  All counts combine on the
 map side, so a value held by many rows costs one row.  The bucket functions
 never decrease, so the ranks are exact whatever the distribution.
+
+What one window task orders is bounded by the number format alone: a group has
+at most ``PER_OCTAVE`` buckets for each power of two that its values span, a
+bucket ``PARTS`` parts, and an octave 2**52 doubles, so the values counted one
+by one are about 2**52 / PER_OCTAVE / PARTS = 2**20 a part, however many rows.
 """
 
 from __future__ import annotations
@@ -13,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_OCTAVE = 8
-PARTS = 4096
-_SHIFT = 20000
-_INFINITE = 50000
+PER_OCTAVE = 1 << 14
+PARTS = 1 << 18
+#: Levels run from -1074 to 1023 octaves; the shift makes them positive.
+_SHIFT = 1 << 25
+_INFINITE = 1 << 27
 
 
 def _coarse(value: Column) -> Column:
