@@ -14,9 +14,10 @@ id, then earliest start) keeps them.
    the others by a pre-aggregated minimum.
 5. Occurrences that are not first cover words, which ``remove`` takes out.
 
-A null text has no words.  A row without id keeps all its words and takes none from others.  Rows with equal ids count
-as one document: windows of both at one start are both first.  Only id and text are read.  Empty tables give empty
-results.
+A null text has no words.  A row without id keeps all its words and takes none from others.  Rows with equal ids are
+judged each by its own words (``row``, a hash of the text, tells them apart); of equal windows in two of them the
+earlier start is first, and at one start both are.  Equal rows lose the same words.  A long text is one row of its batch
+and is hashed in one piece.  Only id and text are read.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -66,11 +67,12 @@ def representatives(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def _picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hash, n) of representatives with several places, and (doc_id, places) of each document's ones."""
+    """(hash, n) of representatives with several places, and (doc_id, row, places) of each document's ones."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,36 +81,38 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found = list(representatives(byte_texts(batch.column(1))))
+            ids, own = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            found = list(representatives(byte_texts(batch.column(2))))
             size = [len(r[0]) for r in found]
             yield pa.record_batch(
                 [
                     pa.array(np.repeat(ids, size), pa.int64()),
+                    pa.array(np.repeat(own, size), pa.int64()),
                     pa.array(np.concatenate([r[0] for r in found]), pa.int32()),
                     pa.array(np.concatenate([r[1] for r in found]).view(np.int64)),
                 ],
-                names=["doc_id", "place", "h"],
+                names=["doc_id", "row", "place", "h"],
             )
 
     spark = docs.sparkSession
     counts = durable(docs.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     release(spark)
-    every = docs.where("doc_id IS NOT NULL").mapInArrow(placed, "doc_id long, place int, h long")
-    places = every.join(counts, "h").groupBy("doc_id").agg(F.collect_list(F.struct("place", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"))).alias("places"))
+    every = docs.where("doc_id IS NOT NULL").mapInArrow(placed, "doc_id long, row long, place int, h long")
+    places = every.join(counts, "h").groupBy("doc_id", "row").agg(F.collect_list(F.struct("place", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"))).alias("places"))
     places = durable(places)
     release(spark)
     return counts, places
 
 
 def stretches(docs: DataFrame, places: DataFrame, shards: int) -> DataFrame:
-    """(shard, hot, doc_id, start, words) of all windows whose representative recurs."""
+    """(shard, hot, doc_id, row, start, words) of all windows whose representative recurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = byte_texts(batch.column(1))
-            shard, hot, ids, starts, parts = [], [], [], [], []
-            for doc, text, wanted, rep in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), representatives(texts), strict=True):
+            texts = byte_texts(batch.column(2))
+            shard, hot, ids, own, starts, parts = [], [], [], [], [], []
+            named = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for (doc, row), text, wanted, rep in zip(named, texts, batch.column(3).to_pylist(), representatives(texts), strict=True):
                 words = text.split()
                 many = {w["place"]: w["n"] for w in wanted}
                 for p, h, a, b in zip(*(x.tolist() for x in rep), strict=True):
@@ -119,14 +123,16 @@ def stretches(docs: DataFrame, places: DataFrame, shards: int) -> DataFrame:
                         shard.append(h % shards if not is_hot else -1 - (h * 31 + doc * 0x9E3779B1 % (n // HOT + 1)) % (1 << 62))
                         hot.append(is_hot)
                         ids.append(doc)
+                        own.append(row)
                         starts.append(a)
                         parts.append(b" ".join(words[a : b + SPAN]))
             yield pa.record_batch(
-                [pa.array(shard, pa.int64()), pa.array(hot, pa.bool_()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())],
-                names=["shard", "hot", "doc_id", "start", "words"],
+                [pa.array(shard, pa.int64()), pa.array(hot, pa.bool_()), *(pa.array(x, pa.int64()) for x in (ids, own, starts)), pa.array(parts, pa.binary())],
+                names=["shard", "hot", "doc_id", "row", "start", "words"],
             )
 
-    return docs.join(places, "doc_id").mapInArrow(run, "shard long, hot boolean, doc_id long, start long, words binary")
+    joined = docs.join(places, ["doc_id", "row"]).select("doc_id", "row", "text", "places")
+    return joined.mapInArrow(run, "shard long, hot boolean, doc_id long, row long, start long, words binary")
 
 
 def _coded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,23 +175,25 @@ def occurrences(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def locate(routed: DataFrame) -> DataFrame:
-    """Covering windows as (doc_id, begin, stop, key): key is null where a window certainly is not the first, and else
+    """Covering windows as (doc_id, row, begin, stop, key): key is null where a window certainly is not the first, and else
     the window's digest, in hot shards only."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, starts = group.column("doc_id").to_numpy(), group.column("start").to_numpy()
-        order = np.lexsort((starts, ids))
-        ids, starts = ids[order], starts[order]
+        ids, own, starts = (group.column(c).to_numpy() for c in ("doc_id", "row", "start"))
+        order = np.lexsort((own, starts, ids))
+        ids, own, starts = ids[order], own[order], starts[order]
         parts = group.column("words").take(pa.array(order)).to_pylist()
         stretch, offset, pattern = occurrences(parts)
         # Occurrences come in order of document and start, so a pattern's first one is its first place.
         doc, at = ids[stretch], starts[stretch] + offset
         _, first, inverse = np.unique(pattern, return_index=True, return_inverse=True)
         later = (doc != doc[first][inverse]) | (at != at[first][inverse])
-        d, a = doc[later], at[later]
-        new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] > a[:-1] + 1)])) if len(d) else np.zeros(0, np.int64)
+        d, r, a = doc[later], own[stretch][later], at[later]
+        by_row = np.lexsort((a, r, d))
+        d, r, a = d[by_row], r[by_row], a[by_row]
+        new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (a[1:] > a[:-1] + 1)])) if len(d) else np.zeros(0, np.int64)
         stop = a[np.append(new[1:], len(a)) - 1] + SPAN if len(d) else np.zeros(0, np.int64)
-        out = [d[new].tolist(), a[new].tolist(), stop.tolist(), [None] * len(new)]
+        out = [d[new].tolist(), r[new].tolist(), a[new].tolist(), stop.tolist(), [None] * len(new)]
         if group.column("hot")[0].as_py():
             gone = set(zip(stretch[later].tolist(), offset[later].tolist(), strict=True))
             for s, part in enumerate(parts):
@@ -194,16 +202,16 @@ def locate(routed: DataFrame) -> DataFrame:
                     if (s, o) not in gone:
                         begin = int(starts[s]) + o
                         key = hashlib.blake2b(b" ".join(words[o : o + SPAN]), digest_size=16).digest()
-                        for column, x in zip(out, (int(ids[s]), begin, begin + SPAN, key), strict=True):
+                        for column, x in zip(out, (int(ids[s]), int(own[s]), begin, begin + SPAN, key), strict=True):
                             column.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "begin", "stop", "key"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "row", "begin", "stop", "key"])
 
-    return routed.groupBy("shard").applyInArrow(run, "doc_id long, begin long, stop long, key binary")
+    return routed.groupBy("shard").applyInArrow(run, "doc_id long, row long, begin long, stop long, key binary")
 
 
 def covered_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): word ranges of each document that stand at an earlier place, too."""
+    """(doc_id, row, spans): word ranges of each document that stand at an earlier place, too."""
     spark = docs.sparkSession
     counts, places = recurring(docs)
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -212,8 +220,8 @@ def covered_spans(docs: DataFrame) -> DataFrame:
     firsts = found.where("key IS NOT NULL")
     least = firsts.groupBy("key").agg(F.min(F.struct("doc_id", "begin")).alias("least"))
     late = firsts.join(least, "key").where("doc_id != least.doc_id OR begin != least.begin")
-    every = found.where("key IS NULL").select("doc_id", "begin", "stop").unionAll(late.select("doc_id", "begin", "stop"))
-    spans = durable(every.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop")).alias("spans")))
+    every = found.where("key IS NULL").drop("key").unionAll(late.select("doc_id", "row", "begin", "stop"))
+    spans = durable(every.groupBy("doc_id", "row").agg(F.collect_list(F.struct("begin", "stop")).alias("spans")))
     release(spark)
     return spans
 
@@ -239,7 +247,7 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return docs.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
