@@ -5,6 +5,12 @@ each term, the sorted positions of its occurrences.  Segments are written to the
 costs a re-read.  ``search`` takes phrases (or bags of terms within a distance) and, in every segment, intersects the
 offset-adjusted position lists from the phrase's rarest term on; one empty list ends a phrase.
 
+``decontaminate`` indexes the words whose hash bit the benchmark sets in a bitmap of fixed size: a small benchmark needs
+few lists, a large one sets all bits and gets them all, on one path.
+
+With a distance, a match ends at any of the phrase's terms and begins at the latest place from which all terms, each as
+often as the phrase has it, stand up to there; it counts if it is at most ``slop`` words long.
+
 Words: A-Z lower-cased, maximal runs of 0-9, a-z and characters beyond ASCII.  A null or wordless text has no words and
 is never hit; a null or wordless item has no window.  Equal items are all reported.  Repeated document rows are searched
 one by one.  Only the id and text columns are read, so other columns may have any name.  Empty tables give empty results.
@@ -12,6 +18,8 @@ one by one.  Only the id and text columns are read, so other columns may have an
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +35,8 @@ WINDOW = 10
 SEGMENT_WORDS = 1_000_000
 #: A query block: items whose words together stay under this are searched at once (some 20 MB sent to each worker).
 BLOCK_WORDS = 500_000
+#: Bits of the map that says which words the benchmark may ask for (512 KB).
+TERM_BITS = 1 << 22
 
 _KEEP = np.zeros(256, np.uint8)
 for _c in [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]:
@@ -43,16 +53,50 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def build_index(docs: DataFrame, terms: set[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def term_bits(items: DataFrame, text_col: str = "text") -> bytes:
+    """A bitmap of TERM_BITS bits: bit crc32(word) is set for every word of the items.  Its size is fixed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {zlib.crc32(w) % TERM_BITS for text in byte_texts(batch.column(0)) for w in words(text)}
+            yield pa.record_batch([pa.array(sorted(found), pa.int64())], names=["bit"])
+
+    picked = items.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(run, "bit long")
+    # Spark's bitmaps hold 32768 bits each, and number them from 1.
+    maps = picked.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits")
+    )
+    out = bytearray(TERM_BITS // 8)
+    for row in maps.collect():
+        at = (row.part - 1) * 4096
+        out[at : at + 4096] = row.bits
+    return bytes(out)
+
+
+class _Codes(dict):
+    """Numbers words as they come; a word whose bit is not set is -1."""
+
+    def __init__(self, bits: bytes | None) -> None:
+        self.bits, self.names = bits, []
+
+    def __missing__(self, word: bytes) -> int:
+        k = zlib.crc32(word) % TERM_BITS
+        wanted = self.bits is None or self.bits[k >> 3] >> (k & 7) & 1
+        self[word] = code = len(self.names) if wanted else -1
+        if wanted:
+            self.names.append(word)
+        return code
+
+
+def build_index(docs: DataFrame, bits: bytes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Index rows of all documents: one row per segment and term, and one per segment (null term) with its documents.
 
-    ``terms`` restricts the lists to terms that will be asked for; positions always count all words.
+    ``bits`` (see ``term_bits``) restricts the lists to terms that may be asked for; positions always count all words.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(terms) if terms is not None else None
+    wanted = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = {w: k for k, w in enumerate(wanted.value)} if wanted else {}
-        names = list(vocabulary)
+        vocabulary = _Codes(wanted.value)
         part, serial = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         coded: list[np.ndarray] = []
@@ -73,7 +117,7 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None, id_col: str =
             return pa.record_batch(
                 {
                     "segment": pa.array([name] * rows, pa.string()),
-                    "term": pa.array([None, *(names[k] for k in kinds)], pa.binary()),
+                    "term": pa.array([None, *(vocabulary.names[k] for k in kinds)], pa.binary()),
                     "n": pa.array([int(lengths.sum()), *(len(x) for x in lists)], pa.int64()),
                     "positions": pa.array([begins.astype("<i8").tobytes(), *(x.tobytes() for x in lists)], pa.binary()),
                     "ids": pa.array([np.array([x or 0 for x in ids], "<i8").tobytes()] + [None] * (rows - 1), pa.binary()),
@@ -84,23 +128,14 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None, id_col: str =
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
                 found = words(text)
-                if wanted:
-                    codes = np.fromiter((vocabulary.get(w, -1) for w in found), np.int32, len(found))
-                else:
-                    codes = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in found), np.int32, len(found))
                 ids.append(i)
-                coded.append(codes)
-                total += len(codes)
+                coded.append(np.fromiter(map(vocabulary.__getitem__, found), np.int32, len(found)))
+                total += len(found)
                 if total >= SEGMENT_WORDS:
-                    if not wanted:
-                        names = list(vocabulary)
                     yield flush()
                     ids, coded, total, serial = [], [], 0, serial + 1
-                    if not wanted:
-                        vocabulary.clear()
+                    vocabulary = _Codes(wanted.value)
         if ids:
-            if not wanted:
-                names = list(vocabulary)
             yield flush()
 
     picked = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
@@ -132,20 +167,29 @@ def _positions(lists: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], order:
 
 
 def _near(lists: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last position of the tightest match around each occurrence of the rarest term, within ``slop``."""
-    terms = sorted(set(phrase), key=lambda t: len(lists[t]))
-    first = last = lists[terms[0]]
-    for t in terms[1:]:
+    """First and last position of every match of at most ``slop`` words, the shortest for each last position.
+
+    Each match holds the rarest term, so of the other lists only what lies near to one of its places is looked at.
+    """
+    need = Counter(phrase)
+    nothing = np.zeros(0, np.int64)
+    rarest = lists[min(need, key=lambda t: (len(lists[t]) / need[t], t))]
+    near: dict[bytes, np.ndarray] = {}
+    for t, n in need.items():
         there = lists[t]
-        right = np.searchsorted(there, first)
-        a = there[np.maximum(right - 1, 0)]
-        b = there[np.minimum(right, len(there) - 1)]
-        near = np.where(np.abs(a - first) <= np.abs(b - first), a, b)
-        first, last = np.minimum(first, near), np.maximum(last, near)
+        right = np.searchsorted(rarest, there)
+        left_gap = there - rarest[np.maximum(right - 1, 0)]
+        right_gap = rarest[np.minimum(right, len(rarest) - 1)] - there
+        near[t] = there[((left_gap >= 0) & (left_gap < slop)) | ((right_gap >= 0) & (right_gap < slop))]
+        if len(near[t]) < n:
+            return nothing, nothing
+    last = np.sort(np.concatenate(list(near.values())))
+    first = last
+    for t, n in need.items():
+        back = np.searchsorted(near[t], last, "right") - n
+        first = np.where(back >= 0, np.minimum(first, near[t][np.maximum(back, 0)]), last - slop)
         good = last - first < slop
         first, last = first[good], last[good]
-        if not len(first):
-            break
     return first, last
 
 
@@ -245,8 +289,4 @@ def search(index: DataFrame, items: DataFrame, size: int = WINDOW, slop: int | N
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The index of the documents, asked for the items' windows."""
-    cleaned = items.select(F.col("text").cast("string")).where("text IS NOT NULL")
-    # The lists of a bounded benchmark need only its terms; a large one gets the lists of all terms.
-    total = cleaned.agg(F.sum(F.length("text") / 2)).first()[0] or 0
-    terms = {t for r in cleaned.toLocalIterator() for t in words(r.text.encode())} if total <= BLOCK_WORDS else None
-    return search(durable(build_index(docs, terms)), items, size)
+    return search(durable(build_index(docs, term_bits(items))), items, size)

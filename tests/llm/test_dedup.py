@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -98,6 +100,42 @@ def test_proximity(spark):
     assert {i: r["items"] for i, r in rows(postings.search(postings.build_index(docs), items)).items()} == {1: [], 2: [], 3: [], 4: []}
 
 
+def test_proximity_equals_every_window(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefg", k=rng.randint(0, 60))) for _ in range(40)]
+    texts.append("x " * 8 + "b x a x x b c")
+    items = [(k, " ".join(rng.choices("abcdefg", k=rng.randint(1, 5)))) for k in range(12)] + [(50, "a b c"), (51, "a a b"), (52, "a q")]
+    slop = 6
+    want = {}
+    for i, text in enumerate(texts):
+        w = text.split()
+        hit, held = set(), set()
+        for item, phrase in items:
+            need = Counter(phrase.split())
+            for e in range(len(w)):
+                starts = [s for s in range(max(0, e - slop + 1), e + 1) if not need - Counter(w[s : e + 1])]
+                if starts and w[e] in need:
+                    held.add(item)
+                    hit.update(range(starts[-1], e + 1))
+        want[i] = (len(hit), sorted(held))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = rows(postings.search(postings.build_index(docs), spark.createDataFrame(items, "item_id long, text string"), slop=slop))
+    assert {i: (r.n_hit, sorted(r["items"])) for i, r in found.items()} == want
+
+
+def test_term_bits_set_the_bit_of_every_word(spark):
+    bits = postings.term_bits(spark.createDataFrame([(" ".join(f"w{k}" for k in range(500)),), (None,)], "text string"))
+    assert len(bits) * 8 == postings.TERM_BITS
+    places = [zlib.crc32(f"w{k}".encode()) % postings.TERM_BITS for k in range(500)]
+    assert all(bits[p >> 3] >> (p & 7) & 1 for p in places) and sum(b.bit_count() for b in bits) == len(set(places))
+
+
+def test_rows_of_one_id_lose_only_their_own_words(spark, folder):
+    p, q = (" ".join(f"{x}{i}" for i in range(40)) for x in "pq")
+    got = queries.op1_substring_dedup(spark, folder(documents=[(1, p), (5, p + " end"), (5, q), (5, q)])).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 40, 0), (5, 40, 0), (5, 40, 0), (5, 41, 40)]
+
+
 @pytest.mark.parametrize("name", ["op1_substring_dedup", "op3_benchmark_decontamination", "op5_ngram_jaccard_join"])
 def test_empty_and_null(spark, folder, name):
     assert queries.QUERIES[name](spark, folder()).count() == 0
