@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 import time
 import zlib
@@ -246,6 +247,40 @@ def test_mined_rules_block(spark, folder):
     assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(200))
 
 
+def test_mined_rules_equal_all_antecedents(spark):
+    rng = random.Random(8)
+    # Tokens b and c always come together; the label follows from pairs.
+    baskets = []
+    for _ in range(300):
+        have = {t for t in "abdefg" if rng.random() < 0.4}
+        bad = {"a", "b"} <= have or ("d" in have and rng.random() < 0.8)
+        baskets.append((sorted(have | ({"c"} if "b" in have else set())), bad))
+    least, sure, lift = 0.05, 0.7, 1.2
+    share = sum(bad for _, bad in baskets) / len(baskets)
+    rules = []
+    for n in range(1, 8):
+        for rule in itertools.combinations("abcdefg", n):
+            met = [bad for t, bad in baskets if set(rule) <= set(t)]
+            good = met and sum(met) / len(baskets) >= least and sum(met) / len(met) >= max(sure, lift * share)
+            if good and not any(set(x) <= set(rule) for x in rules):
+                rules.append(rule)
+    labelled = spark.createDataFrame(baskets, "tokens array<string>, bad boolean")
+    classes = urls.token_classes(labelled)
+    assert {r.t: r["class"] for r in classes.collect()} == {t: "b" if t == "c" else t for t in "abcdefg"}
+    mined = urls.mine(labelled, classes, least, sure, lift)
+    asked = [sorted(x) for n in range(1, 8) for x in itertools.combinations("abcdefg", n)]
+    found = {tuple(r.tokens) for r in urls.match(spark.createDataFrame([(x,) for x in asked], "tokens array<string>"), mined, classes).collect()}
+    assert rules and found == {tuple(x) for x in asked if any(set(rule) <= set(x) for rule in rules)}
+
+
+def test_words_that_always_come_together_are_one_item(spark, folder):
+    path = "/".join(f"w{chr(97 + k)}" for k in range(18))
+    pages = [(i, f"http://{'spam' if i % 2 else 'good'}.org/{path if i % 2 else 'x'}/{i}", "") for i in range(60)]
+    started = time.time()
+    got = rows(queries.op2_url_filters(spark, folder(pages=pages, labels=[(i, 0 if i % 2 else 1, 0) for i in range(60)])), "page_id")
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(60)) and time.time() - started < 60
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><a href="/a">Menu</a></nav>
 <header>Site</header><div class="ad">Buy</div><div id="cookie-notice">Cookies</div><article><header><h1>Title &amp; more</h1></header>
 <p><b>First<br>line &eacute;<p>Second <i>in</i>line&nbsp;x</p><script>var t="</p><p>no</p>";</script><ul><li>one<li>two</ul><form><input>no</form>
