@@ -1,26 +1,35 @@
 """WARC archives: writing, reading back, and merging their indexes into ordered capture histories.
 
-``write_archives`` makes records of gzip members; every task writes its own file into a folder that all executors share
-and returns a capture index, sorted by URL key and time: a run.  ``read_archives`` streams the files back and checks
-each record against its digest.  ``merge_runs`` cuts the key space into ranges and, in each, merges the runs' slices
-with a loser tree, so that captures come out in global order (partition by partition) without any run being sorted
-again.  ``deduplicate`` names, for equal payloads, the capture that the others revisit.
+``write_archives`` makes records of gzip members; every task writes its own files into a folder that all executors share
+and returns where each record stands.  ``read_archives`` streams the files back and checks each record against its digest.
+``write_runs`` sorts what a task has read, RUN_RECORDS captures at a time, and writes each run to the shared folder as a
+file of small batches.  ``merge_runs`` cuts the key space into ranges; a task finds its slice in every run by binary
+search over the batches and merges the slices with a loser tree, one batch of each run in memory.  Where there are more
+than FAN runs, groups of about FAN are merged into longer runs first.  Nothing is sorted or shuffled after the runs are
+written, and captures come out in global order, range by range.  ``deduplicate`` names, for equal payloads, the capture
+that the others revisit; in the archives all records are of type ``resource``, as this is known only after reading.
+
+A run file that a lost task leaves behind is not in the catalogue of runs and is never read.
 
 Null html is an empty payload, null url an empty one.  Repeated rows are captures of their own; of equal payloads and
 equal ids one is the response.  Only id, url and html are read.  An empty table writes no record.
+A very long page is one record, read and written in one piece.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
+import itertools
 import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
 import pyarrow as pa
 import pyarrow.fs
+import pyarrow.ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +38,16 @@ from chronoloom.session import durable, scratch_path
 
 EPOCH = datetime(2020, 1, 1)
 RUN_RECORDS = 20_000
-INDEX_SCHEMA = "url_key string, captured string, page_id long, file string, begin long, size long, payload_bytes long, payload_digest string"
-_KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-_NAMES = ["url_key", "captured", "page_id", "file", "begin", "size", "payload_bytes", "payload_digest"]
+#: Captures in a batch of a run file, runs merged into one, and captures in a range, on average.
+BATCH, FAN, RANGE_ROWS = 200, 256, 100_000
+#: Keys that the ranges are cut by come from about so many batches, whatever the size of the input.
+SPLIT_KEYS = 10_000
+INDEX_SCHEMA = "file string, begin long, size long"
+CATALOGUE_SCHEMA = "run string, batch int, n int, url_key string, captured string, page_id long"
+_CAPTURE = pa.schema(
+    [("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("begin", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
+)
+_CAPTURE_SQL = "url_key string, captured string, page_id long, file string, begin long, payload_bytes long, payload_digest string"
 
 
 def url_key(url: str) -> str:
@@ -66,7 +82,7 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes all pages into archives below ``folder``; returns the capture index, each run sorted."""
+    """Writes all pages into archives below ``folder``; returns the place of every record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pa.fs.FileSystem.from_uri(folder)
@@ -78,8 +94,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             nonlocal out, rows
             out.close()
             out = None
-            run_, rows = sorted(rows, key=lambda r: (r[0], r[1], -1 if r[2] is None else r[2])), []
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*run_, strict=True), _KINDS, strict=True)], names=_NAMES)
+            written, rows = zip(*rows, strict=True), []
+            kinds = (pa.string(), pa.int64(), pa.int64())
+            return pa.record_batch([pa.array(c, k) for c, k in zip(written, kinds, strict=True)], names=["file", "begin", "size"])
 
         for batch in batches:
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -91,7 +108,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 captured = (EPOCH + timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
                 member = record(target, captured, page_id, payload, f"{name}/{at}")
                 out.write(member)
-                rows.append((url_key(target), captured, page_id, name, at, len(member), len(payload), digest(payload)))
+                rows.append((name, at, len(member)))
                 at += len(member)
                 if len(rows) == RUN_RECORDS:
                     yield close()
@@ -105,8 +122,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 def read_archives(index: DataFrame, folder: str, keep_payload: bool = False) -> DataFrame:
     """The records, streamed from their files: page id, URL, capture time, payload size and digest as read.
 
-    Files are dealt to tasks by name, so a file is read once; each record's payload must have its stored digest.
+    Files are dealt to tasks by name, so a file is read once and in its own order; each record's payload must have its
+    stored digest.  The number of tasks is stated: the places are few bytes, and the files behind them many.
     """
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pa.fs.FileSystem.from_uri(folder)
@@ -131,7 +150,7 @@ def read_archives(index: DataFrame, folder: str, keep_payload: bool = False) ->
             )
 
     schema = "url_key string, captured string, page_id long, file string, begin long, payload_bytes long, payload_digest string, payload binary"
-    placed = index.select("file", "begin", "size").repartition("file").sortWithinPartitions("file", "begin")
+    placed = index.select("file", "begin", "size").repartition(parts, "file").sortWithinPartitions("file", "begin")
     return placed.mapInArrow(run, schema)
 
 
@@ -170,45 +189,96 @@ class LoserTree:
             self._replay(w)
 
 
-def merge_runs(index: DataFrame, ranges: int | None = None) -> DataFrame:
-    """The index in global order of (url_key, captured, page_id), with ``place`` counting within each range.
+def _order(row: tuple) -> tuple:
+    """What captures are ordered by: key, time, id (none first)."""
+    return row[0], row[1], -1 if row[2] is None else row[2]
 
-    Ranges of keys are found by Spark from a sample of the keys; a slice of a run stays in its order, since rows are
-    dealt by range and then put together run by run.  A key with many captures is spread by time.
-    """
-    parts = ranges or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = index.columns
 
-    def order(row: tuple) -> tuple:
-        return row[0], row[1], -1 if row[2] is None else row[2]
+def _store_run(rows: Iterator[tuple], folder: str) -> pa.RecordBatch:
+    """Writes sorted captures as one run file and gives its entries of the catalogue: the first key of each batch."""
+    store, root = pa.fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    name, entries = f"run-{uuid.uuid4().hex}.arrow", []
+    with store.open_output_stream(f"{root}/{name}") as out, pa.ipc.new_file(out, _CAPTURE) as file:
+        while held := list(itertools.islice(rows, BATCH)):
+            entries.append((name, len(entries), len(held), *held[0][:3]))
+            file.write_batch(pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held, strict=True), _CAPTURE.types, strict=True)], schema=_CAPTURE))
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64())
+    columns = zip(*entries, strict=True) if entries else [[]] * len(kinds)
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["run", "batch", "n", "url_key", "captured", "page_id"])
+
+
+def _slice(store: pa.fs.FileSystem, path: str, low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+    """The captures of one run with low <= key < high, one batch at a time; null is no bound."""
+    with store.open_input_file(path) as source:
+        file = pa.ipc.open_file(source)
+
+        def first(k: int) -> tuple:
+            batch = file.get_batch(k)
+            return _order(tuple(batch.column(c)[0].as_py() for c in range(3)))
+
+        # The last batch that begins below the bound may hold the first capture of the slice.
+        begin = 0 if low is None else max(0, bisect.bisect_left(range(file.num_record_batches), low, key=first) - 1)
+        for k in range(begin, file.num_record_batches):
+            for row in zip(*(c.to_pylist() for c in file.get_batch(k).columns), strict=True):
+                key = _order(row)
+                if high is not None and key >= high:
+                    return
+                if low is None or key >= low:
+                    yield row
+
+
+def write_runs(captures: DataFrame, folder: str) -> DataFrame:
+    """Sorts captures locally, RUN_RECORDS at a time, into run files below ``folder``; returns the catalogue of runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        slices: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                slices.setdefault(row[3], []).append(row)
-        rows, place = [], 0
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True))
-            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, [*kinds, pa.int64(), pa.int64()], strict=True)], names=[*names, "range", "place"])
-
-        kinds = [pa.from_numpy_dtype("int64") if t == "bigint" else pa.string() for _, t in types]
-        for row in LoserTree([iter(s) for s in slices.values()], order):
-            rows.append((*row, part, place))
-            place += 1
-            if len(rows) == 5000:
-                yield out()
-                rows = []
-        if rows:
-            yield out()
-
-    types = index.dtypes
-    schema = ", ".join(f"{n} {t}" for n, t in types) + ", range long, place long"
-    dealt = index.repartitionByRange(parts, "url_key", "captured", F.coalesce("page_id", F.lit(-1)))
-    # A run is a file; its slice arrives in pieces, which this puts back in the run's own order.
-    return dealt.sortWithinPartitions("file", "url_key", "captured", "page_id").mapInArrow(run, schema)
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        while held := list(itertools.islice(rows, RUN_RECORDS)):
+            yield _store_run(iter(sorted(held, key=_order)), folder)
+
+    return captures.select(*_CAPTURE.names).mapInArrow(run, CATALOGUE_SCHEMA)
+
+
+def longer_runs(catalogue: DataFrame, folder: str, groups: int) -> DataFrame:
+    """Merges the runs, in ``groups`` groups by their names, into one run a group; returns the catalogue of these."""
+
+    def run(group: pa.Table) -> pa.Table:
+        store, root = pa.fs.FileSystem.from_uri(folder)
+        slices = [_slice(store, f"{root}/{name}", None, None) for name in group.column("run").to_pylist()]
+        return pa.Table.from_batches([_store_run(iter(LoserTree(slices, _order)), folder)])
+
+    names = catalogue.groupBy("run").agg(F.pmod(F.xxhash64("run"), F.lit(groups)).alias("group"))
+    return names.repartition(groups, "group").groupBy("group").applyInArrow(run, CATALOGUE_SCHEMA)
+
+
+def merge_runs(catalogue: DataFrame, folder: str) -> DataFrame:
+    """The captures of all runs in global order of (url_key, captured, page_id): by ``range``, and by ``place`` in it.
+
+    Ranges are cut at keys of some batches, chosen by a hash; a key with many captures is spread by time and id.  The
+    driver holds about SPLIT_KEYS keys and the names of the runs, one for RUN_RECORDS * FAN captures where these are many.
+    """
+    spark = catalogue.sparkSession
+    runs, total, batches = catalogue.agg(F.count_distinct("run"), F.sum("n"), F.count("*")).first()
+    if runs > FAN:
+        catalogue = durable(longer_runs(catalogue, folder, runs // FAN + 1))
+    names = sorted(r.run for r in catalogue.select("run").distinct().collect())
+    chosen = catalogue.where(F.pmod(F.xxhash64("run", "batch"), F.lit(batches // SPLIT_KEYS + 1)) == 0)
+    keys = sorted({_order(tuple(r)) for r in chosen.select("url_key", "captured", "page_id").collect()})
+    parts = max(1, min((total or 0) // RANGE_ROWS + 1, len(keys)))
+    edges = [None, *(keys[k * len(keys) // parts] for k in range(1, parts)), None]
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pa.fs.FileSystem.from_uri(folder)
+        for part in (p for batch in given for p in batch.column(0).to_pylist()):
+            slices = [_slice(store, f"{root}/{name}", edges[part], edges[part + 1]) for name in names]
+            merged, place = iter(LoserTree(slices, _order)), 0
+            while held := list(itertools.islice(merged, 5000)):
+                columns = [pa.array(c, k) for c, k in zip(zip(*held, strict=True), _CAPTURE.types, strict=True)]
+                where = [pa.array([part] * len(held), pa.int64()), pa.array(range(place, place + len(held)), pa.int64())]
+                yield pa.record_batch([*columns, *where], names=[*_CAPTURE.names, "range", "place"])
+                place += len(held)
+
+    return spark.range(0, parts, 1, parts).mapInArrow(run, f"{_CAPTURE_SQL}, range long, place long")
 
 
 def deduplicate(captures: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -237,5 +307,5 @@ def capture_histories(pages: DataFrame) -> DataFrame:
     if "://" not in folder and not folder.startswith("file:"):
         folder = f"file://{folder}"
     index = durable(write_archives(pages, folder))
-    read = durable(read_archives(index, folder).drop("payload"))
-    return deduplicate(merge_runs(read))
+    catalogue = durable(write_runs(read_archives(index, folder).drop("payload"), f"{folder}/runs"))
+    return deduplicate(durable(merge_runs(catalogue, f"{folder}/runs")))

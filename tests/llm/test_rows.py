@@ -338,6 +338,24 @@ def test_loser_tree_merges():
         assert list(warc.LoserTree([iter(r) for r in runs], lambda x: x)) == sorted(x for r in runs for x in r)
 
 
+@pytest.mark.parametrize(("fan", "range_rows"), [(256, 100), (3, 37)])
+def test_runs_are_merged_by_slices(spark, tmp_path, monkeypatch, fan, range_rows):
+    for name, value in {"RUN_RECORDS": 40, "BATCH": 7, "FAN": fan, "RANGE_ROWS": range_rows}.items():
+        monkeypatch.setattr(warc, name, value)
+    rng = random.Random(2)
+    # One key holds half of the captures, some captures are equal, and one has no id.
+    captures = [(rng.choice(["a)/", "b)/x", "hot)/", "hot)/"]), f"t{rng.randint(0, 9)}", rng.randint(0, 50), "f", k, 1, "d") for k in range(900)]
+    captures += [("", "t", None, "f", 900, 1, "d"), ("hot)/", "t5", None, "f", 901, 1, "d")]
+    frame = spark.createDataFrame(captures, warc._CAPTURE_SQL).repartition(5)
+    folder = f"file://{tmp_path}/runs"
+    catalogue = durable(warc.write_runs(frame, folder))
+    merged = warc.merge_runs(catalogue, folder)
+    assert "Sort" not in merged._jdf.queryExecution().toString() and "Exchange" not in merged._jdf.queryExecution().toString()
+    got = sorted(merged.collect(), key=lambda r: (r.range, r.place))
+    assert [warc._order(tuple(r)) for r in got] == sorted(warc._order(c) for c in captures)
+    assert sorted(r.begin for r in got) == list(range(902)) and len({r.range for r in got}) > 5
+
+
 def test_record_round_trip():
     payload = b"a\r\n\r\nb\0" * 10
     headers, back = warc.parse(warc.record("http://x/y?z", "2020-01-01T00:00:00Z", 5, payload, "n"))
