@@ -1,22 +1,22 @@
 """Boosted trees with the pseudo-Huber loss, and the best round by validation loss.
 
-A round fits one MLlib decision tree per target to the Newton step of every row, weighted by curvature, on a sample of
-rows and columns.  What a leaf adds is not the tree's own mean but the regularised Newton step of its rows, one small
-aggregate over all targets.  Margins stay next to the rows as a column; they are written out every few rounds, so plans
-stay short and a lost executor costs few rounds.  A target is done when its validation loss has not fallen for
-``patience`` rounds, and keeps the trees up to its best round.
+A round grows one regression tree per target on the Newton step of every row, weighted by curvature, on a sample of rows
+and columns.  All targets grow together, one job a level: tasks add gradients and curvatures of their rows by node, column
+and bin, Spark adds these sums over tasks, and each block of columns names its best split, so only splits reach the driver.
+Bins are cut once, at quantiles of all training rows, and a row's bins lie packed next to its targets.  What a leaf adds is
+the regularised Newton step of its rows, which the sums of its last split give.  Margins are written out every few rounds;
+between, tasks apply the few trees since then.  A target is done when its validation loss has not fallen for ``patience``
+rounds, and keeps the trees up to its best round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import ElementwiseProduct
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,17 +45,84 @@ class BoostSettings:
     stored_every: int = 10
 
 
+#: Samples a task should have at least, and how many are counted at a time.
+TASK_ROWS, CHUNK_ROWS = 4000, 1000
+#: Columns whose sums one group adds up.
+COLUMN_BLOCK = 128
+SUMS_SCHEMA = "target int, node int, block int, sums binary"
+SPLITS_SCHEMA = "target int, node int, column int, bin int, gain double, lg double, lh double, rg double, rh double"
+
+
 @dataclass
 class Tree:
-    model: DecisionTreeRegressionModel
+    """Nodes in level order; an inner node sends a row left where the column's value is at most the threshold."""
+
+    column: list[int]
+    bin: list[int]
+    threshold: list[float]
+    left: list[int]
+    #: The number of a leaf, -1 for an inner node.
+    leaf: list[int]
     #: What each leaf adds to the margin.
     values: list[float]
 
+    @classmethod
+    def root(cls) -> Tree:
+        return cls([-1], [0], [0.0], [-1], [0], [])
+
+    def split(self, node: int, column: int, cut: int, threshold: float) -> int:
+        """Give a node two children; returns the left one, the right one follows it."""
+        at = len(self.column)
+        self.column[node], self.bin[node], self.threshold[node], self.left[node] = column, cut, threshold, at
+        self.column += [-1, -1]
+        self.bin += [0, 0]
+        self.threshold += [0.0, 0.0]
+        self.left += [-1, -1]
+        return at
+
+    def number_leaves(self) -> None:
+        ends = iter(range(len(self.left)))
+        self.leaf = [next(ends) if x < 0 else -1 for x in self.left]
+
+    def reached(self, cells: np.ndarray, binned: bool) -> np.ndarray:
+        """The node each row ends in, by bins or by values."""
+        limit, column, left = np.array(self.bin if binned else self.threshold), np.array(self.column), np.array(self.left)
+        at = np.zeros(len(cells), np.int64)
+        rows = np.flatnonzero(left[at] >= 0)
+        while len(rows):
+            n = at[rows]
+            at[rows] = left[n] + (cells[rows, column[n]] > limit[n])
+            rows = rows[left[at[rows]] >= 0]
+        return at
+
     def added(self, frame: DataFrame, leaf: str) -> DataFrame:
-        return self.model.copy().setFeaturesCol("features").setPredictionCol("_unused").setLeafCol(leaf).transform(frame).drop("_unused")
+        """``frame`` with the number of the leaf each row falls into."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cells = _matrix(batch.column(batch.num_columns - 1))
+                found = pa.array(np.array(self.leaf)[self.reached(cells, False)].astype(float))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], leaf])
+
+        return _on_values(frame, run, f"{leaf} double")
+
+    def step(self, cells: np.ndarray, binned: bool) -> np.ndarray:
+        """What the tree adds to the margin of each row."""
+        return np.array([0.0, *self.values])[np.array(self.leaf)[self.reached(cells, binned)] + 1]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    return np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
 
-    def value(self, leaf: str) -> Column:
-        return F.element_at(F.array(*map(F.lit, self.values)), F.col(leaf).cast("int") + 1)
+def _on_values(frame: DataFrame, run, more: str) -> DataFrame:
+    """``frame`` past ``run``, which sees the feature values as a last column and puts ``more`` in its place."""
+    # Arrow batches hold no vectors, so these travel as arrays.
+    shown = frame.withColumns({"features": vector_to_array("features"), "_cells": vector_to_array("features")})
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema.fields[:-1])
+    out = shown.mapInArrow(run, f"{plain}, {more}")
+    return out.withColumn("features", array_to_vector("features"))
 
 
 @dataclass
@@ -71,11 +138,24 @@ class BoostedTrees:
 
     def margins(self, samples: DataFrame) -> DataFrame:
         """``samples`` with ``margin``, the prediction of every target in scaled units."""
-        out = samples.withColumn("margin", F.array(*map(F.lit, self.start)))
-        deepest = max(self.best, default=0)
-        for r in range(deepest):
-            out = _advanced(out, [t[r] if r < b else None for t, b in zip(self.trees, self.best)])
-        return out
+        used = [t[:b] for t, b in zip(self.trees, self.best)]
+        start = self.start
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cells = _matrix(batch.column(batch.num_columns - 1))
+                margin = np.tile(np.array(start), (batch.num_rows, 1))
+                for i, trees in enumerate(used):
+                    for tree in trees:
+                        margin[:, i] += tree.step(cells, False)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(margin)], names=[*batch.schema.names[:-1], "margin"])
+
+        return _on_values(samples, run, "margin array<double>")
+
+
+def _lists(matrix: np.ndarray) -> pa.Array:
+    n, width = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(matrix.ravel()))
 
 
 def loss(z: Column, slope: float) -> Column:
@@ -90,69 +170,175 @@ def curvature(z: Column, slope: float) -> Column:
     return F.pow(1 + F.pow(z / slope, F.lit(2.0)), F.lit(-1.5))
 
 
-def _advanced(frame: DataFrame, trees: list[Tree | None]) -> DataFrame:
-    """Margins after one more tree of each target that has one."""
-    columns = frame.columns
-    terms = []
-    for i, tree in enumerate(trees):
-        now = F.col("margin")[i]
-        if tree is not None:
-            frame = tree.added(frame, f"_leaf{i}")
-            now = now + tree.value(f"_leaf{i}")
-        terms.append(now)
-    return frame.withColumn("margin", F.array(*terms)).select(*columns)
-
-
 def _sampled(spec: PanelSpec, r: int, target: int, settings: BoostSettings) -> Column:
     """Whether a row takes part in a tree; the same row does on every run."""
     draw = F.pmod(F.xxhash64(spec.key, spec.time, F.lit(settings.seed), F.lit(r), F.lit(target)), F.lit(1 << 20))
     return (F.col("split") == "train") & (draw < int(settings.row_share * (1 << 20)))
 
 
-def _fit(frame: DataFrame, spec: PanelSpec, r: int, target: int, settings: BoostSettings) -> DecisionTreeRegressionModel:
-    z = F.col("margin")[target] - F.col("y")[target]
-    width = len(spec.features) * spec.window
+def _shown_columns(width: int, r: int, target: int, settings: BoostSettings) -> np.ndarray:
+    """Whether a tree may split on a column."""
     rng = np.random.default_rng([settings.seed, r, target])
-    mask = np.zeros(width)
-    mask[rng.choice(width, max(1, int(settings.column_share * width)), replace=False)] = 1.0
-    rows = frame.filter(_sampled(spec, r, target, settings)).select(
-        "features",
-        (-gradient(z, settings.slope) / curvature(z, settings.slope)).alias("label"),
-        curvature(z, settings.slope).alias("weight"),
-    )
-    # A column that is 0 everywhere is never split on, so the tree reads the whole vector later.
-    hidden = ElementwiseProduct(scalingVec=Vectors.dense(mask), inputCol="features", outputCol="shown").transform(rows)
-    learner = DecisionTreeRegressor(
-        featuresCol="shown", labelCol="label", weightCol="weight", maxDepth=settings.depth, maxBins=settings.max_bins, seed=settings.seed + r
-    )
-    return learner.fit(hidden)
-
-
-def _leaf_sums(frame: DataFrame, spec: PanelSpec, r: int, models: dict[int, DecisionTreeRegressionModel], settings: BoostSettings) -> dict[tuple[int, int], tuple[float, float]]:
-    """Gradients and curvatures of the sampled rows, by target and leaf, in one aggregate."""
-    parts = []
-    for i, model in models.items():
-        frame = Tree(model, []).added(frame, f"_leaf{i}")
-        z = F.col("margin")[i] - F.col("y")[i]
-        parts.append(
-            F.struct(
-                F.lit(i).alias("target"),
-                F.col(f"_leaf{i}").cast("int").alias("leaf"),
-                _sampled(spec, r, i, settings).alias("used"),
-                gradient(z, settings.slope).alias("g"),
-                curvature(z, settings.slope).alias("h"),
-            )
+    shown = np.zeros(width, bool)
+    shown[rng.choice(width, max(1, int(settings.column_share * width)), replace=False)] = True
+    return shown
+
+
+def _edges(samples: DataFrame, settings: BoostSettings) -> list[np.ndarray]:
+    """Per column the upper ends of all bins but the last, from quantiles of all training rows."""
+    shares = [k / settings.max_bins for k in range(1, settings.max_bins)]
+    cells = samples.filter("split = 'train'").select(F.posexplode(vector_to_array("features")).alias("column", "value"))
+    found = cells.groupBy("column").agg(F.percentile_approx("value", shares, 10_000).alias("edges"))
+    by_column = {row["column"]: np.unique(row["edges"]) for row in found.collect()}
+    return [by_column[c] for c in range(len(by_column))]
+
+
+def _binned(samples: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """``samples`` with the bins of all columns as bytes in place of the values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = _matrix(batch.column(batch.num_columns - 1))
+            bins = np.stack([np.searchsorted(e, cells[:, c]) for c, e in enumerate(edges)], 1).astype(np.uint8)
+            packed = pa.array([row.tobytes() for row in bins], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=[*batch.schema.names[:-1], "bins"])
+
+    shown = samples.withColumn("features", vector_to_array("features"))
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.drop("features").schema.fields)
+    return shown.select(*shown.drop("features").columns, "features").mapInArrow(run, f"{plain}, bins binary")
+
+
+def _unpacked(batch: pa.RecordBatch, trees: list[list[Tree]]) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of a batch, and its margins after ``trees``, which the stored ones lack."""
+    bins = np.frombuffer(b"".join(batch["bins"].to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    margin = _matrix(batch["margin"]).copy()
+    for i, more in enumerate(trees):
+        for tree in more:
+            margin[:, i] += tree.step(bins, True)
+    return bins, margin
+
+
+def _advanced(frame: DataFrame, trees: list[list[Tree]]) -> DataFrame:
+    """Margins after more trees of each target."""
+    at = frame.columns.index("margin")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = _lists(_unpacked(batch, trees)[1])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return frame.mapInArrow(run, frame.schema)
+
+
+def _best_splits(
+    frame: DataFrame, spec: PanelSpec, r: int, pending: list[list[Tree]], growing: dict[int, Tree], open_: dict[int, list[int]], width: int, settings: BoostSettings
+) -> dict[tuple[int, int], dict]:
+    """The best split of every open node of the trees that grow, by target and node."""
+    bins_of = settings.max_bins
+    slope = settings.slope
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for low in range(0, whole.num_rows, CHUNK_ROWS):
+                batch = whole.slice(low, CHUNK_ROWS)
+                bins, margin = _unpacked(batch, pending)
+                y, used = _matrix(batch["y"]), _matrix(batch["used"])
+                cells = bins + np.arange(width) * bins_of
+                for k, (i, tree) in enumerate(growing.items()):
+                    place = np.full(len(tree.left), -1)
+                    place[open_[i]] = np.arange(len(open_[i]))
+                    at = place[tree.reached(bins, True)]
+                    mine = np.flatnonzero(used[:, k] & (at >= 0))
+                    z = margin[mine, i] - y[mine, i]
+                    into = (cells[mine] + at[mine, None] * (width * bins_of)).ravel()
+                    size = len(open_[i]) * width * bins_of
+                    root = np.sqrt(1 + (z / slope) ** 2)
+                    one = [np.bincount(into, np.repeat(w, width), size) for w in (z / root, root**-3)]
+                    sums[i] = sums[i] + np.stack(one) if i in sums else np.stack(one)
+        for i, both in sums.items():
+            both = both.reshape(2, len(open_[i]), width, bins_of)
+            for n, node in enumerate(open_[i]):
+                if both[1, n, 0].any():
+                    parts = [both[:, n, c : c + COLUMN_BLOCK] for c in range(0, width, COLUMN_BLOCK)]
+                    packed = pa.array([np.ascontiguousarray(x).tobytes() for x in parts], pa.binary())
+                    m = len(parts)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i] * m, pa.int32()), pa.array([node] * m, pa.int32()), pa.array(range(m), pa.int32()), packed],
+                        names=["target", "node", "block", "sums"],
+                    )
+
+    shown = {i: _shown_columns(width, r, i, settings) for i in growing}
+
+    def choose(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, node, block = (k.as_py() for k in key)
+        total = sum(np.frombuffer(x, float) for batch in batches for x in batch["sums"].to_pylist())
+        g, h = np.asarray(total).reshape(2, -1, bins_of)
+        lg, lh = g.cumsum(1)[:, :-1], h.cumsum(1)[:, :-1]
+        ag, ah = g.sum(1, keepdims=True), h.sum(1, keepdims=True)
+        rg, rh = ag - lg, ah - lh
+        # Where the bins beyond a cut are empty, differences of sums leave a rest.
+        filled = (h != 0)[:, ::-1].cumsum(1)[:, ::-1][:, 1:] > 0
+        fits = (lh > 0) & (rh > 0) & filled & shown[target][block * COLUMN_BLOCK :][: len(g), None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(fits, lg**2 / lh + rg**2 / rh - ag**2 / ah, -np.inf)
+        c, cut = np.unravel_index(gain.argmax(), gain.shape)
+        found = [target, node, block * COLUMN_BLOCK + int(c), int(cut), gain[c, cut], lg[c, cut], lh[c, cut], rg[c, cut], rh[c, cut]]
+        types = [pa.int32()] * 4 + [pa.float64()] * 5
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x], t) for x, t in zip(found, types)], names=["target", "node", "column", "bin", "gain", "lg", "lh", "rg", "rh"]
         )
-    long = frame.filter("split = 'train'").select(F.inline(F.array(*parts))).filter("used")
-    rows = long.groupBy("target", "leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-    return {(row["target"], row["leaf"]): (row["g"], row["h"]) for row in rows}
 
-
-def _losses(frame: DataFrame, n: int, settings: BoostSettings) -> tuple[list[float | None], list[float | None]]:
+    used = F.array(*[_sampled(spec, r, i, settings) for i in growing]).alias("used")
+    rows = frame.filter("split = 'train'").select("bins", "y", "margin", used)
+    told = rows.mapInArrow(count, SUMS_SCHEMA).groupBy("target", "node", "block").applyInArrow(choose, SPLITS_SCHEMA).collect()
+    best: dict[tuple[int, int], dict] = {}
+    for row in sorted(told, key=lambda x: (-x["gain"], x["column"])):
+        best.setdefault((row["target"], row["node"]), row.asDict())
+    return best
+
+
+def _grown(
+    frame: DataFrame, spec: PanelSpec, r: int, pending: list[list[Tree]], targets: list[int], edges: list[np.ndarray], settings: BoostSettings
+) -> tuple[dict[int, Tree], dict[int, dict[int, tuple[float, float]]]]:
+    """A tree of each target, and the sums of gradients and curvatures by leaf."""
+    growing = {i: Tree.root() for i in targets}
+    # Sums of the root come with its split, those of other nodes with the split above.
+    sums: dict[int, dict[int, tuple[float, float]]] = {i: {} for i in targets}
+    open_ = {i: [0] for i in targets}
+    for _ in range(settings.depth):
+        asked = {i: t for i, t in growing.items() if open_[i]}
+        if not asked:
+            break
+        best = _best_splits(frame, spec, r, pending, asked, open_, len(edges), settings)
+        for i, tree in asked.items():
+            below = []
+            for node in open_[i]:
+                x = best.get((i, node))
+                if x is None:
+                    continue
+                sums[i].setdefault(node, (x["lg"] + x["rg"], x["lh"] + x["rh"]))
+                if x["gain"] > 0:
+                    left = tree.split(node, x["column"], x["bin"], float(edges[x["column"]][x["bin"]]))
+                    sums[i] |= {left: (x["lg"], x["lh"]), left + 1: (x["rg"], x["rh"])}
+                    below += [left, left + 1]
+            open_[i] = below
+    for i, tree in growing.items():
+        tree.number_leaves()
+        sums[i] = {tree.leaf[node]: x for node, x in sums[i].items() if tree.leaf[node] >= 0}
+        tree.values = [0.0] * (len(tree.left) // 2 + 1)
+        for leaf, (g, h) in sums[i].items():
+            tree.values[leaf] = -settings.step * g / (h + settings.penalty)
+    return growing, sums
+
+
+def _losses(frame: DataFrame, pending: list[list[Tree]], n: int, settings: BoostSettings) -> tuple[list[float | None], list[float | None]]:
     """Mean loss of every target on training and on validation rows."""
+    moved = _advanced(frame, pending) if any(pending) else frame
     terms = [loss(F.col("margin")[i] - F.col("y")[i], settings.slope) for i in range(n)]
     means = [F.avg(F.when(F.col("split") == part, t)).alias(f"{part}{i}") for part in ("train", "valid") for i, t in enumerate(terms)]
-    row = frame.agg(*means).first()
+    row = moved.agg(*means).first()
     return [row[f"train{i}"] for i in range(n)], [row[f"valid{i}"] for i in range(n)]
 
 
@@ -170,33 +356,29 @@ def train_boosted(frames: TrainingFrames, spec: PanelSpec, settings: BoostSettin
     n = len(spec.targets)
     samples = frames.samples.filter("split IN ('train', 'valid')")
     start = _start(samples, n, settings)
-    frame = samples.select(spec.key, spec.time, "split", "features", "y", F.array(*map(F.lit, start)).alias("margin"))
-    # Many passes follow, so rows are dealt evenly over all tasks first.
-    frame = durable(frame.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), spec.key, spec.time))
-    train, valid = _losses(frame, n, settings)
+    edges = _edges(samples, settings)
+    margin = F.array(*map(F.lit, start)).alias("margin")
+    # Many passes follow, so rows are dealt evenly first, over as many tasks as they can keep busy.
+    rows = samples.count()
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS))
+    frame = _binned(samples.select(spec.key, spec.time, "split", "features", "y", margin), edges)
+    frame = durable(frame.repartition(parts, spec.key, spec.time))
+    pending: list[list[Tree]] = [[] for _ in range(n)]
+    train, valid = _losses(frame, pending, n, settings)
     told = [(spec.targets[i], 0, train[i], valid[i]) for i in range(n)]
     trees: list[list[Tree]] = [[] for _ in range(n)]
     least, best = list(valid), [0] * n
     leaves = []
     going = list(range(n))
     for r in range(settings.rounds):
-        with ThreadPool(len(going)) as pool:
-            fitted = pool.map(inheritable_thread_target(spark)(lambda i: _fit(frame, spec, r, i, settings)), going)
-        models = dict(zip(going, fitted))
-        sums = _leaf_sums(frame, spec, r, models, settings)
-        grown: list[Tree | None] = [None] * n
-        for i, model in models.items():
-            values = [0.0] * (model.numNodes // 2 + 1)
-            for (target, leaf), (g, h) in sums.items():
-                if target == i:
-                    values[leaf] = -settings.step * g / (h + settings.penalty)
-                    leaves.append((spec.targets[i], r + 1, leaf, g, h, values[leaf]))
-            grown[i] = Tree(model, values)
-            trees[i].append(grown[i])
-        frame = _advanced(frame, grown)
+        grown, sums = _grown(frame, spec, r, pending, going, edges, settings)
+        for i, tree in grown.items():
+            leaves += [(spec.targets[i], r + 1, leaf, g, h, tree.values[leaf]) for leaf, (g, h) in sums[i].items()]
+            trees[i].append(tree)
+            pending[i].append(tree)
         if r % settings.stored_every == settings.stored_every - 1:
-            frame = durable(frame)
-        train, valid = _losses(frame, n, settings)
+            frame, pending = durable(_advanced(frame, pending)), [[] for _ in range(n)]
+        train, valid = _losses(frame, pending, n, settings)
         for i in list(going):
             told.append((spec.targets[i], r + 1, train[i], valid[i]))
             if valid[i] is None or least[i] is None or valid[i] < least[i]:

@@ -80,3 +80,24 @@ def test_trees_stop_by_validation(frames):
     models = training.train_trees(frames, SMALL, training.TreeSettings(rounds=5, depth=2))
     assert all(1 <= m.getNumTrees <= 5 for m in models)
     assert training.evaluate(training.predict_samples(frames, models, SMALL), SMALL).count() == 2
+
+
+def test_root_split_is_the_best_of_all_bins(frames, model):
+    """All targets grow together in one job a level; the split of a root is the best that its rows and columns allow."""
+    train = frames.samples.filter("split = 'train'")
+    pdf = train.withColumns({f"used{i}": boosting._sampled(SMALL, 0, i, SETTINGS) for i in range(2)}).toPandas()
+    cells = np.stack([v.toArray() for v in pdf.features])
+    edges = boosting._edges(train, SETTINGS)
+    for i in range(2):
+        used = pdf[f"used{i}"].to_numpy()
+        z = model.start[i] - np.stack(pdf.y)[used, i]
+        g, h = z / np.sqrt(1 + z * z), (1 + z * z) ** -1.5
+        gains = {}
+        for c in np.flatnonzero(boosting._shown_columns(cells.shape[1], 0, i, SETTINGS)):
+            for cut, edge in enumerate(edges[c]):
+                left = cells[used, c] <= edge
+                if left.any() and not left.all():
+                    gains[c, cut] = sum(g[m].sum() ** 2 / h[m].sum() for m in (left, ~left))
+        tree = model.trees[i][0]
+        assert gains[tree.column[0], tree.bin[0]] == pytest.approx(max(gains.values()), rel=1e-9)
+        assert tree.threshold[0] == edges[tree.column[0]][tree.bin[0]]
