@@ -1,10 +1,12 @@
 """Secret scanning: exact base patterns, and a character convolutional network over every further candidate.
 
 ``scan`` finds base spans and candidates (runs of 16 or more characters of the secret alphabet with a digit) with the
-characters around them.  ``train`` fits the network in numpy on a bounded sample of findings, labelled by whether a
-base pattern holds them; in half of the examples the context is hidden, so the value itself must tell.  Scores are
-calibrated on held-out findings (Platt), and the threshold is the highest that keeps the recall asked for there and
-the precision asked for as well; where none does, the network adds nothing.  ``judge`` scores all candidates.
+characters around them.  ``train`` fits the network in numpy on all distinct findings, labelled by whether a base pattern
+holds them; in half of the examples the context is hidden, so the value itself must tell.  Findings are dealt to shards of
+bounded size; in each epoch every shard takes its steps from the same network, and the shards' networks are averaged.
+Scores are calibrated on counts of all held-out findings (Platt), and the threshold is the highest that keeps the recall
+asked for there and the precision asked for as well; where none does, the network adds nothing.  ``judge`` scores all
+candidates.
 
 Null text is empty.  Rows are scanned one by one, so repeated rows get the same spans.  Only id and text are read.
 An empty table gives an empty result, and a corpus without findings a network that adds nothing.
@@ -12,7 +14,7 @@ An empty table gives an empty result, and a corpus without findings a network th
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,8 +38,11 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 BEFORE, INSIDE, AFTER = 20, 44, 8
 WIDTH = BEFORE + INSIDE + AFTER
 
-#: Bounds of the labelled sample, for each class.
-SAMPLE = 3000
+#: Findings a shard of learning holds, about.
+SHARD = 6000
+EPOCHS = 12
+#: Held-out scores are counted on a grid, so the driver sees at most so many steps either side of 0, of this size.
+GRID, STEPS = 1 / 512, 1 << 15
 RECALL, PRECISION = 0.95, 0.99
 
 _CLASSES = ["0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "=", ":", "\"'", " ", "_-", "./", "+@"]
@@ -105,6 +110,11 @@ def encode(views: list[str]) -> np.ndarray:
     return out
 
 
+#: What the steps of learning move, and the name of their moving means.
+PARTS = ("table", "bias", "out", "shift")
+Moves = dict[str, np.ndarray | float]
+
+
 @dataclass
 class Network:
     """Class embeddings, one convolution, the maximum over value and over context, and a logistic output."""
@@ -133,12 +143,16 @@ class Network:
         pooled = np.maximum(top, 0).reshape(len(x), -1)
         return pooled @ self.out + self.shift, pooled, best
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.02, batch: int = 128, seed: int = 7) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, begin: int = 0, moves: Moves | None = None, rate: float = 0.02, batch: int = 128, seed: int = 7) -> Moves:
+        """More epochs after the first ``begin``, going on from their moving means."""
         rng = np.random.default_rng(seed)
-        names = ("table", "bias", "out", "shift")
-        moment = {n: np.zeros_like(np.asarray(getattr(self, n), float)) for n in names}
-        square = {n: np.zeros_like(np.asarray(getattr(self, n), float)) for n in names}
-        step = 0
+        names = PARTS
+        moves = moves or {"step": 0.0} | {f"{kind} {n}": np.zeros_like(np.asarray(getattr(self, n), float)) for kind in ("moment", "square") for n in names}
+        moment, square = ({n: moves[f"{kind} {n}"] for n in names} for kind in ("moment", "square"))
+        step = moves["step"]
+        for _ in range(begin):  # the draws of the epochs before
+            rng.permutation(len(x))
+            rng.random(len(x))
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for low in range(0, len(x), batch):
@@ -163,43 +177,93 @@ class Network:
                     square[n] = 0.999 * square[n] + 0.001 * grad[n] ** 2
                     move = rate * (moment[n] / (1 - 0.9**step)) / (np.sqrt(square[n] / (1 - 0.999**step)) + 1e-8)
                     setattr(self, n, getattr(self, n) - move)
+        return {"step": step} | {f"moment {n}": moment[n] for n in names} | {f"square {n}": square[n] for n in names}
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, precision: float) -> None:
-        """Platt scaling on held-out findings, then the threshold."""
-        score = self.forward(x)[0]
+    def calibrate(self, score: np.ndarray, y: np.ndarray, count: np.ndarray, recall: float, precision: float) -> None:
+        """Platt scaling on counted scores of held-out findings, then the threshold."""
         a, b = 1.0, 0.0
+        weight = count / count.sum()
         for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(a * score + b, -30, 30)))
-            a -= 0.1 * float(((p - y) * score).mean())
-            b -= 0.1 * float((p - y).mean())
+            a -= 0.1 * float((weight * (p - y) * score).sum())
+            b -= 0.1 * float((weight * (p - y)).sum())
         self.scale, self.offset, self.threshold = a, b, np.inf
-        p = self.probability(x)
-        for t in np.unique(p)[::-1]:
-            taken = p >= t
-            if (taken & (y == 1)).sum() >= recall * max(1, (y == 1).sum()):
-                if (taken & (y == 1)).sum() >= precision * taken.sum():
-                    self.threshold = float(t)
-                break
+        p = 1 / (1 + np.exp(-np.clip(a * score + b, -30, 30)))
+        levels, at = np.unique(-p, return_inverse=True)
+        caught = np.cumsum(np.bincount(at, count * (y == 1), len(levels)))
+        taken = np.cumsum(np.bincount(at, count, len(levels)))
+        k = int(np.argmax(caught >= recall * max(1, caught[-1])))
+        if caught[k] >= max(recall * max(1, caught[-1]), precision * taken[k]):
+            self.threshold = float(-levels[k])
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.forward(x)[0] + self.offset, -30, 30)))
 
 
-def train(scanned: DataFrame, sample: int = SAMPLE, recall: float = RECALL, precision: float = PRECISION) -> Network:
-    """A network fitted on at most ``sample`` findings of each class, taken in hash order of their characters."""
+def _rounds(known: DataFrame, net: Network, shards: int) -> None:
+    """Epochs over the findings of all shards; after each, the network is the mean of the shards' networks."""
+    spark = known.sparkSession
+    moves: Moves | None = None
+    # One shard has nobody to wait for.
+    each = EPOCHS if shards == 1 else 1
+    for begin in range(0, EPOCHS, each):
+        sent = spark.sparkContext.broadcast((begin, vars(net), moves))
+
+        def run(key: tuple, part: pa.Table) -> pa.Table:
+            done, now, moves = sent.value
+            net = Network(**{n: np.array(v) for n, v in now.items()})
+            rows = sorted(part.to_pylist(), key=lambda r: (not r["labelled"], r["h"], r["view"].encode()))
+            y = np.array([float(r["labelled"]) for r in rows])
+            moves = moves and {n: np.array(v) for n, v in moves.items()}
+            moves = net.fit(encode([r["view"] for r in rows]), y, each, done, moves, seed=7 + key[0].as_py())
+            state = {n: len(rows) * v for n, v in moves.items()} | {n: len(rows) * getattr(net, n) for n in PARTS}
+            return pa.table({"n": [len(rows)], "state": [pickle.dumps(state)]}, pa.schema([("n", pa.int64()), ("state", pa.binary())]))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, state = 0, None
+            for batch in batches:
+                for k, x in zip(batch["n"].to_pylist(), batch["state"].to_pylist(), strict=True):
+                    more = pickle.loads(x)
+                    n, state = n + k, more if state is None else {name: state[name] + more[name] for name in state}
+            if n:
+                yield pa.record_batch([pa.array([n], pa.int64()), pa.array([pickle.dumps(state)], pa.binary())], names=["n", "state"])
+
+        # A task adds up its shards, so the driver sees one network a task.
+        told = known.where("NOT held").groupBy("shard").applyInArrow(run, "n long, state binary").mapInArrow(add, "n long, state binary").collect()
+        total = sum(r.n for r in told)
+        states = [pickle.loads(r.state) for r in told]
+        mean = {name: sum(x[name] for x in states) / total for name in states[0]}
+        for name in PARTS:
+            setattr(net, name, mean.pop(name))
+        moves = mean
+
+
+def train(scanned: DataFrame, recall: float = RECALL, precision: float = PRECISION) -> Network:
+    """A network fitted on all distinct findings, and calibrated on those that the fit has not seen."""
     every = scanned.select(F.explode("candidates").alias("c")).select("c.labelled", "c.view").distinct()
-    rows = []
-    for wanted in (True, False):
-        rows += [(r.view, wanted) for r in every.where(F.col("labelled") == wanted).orderBy(F.xxhash64("view"), "view").limit(sample).collect()]
+    turn = F.conv(F.substring(F.md5("view"), 1, 2), 16, 10).cast("int")
+    known = durable(every.select("labelled", "view", F.xxhash64("view").alias("h"), (turn % 4 == 0).alias("held")))
+    counts = {(r.labelled, r.held): r["count"] for r in known.groupBy("labelled", "held").count().collect()}
     net = Network.new()
-    y = np.array([float(w) for _, w in rows])
-    if len(rows) < 20 or y.min() == y.max():
+    if sum(counts.values()) < 20 or len({labelled for labelled, _ in counts}) < 2 or not any(not held for _, held in counts):
         return net
-    x = encode([v for v, _ in rows])
-    held = np.array([hashlib.md5(v.encode()).digest()[0] % 4 == 0 for v, _ in rows])
-    net.fit(x[~held], y[~held])
-    if len(set(y[held])) == 2:
-        net.calibrate(x[held], y[held], recall, precision)
+    shown = sum(n for (_, held), n in counts.items() if not held)
+    shards = -(-shown // SHARD)
+    _rounds(known.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")), net, shards)
+    if len({labelled for labelled, held in counts if held}) == 2:
+        sent = known.sparkSession.sparkContext.broadcast(vars(net))
+
+        def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            net = Network(**sent.value)
+            for batch in batches:
+                if batch.num_rows:
+                    score = net.forward(encode(batch["view"].to_pylist()))[0]
+                    at = np.clip(np.floor(score / GRID), -STEPS, STEPS).astype(np.int32)
+                    yield pa.record_batch([batch["labelled"], pa.array(at)], names=["labelled", "at"])
+
+        held = known.where("held").select("labelled", "view").mapInArrow(scores, "labelled boolean, at int")
+        told = held.groupBy("labelled", "at").count().orderBy("at", "labelled").collect()
+        net.calibrate(*(np.array([float(r[c]) for r in told]) * f for c, f in (("at", GRID), ("labelled", 1.0), ("count", 1.0))), recall, precision)
     return net
 
 

@@ -391,3 +391,20 @@ def test_one_response_among_equal_ids(spark, folder):
     at = folder(pages=[(9, "http://a/x", "same"), (9, "http://a/y", "same"), (3, "http://a/z", "same"), (None, "http://a/n", "same"), (4, "http://b", None)])
     got = sorted((str(r.page_id), r.record_type, r.refers_to) for r in queries.op7_warc(spark, at).collect())
     assert got == [("3", "revisit", 9), ("4", "response", None), ("9", "response", None), ("9", "revisit", 9), ("None", "revisit", 9)]
+
+
+def test_network_learns_from_every_finding(spark, monkeypatch):
+    """However many findings there are, all are fitted or held out, and shards agree on one network that tells them apart."""
+    rng = np.random.default_rng(5)
+    word = lambda letters, n: "".join(rng.choice(list(letters), n))
+    texts = [f"token={word('0123456789abcdef', 24)} seen" for _ in range(300)] + [f"see part{word('mnopq', 14)}.7 here" for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(secrets, "SHARD", 100)
+    seen, counted = [], []
+    monkeypatch.setattr(secrets, "_rounds", lambda known, net, shards, f=secrets._rounds: (seen.append((known.where("NOT held").count(), shards)), f(known, net, shards)))
+    monkeypatch.setattr(secrets.Network, "calibrate", lambda net, s, y, n, *a, f=secrets.Network.calibrate: (counted.append(n.sum()), f(net, s, y, n, *a)))
+    net = secrets.train(secrets.scan(docs))
+    assert seen[0][0] + counted[0] == 600 and seen[0][1] > 3
+    fresh = [f"kept {word('0123456789abcdef', 24)} there", f"see part{word('mnopq', 14)}.7 here"]
+    p = net.probability(secrets.encode([secrets.candidates(t, [])[0]["view"] for t in fresh]))
+    assert p[0] > 0.9 and p[1] < min(0.5, net.threshold)
