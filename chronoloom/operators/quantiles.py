@@ -49,12 +49,15 @@ def _locate(counts: DataFrame, within: list[str], order: str, wanted: str) -> Da
 
 
 def exact_quantiles(
-    long: DataFrame, groups: list[str], probabilities: list[float], value: str = "value"
+    long: DataFrame, groups: list[str], probabilities: list[float], value: str = "value", few: bool = False
 ) -> DataFrame:
     """Linear-interpolated quantiles: one row per group, columns ``q0``, ``q1``, ...
 
-    NULL values are ignored; a group without values has no row.
+    NULL values are ignored; a group without values has no row.  ``few`` says that the groups are a handful whatever the
+    number of rows: what was located, at most two buckets per group and probability, then goes to the rows.  Otherwise the
+    rows of a bucket that many share, as those of a column with few values, would meet it in one task.
     """
+    handed = F.broadcast if few else lambda located: located
     rows = long.select(*groups, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
     coarse = rows.withColumn("_c", _coarse(F.col("_v")))
 
@@ -82,7 +85,7 @@ def exact_quantiles(
     )
 
     # Step 2: which equal-width part of that bucket.
-    fine = coarse.join(buckets, [*base, "_c"]).withColumn(
+    fine = coarse.join(handed(buckets), [*base, "_c"]).withColumn(
         "_f", _fine(F.col("_v"), F.col("_lo"), F.col("_hi"))
     )
     parts = fine.groupBy(*base, "_c", "_f").agg(
@@ -103,7 +106,7 @@ def exact_quantiles(
 
     # Step 3: count the values of those parts one by one.
     values = (
-        coarse.join(segments, [*base, "_c"])
+        coarse.join(handed(segments), [*base, "_c"])
         .filter(F.col("_v").between(F.col("_plo"), F.col("_phi")))
         .groupBy(*base, "_c", "_f", "_v")
         .agg(

@@ -27,9 +27,14 @@ def to_long(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), name:
     return df.select(*keys, F.explode(cells).alias("_cell")).select(*keys, "_cell.*")
 
 
-def _with_quantiles(long: DataFrame, groups: list[str], aggs: list[Column], probabilities: list[float]) -> DataFrame:
+def _handed(small: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row per column and key, to be joined with cells: without keys it goes to them, as a column's cells would be one task."""
+    return small if keys else F.broadcast(small)
+
+
+def _with_quantiles(long: DataFrame, groups: list[str], aggs: list[Column], probabilities: list[float], few: bool) -> DataFrame:
     plain = long.groupBy(*groups).agg(*aggs)
-    return plain.join(exact_quantiles(long, groups, probabilities), groups, "left")
+    return plain.join(exact_quantiles(long, groups, probabilities, few=few), groups, "left")
 
 
 def statistical_summary(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -41,7 +46,7 @@ def statistical_summary(df: DataFrame, columns: list[str], keys: tuple[str, ...]
         F.max("value").alias("max"),
         F.stddev_samp("value").alias("std"),
     ]
-    out = _with_quantiles(to_long(df, columns, keys, "pollutant"), groups, aggs, [0.5])
+    out = _with_quantiles(to_long(df, columns, keys, "pollutant"), groups, aggs, [0.5], not keys)
     return out.select(*groups, "mean", F.col("q0").alias("median"), "min", "max", "std")
 
 
@@ -62,13 +67,13 @@ def iqr_outliers(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ())
     """Count and share of values outside the 1.5-IQR fences."""
     groups = [*keys, "column"]
     long = to_long(df, columns, keys)
-    q = exact_quantiles(long, groups, [0.25, 0.75]).select(
+    q = exact_quantiles(long, groups, [0.25, 0.75], few=not keys).select(
         *groups,
         (F.col("q0") - 1.5 * (F.col("q1") - F.col("q0"))).alias("_low"),
         (F.col("q1") + 1.5 * (F.col("q1") - F.col("q0"))).alias("_high"),
     )
     outside = (F.col("value") < F.col("_low")) | (F.col("value") > F.col("_high"))
-    counted = long.join(q, groups, "left").groupBy(*groups).agg(
+    counted = long.join(_handed(q, keys), groups, "left").groupBy(*groups).agg(
         F.count_if(outside).alias("outlier_count"), F.count("value").alias("_n")
     )
     share = F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.col("outlier_count") * 100.0 / F.col("_n"))
@@ -95,7 +100,7 @@ def describe(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> D
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     ]
-    out = _with_quantiles(to_long(df, columns, keys), groups, aggs, [0.25, 0.5, 0.75])
+    out = _with_quantiles(to_long(df, columns, keys), groups, aggs, [0.25, 0.5, 0.75], not keys)
     return out.select(
         *groups, "count", "mean", "std", "min",
         F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max",
@@ -146,7 +151,7 @@ def histogram(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) ->
     place = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(
         F.least(F.floor((F.col("value") - F.col("_lo")) / width) + 1, F.col("bins"))
     )
-    binned = long.join(bounds, groups).withColumn("bin", place.cast("int"))
+    binned = long.join(_handed(bounds, keys), groups).withColumn("bin", place.cast("int"))
     counted = binned.groupBy(*groups, "bins", "bin", "_lo", "_hi").agg(F.count("*").alias("count"))
     return counted.select(
         *groups, "bins", "bin",

@@ -172,3 +172,12 @@ def test_metrics_on_constant_truth(spark):
     assert (row["n"], row["mae"], row["rmse"]) == (2, 1.0, 1.0) and row["r2"] is None and row["pearson_r"] is None
     zero = spark.createDataFrame([(0.0, 0.0)], "y double, p double")
     assert metrics.accuracy(zero, "y", "p").first()["smape"] == 0.0
+
+
+@pytest.mark.parametrize("work", [stats.describe, stats.statistical_summary, stats.histogram, stats.iqr_outliers])
+def test_cells_of_a_column_are_not_gathered_in_one_task(spark, work):
+    """Only counts are shuffled on the column; cells, of which a column has as many as there are rows, never are."""
+    df = spark.range(2000).selectExpr("id % 3 AS a", "id * 0.5 AS b")
+    text = work(df, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    joined = text.count("Join Inner") + text.count("Join LeftOuter")
+    assert joined and text.count("(strategy=broadcast)") >= (2 if work in (stats.describe, stats.statistical_summary) else 1)
