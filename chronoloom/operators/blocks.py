@@ -25,9 +25,17 @@ def time_block(spec: PanelSpec) -> Column:
     return clock.ticks(F.col(spec.time), spec.cadence_seconds * spec.block_rows)
 
 
-def in_block(spec: PanelSpec, descending: bool = False):
-    order = F.col(spec.time).desc() if descending else F.col(spec.time).asc()
-    return Window.partitionBy(spec.key, BLOCK).orderBy(order)
+def in_block(spec: PanelSpec):
+    return Window.partitionBy(spec.key, BLOCK).orderBy(F.col(spec.time).asc())
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows shuffled on ``keys`` into a stated number of partitions.
+
+    Spark merges partitions by their compressed bytes, and NULL cells and ticks of a clock compress to almost nothing:
+    a merged partition would hold more and more rows to sort as the data grows.  A stated number is not merged.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def by_block(df: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -38,7 +46,7 @@ def by_block(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """
     if BLOCK in df.columns:  # already together by block
         return df
-    return df.withColumn(BLOCK, time_block(spec)).repartition(spec.key, BLOCK)
+    return dealt(df.withColumn(BLOCK, time_block(spec)), spec.key, BLOCK)
 
 
 def block_counts(df: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -133,8 +141,6 @@ def spine(bounds: DataFrame, spec: PanelSpec, first: str, last: str) -> DataFram
     )
     start = F.greatest(F.col("_lo"), F.col(BLOCK) * long)
     end = F.least(F.col("_hi"), F.col(BLOCK) * long + (long - 1))
-    # Blocks are few bytes but many ticks: a stated number of partitions is not merged by size.
-    parts = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(parts, spec.key, BLOCK).select(
+    return dealt(blocks, spec.key, BLOCK).select(
         spec.key, F.explode(F.sequence(start, end)).alias("_tick")
     ).select(spec.key, clock.from_epoch_seconds(F.col("_tick") * size).alias(spec.time))

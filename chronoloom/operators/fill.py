@@ -51,19 +51,22 @@ def with_neighbours(df: DataFrame, spec: PanelSpec, cols: list[str], at: str) ->
         *[F.last(edge("f", c), ignorenulls=True).over(desc).alias(f"_cn_{c}") for c in cols],
     )
 
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    forward = blocks.in_block(spec).rowsBetween(*upto)
-    backward = blocks.in_block(spec, descending=True).rowsBetween(*upto)
-    inside = keyed.withColumns(
-        {f"_prev_{c}": F.last(_known(at, c), ignorenulls=True).over(forward) for c in cols}
-    ).withColumns({f"_next_{c}": F.last(_known(at, c), ignorenulls=True).over(backward) for c in cols})
+    # Both directions in one order, so that a block is sorted once.
+    order = blocks.in_block(spec)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = keyed.withColumns({f"_own_{c}": _known(at, c) for c in cols}).withColumns(
+        {
+            **{f"_prev_{c}": F.last(f"_own_{c}", ignorenulls=True).over(upto) for c in cols},
+            **{f"_next_{c}": F.expr(f"lead(`_own_{c}`) IGNORE NULLS").over(order) for c in cols},
+        }
+    )
     bridged = inside.join(carried, [spec.key, BLOCK]).withColumns(
         {
             **{f"_prev_{c}": F.coalesce(f"_prev_{c}", f"_cp_{c}") for c in cols},
-            **{f"_next_{c}": F.coalesce(f"_next_{c}", f"_cn_{c}") for c in cols},
+            **{f"_next_{c}": F.coalesce(f"_own_{c}", f"_next_{c}", f"_cn_{c}") for c in cols},
         }
     )
-    return bridged.drop(BLOCK, *[f"_cp_{c}" for c in cols], *[f"_cn_{c}" for c in cols])
+    return bridged.drop(BLOCK, *[f"_{kind}_{c}" for kind in ("cp", "cn", "own") for c in cols])
 
 
 def _line(prev: Column, nxt: Column, at: Column) -> Column:

@@ -29,7 +29,7 @@ def _on_spine(observed: DataFrame, spec: PanelSpec) -> DataFrame:
         F.min(spec.time).alias("_first"), F.max(spec.time).alias("_last")
     )
     hours = blocks.spine(bounds, spec, "_first", "_last")
-    return hours.join(observed, [spec.key, spec.time], "left")
+    return blocks.dealt(hours, spec.key, spec.time).join(observed, [spec.key, spec.time], "left")
 
 
 def event_hours(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:

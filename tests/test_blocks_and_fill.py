@@ -154,3 +154,18 @@ def test_lag_features_drop_incomplete_rows(spark):
     assert len(got) == 8 and got["pm2_5_lag2"].tolist() == list(np.arange(8.0))
     with pytest.raises(ValueError, match="missing"):
         windows.lag_features(typed_frame(spark, pdf), SPEC, "absent")
+
+
+def test_fill_sorts_each_block_once_in_a_stated_number_of_tasks(spark, capsys):
+    filled = fill.fill_limited(typed_frame(spark, gappy(6)), SPEC, ["y"])
+    filled.explain()
+    by_time = [line for line in capsys.readouterr().out.splitlines() if "Sort [" in line and "time" in line]
+    assert len(by_time) == 1
+    # Partitions merged by compressed bytes would be one here, and would hold ever more rows of larger tables.
+    assert filled.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_block_without_values_takes_its_neighbours_from_other_blocks(spark):
+    pdf = gappy(7, n=20, series=1).assign(y=[1.0] + [np.nan] * 17 + [19.0, np.nan])
+    got = values(fill.fill_time(typed_frame(spark, pdf), SPEC, ["y"]))
+    np.testing.assert_allclose(got, [*np.arange(1.0, 20.0), 19.0])
