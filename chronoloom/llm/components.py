@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.session import durable
+from chronoloom.session import discard, durable
 
 MAX_ROUNDS = 100
 
@@ -35,6 +35,7 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         small = durable(small.where("u != v").distinct())
+        discard(edges, large)
         edges, before = small, state
         state = _state(edges)
         if state == before:
@@ -42,4 +43,6 @@ def components(links: DataFrame) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return durable(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots))
+    named = durable(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots))
+    discard(edges)
+    return named

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import byte_texts, chunks, grams, mix, release, word_hashes
 from chronoloom.llm.components import components
-from chronoloom.session import durable
+from chronoloom.session import discard, durable
 
 GRAM = 5
 THRESHOLD = Fraction(4, 5)
@@ -295,7 +295,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = durable(sketch(docs))
-    sized = sketches.select("doc_id", "n_shingles", "set_key", "need")
+    # What the result needs of every row is stored apart from the hashes, which are deleted as soon as they are counted.
+    sized = durable(sketches.select("doc_id", "n_shingles", "set_key", "need"))
     classes = durable(sized.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")))
 
     # Hashes that different sets have among their first ones, and the sets that have enough of them.  They are shuffled
@@ -303,6 +304,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = sketches.where("doc_id IS NOT NULL").select(F.explode("firsts").alias("h"), F.xxhash64("set_key").alias("k"), "doc_id")
     once = firsts.repartition("h").groupBy("h", "k").agg(F.min("doc_id").alias("doc_id"))
     met = durable(once.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").select("doc_id", "h"))
+    discard(sketches)
     release(spark)
     # An id with several texts has the least need of any, which leaves nothing out.
     needs = classes.join(sized, ["set_key", "doc_id"]).groupBy("doc_id").agg(F.min("need").alias("need"))
@@ -310,7 +312,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     enough = enough.select("doc_id", "g", "need")
     sets = durable(_owned(docs, enough))
     release(spark)
-    met = durable(met.join(sets.select("doc_id", "need").distinct(), "doc_id").select("doc_id", "need", "h"))
+    every = met
+    met = durable(every.join(sets.select("doc_id", "need").distinct(), "doc_id").select("doc_id", "need", "h"))
+    discard(every)
 
     # First under one hash each: near copies mostly meet there, and the rest of the work knows their components.
     same_id = _links_of_ids(sized, classes)
@@ -324,7 +328,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         several = named.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("h")
         named = named.join(several, "h").select("doc_id", "need", "h")
         able = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("doc_id", "n")
-        open_ = durable(named.join(able.select("doc_id"), "doc_id", "left_semi"))
+        before, open_ = open_, durable(named.join(able.select("doc_id"), "doc_id", "left_semi"))
+        discard(before)
         release(spark)
     # Partners share at least ``need`` of these, so each set leaves out its last need - 1, those that most sets have.
     spread = open_.groupBy("h").agg(F.count("*").alias("n"))
@@ -334,12 +339,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = _labelled(members, known)
     several = members.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("b")).where("low != high").select("h", "b")
     members = durable(members.join(several, "h"))
+    discard(open_)
     # Sets that hang together by such hashes are searched in one place, each sent once with its hashes.
     clusters = components(members.select(F.col("doc_id").alias("a"), "b"))
     release(spark)
     once = members.groupBy("doc_id").agg(F.first("component").alias("component"), F.collect_set("h").alias("shared"))
     once = once.join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "doc_id")
     more = durable(_block_links(once.join(sets.select("doc_id", "hashes"), "doc_id")))
+    discard(sets, members, clusters)
     release(spark)
     if not more.isEmpty():
         # Links now join components: a document takes what its component is called.

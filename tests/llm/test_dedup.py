@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -11,6 +12,7 @@ import numpy as np
 import pytest
 from tables import rows
 
+from chronoloom import session
 from chronoloom.llm import jaccard, postings, queries, substrings
 from chronoloom.llm.components import components
 
@@ -168,6 +170,15 @@ def test_one_of_each_with_clashing_names(spark, folder):
     assert out.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in out.collect()) == [("1", "a b c d e f"), ("None", "q")]
 
 
+def test_frames_of_hashes_are_deleted_once_read(spark, docs):
+    folder = session.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = jaccard.similar_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    left = [spark.read.parquet(f"{folder}/{f}").columns for f in set(os.listdir(folder)) - before]
+    assert left and not [c for c in left if {"firsts", "hashes", "h"} & set(c)]
+    assert found.count() == len(docs)
+
+
 def test_component_names(spark):
     links = [(1, 2), (2, 3), (9, 8), (3, 7), (20, 20)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
