@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import CHUNK_BYTES, LOWER, byte_texts, chunks, running_hash, span_hashes
+from chronoloom.llm.common import CHUNK_BYTES, LOWER, byte_texts, chunks, release, running_hash, span_hashes
 from chronoloom.session import durable
 
 BUCKETS, DIMENSIONS, FILTERS = 1 << 16, 8, 12
@@ -336,6 +336,8 @@ def _epochs(known: DataFrame, net: Network, n: np.ndarray, shards: int) -> None:
         parts, squares = parts[: len(parts) // 2], parts[len(parts) // 2 :]
         net.table, (net.bias, net.out, net.shift), net.filters = parts[0], parts[-3:], parts[1:-3]
         sent.destroy()
+        # The sums of an epoch are as large as all its networks and stay on disk as long as Spark knows of a reader.
+        release(known.sparkSession)
 
 
 def _thresholds(kept: DataFrame, net: Network, exact: bool) -> np.ndarray:
@@ -379,6 +381,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: str) -> Network | float
     # Each task writes whole shards to a file of their own, so no epoch shuffles texts.  Of equal rows the first stays.
     rows = chosen.repartition(shards, "shard").groupBy("doc_id", "h", "toxic", "held", "shard").agg(F.min(F.struct("text", "lang")).alias("d"))
     chosen = durable(rows.select("doc_id", "h", "toxic", "held", "shard", "d.*").sortWithinPartitions("shard", "h", "doc_id", "toxic"))
+    del rows
+    release(docs.sparkSession)  # the shuffled texts, now that they are stored by shard
 
     counts = {(r.toxic, r.held): r["count"] for r in chosen.groupBy("toxic", "held").count().collect()}
     # Too few texts to keep some back are both learned from and judged.

@@ -48,3 +48,12 @@ def test_summits_do_not_depend_on_pieces(monkeypatch):
     monkeypatch.setattr(toxicity, "PIECE_WORDS", 7)
     for a, b in zip(whole, net.summits(words), strict=True):
         np.testing.assert_allclose(a, b, rtol=1e-5)
+
+
+def test_shuffle_files_are_released_after_every_epoch(spark, monkeypatch):
+    docs, labels = frames(spark, labelled())
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 16_000)
+    released = []
+    monkeypatch.setattr(toxicity, "release", lambda s, f=toxicity.release: (released.append(s), f(s)))
+    toxicity.train(docs, labels, "true")
+    assert len(released) == toxicity.EPOCHS + 1
