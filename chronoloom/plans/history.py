@@ -75,8 +75,13 @@ def by_date(listed: DataFrame) -> DataFrame:
 
 
 def without_deleted(runs: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Runs without a tombstone of the same user and run (L3)."""
-    return runs.join(tombstones, ["user_id", "run_id"], "left_anti")
+    """Runs without a tombstone of the same user and run (L3).
+
+    The user is held by bounds, not by an equality, so that runs are shuffled by ``run_id`` alone, as their rows are.
+    """
+    gone = tombstones.select(F.col("user_id").alias("_user"), F.col("run_id").alias("_run"))
+    same = (F.col("run_id") == F.col("_run")) & F.col("user_id").between(F.col("_user"), F.col("_user"))
+    return runs.join(gone, same, "left_anti").select("user_id", "run_id", *[c for c in runs.columns if c not in ("user_id", "run_id")])
 
 
 def without_users(runs: DataFrame, deleted_users: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.plans import history
@@ -19,6 +19,8 @@ from chronoloom.sources.versions import Versions
 from chronoloom.spec import PanelSpec, PanelValidationError
 
 BUCKETS = 64
+#: Forecast rows of one place that a task rewrites, about.
+PLACE_ROWS = 4_000_000
 HEADER_SCHEMA = (
     "run_id string, user_id bigint, timestamp string, model_used string, forecast_horizon int, dataset_name string, "
     "upload_date string, avg_aqi double, risk_level string, details string, inserted_seq bigint, batch_row bigint"
@@ -76,10 +78,16 @@ class RunView:
         """Headers of runs that were not deleted, in an inclusive range of dates."""
         found = self._placed("runs", HEADER_SCHEMA, user_id, start_date, end_date)
         found = history.filtered_runs(found, user_id, start_date, end_date, model_used)
-        left = history.without_deleted(found, self._read("gone", GONE_SCHEMA))
-        users = self._read("gone_users", GONE_USER_SCHEMA).groupBy("user_id").agg(F.max("before_seq").alias("before_seq"))
-        kept = left.join(users, "user_id", "left").filter("before_seq IS NULL OR inserted_seq > before_seq")
-        return kept.select(*left.columns)
+        # Without deletions there is nothing to meet, and runs stay where they were read.
+        tables = self.versions.manifest(self.version)
+        if tables.get("gone_users"):
+            users = self._read("gone_users", GONE_USER_SCHEMA).groupBy("user_id").agg(F.max("before_seq").alias("before_seq"))
+            kept = found.join(users, "user_id", "left").filter("before_seq IS NULL OR inserted_seq > before_seq")
+            found = kept.select(*found.columns)
+        # Last by run, which is how runs meet their rows next.
+        if tables.get("gone"):
+            found = history.without_deleted(found, self._read("gone", GONE_SCHEMA))
+        return found.select("user_id", "run_id", *[c for c in found.columns if c not in ("user_id", "run_id")])
 
     def forecast_rows(self, user_id: int | None = None, start_date: str | None = None, end_date: str | None = None, model_used: str | None = None) -> DataFrame:
         """Forecast rows of the same runs, with the model that made them and the horizon."""
@@ -165,11 +173,23 @@ class RunStore:
         settings = history.migrated_settings(base.settings()).withColumns(marks)
         staged = {
             "runs": self.versions.stage("runs", runs, **LAID_OUT),
-            "forecast_rows": self.versions.stage("forecast_rows", kept, **LAID_OUT),
+            "forecast_rows": self.versions.stage("forecast_rows", kept, PLACE[:1], dealt=True),
             "settings": self.versions.stage("settings", settings),
         }
         return self.versions.replace(staged, ("gone", "gone_users"), base.version)
 
     def _kept_rows(self, base: RunView) -> DataFrame:
+        """Forecast rows of the runs that are left, dealt and sorted by place.
+
+        Rows are shuffled once, by place: a run that is left is marked in every place where it has a header, and its rows
+        meet the mark there.  Where a place holds too many rows for a task, all are cut by run.
+        """
         rows = self.versions.read("forecast_rows", f"{row_schema(self.spec)}, {PLACE_SCHEMA}", base.version)
-        return rows.join(base.runs().select("run_id"), "run_id", "left_semi")
+        heads = self.versions.read("runs", f"{HEADER_SCHEMA}, {PLACE_SCHEMA}", base.version).select("run_id", *PLACE)
+        marks = heads.join(base.runs().select("run_id"), "run_id", "left_semi")
+        largest = rows.groupBy(*PLACE).count().agg(F.max("count")).first()[0] or 0
+        cut = F.pmod(F.xxhash64("run_id"), F.lit(max(1, -(-largest // PLACE_ROWS))))
+        both = rows.withColumn("_mark", F.lit(False)).unionByName(marks.withColumn("_mark", F.lit(True)), allowMissingColumns=True)
+        both = both.withColumn("_cut", cut).repartition(*PLACE, "_cut")
+        left = F.max("_mark").over(Window.partitionBy(*PLACE, "_cut", "run_id"))
+        return both.withColumn("_left", left).filter("_left AND NOT _mark").select(*rows.columns)

@@ -53,17 +53,17 @@ class Versions:
             return {}
         return {name: list(paths) for name, paths in self._first_manifest(version)["tables"].items()}
 
-    def stage(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = (), cluster_by: tuple[str, ...] = ()) -> str:
+    def stage(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = (), cluster_by: tuple[str, ...] = (), dealt: bool = False) -> str:
         """Write rows of a table; they are part of no version until a commit names the folder.
 
         Rows that agree in the columns given lie together, sorted by them: small groups share a task and a file, and a
-        group too large for a task is split.
+        group too large for a task is split.  ``dealt`` says that the rows lie so already.
         """
         path = f"{self.root}/{name}/commit={uuid.uuid4().hex}"
         together = [*partition_by, *cluster_by]
-        if together:
+        if together and not dealt:
             df = df.hint("rebalance", *together).sortWithinPartitions(*together)
-        df.write.partitionBy(*partition_by).parquet(path)
+        df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
         return path
 
     def commit(self, change: Callable[[Manifest], Manifest], base: int | None = None) -> int:

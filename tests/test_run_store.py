@@ -119,3 +119,50 @@ def test_writers_take_turns(spark, tmp_path):
         one.replace({}, ("t",), base=1)
     assert one.replace({}, ("t",), base=2) == 3 and one.read("t", "id long", 3).count() == 0
     assert one.read("t", "id long, later string", 1).columns == ["id", "later"]
+
+
+def exchanges(df):
+    """Shuffles of a plan by what they deal on, before anything runs."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in text.split("\n") if "Exchange hashpartitioning" in line]
+
+
+def test_compact_shuffles_rows_once(spark, store, monkeypatch):
+    """Rows meet the runs that are left by place: one shuffle, on the place, and none on the run."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store.delete_runs(spark.createDataFrame([(1, "a"), (1, "c")], "user_id bigint, run_id string"))
+        # The same id in another place: its rows belong to a run that is left, wherever they lie.
+        store.append(runs(spark, ("a", 3, "2026-07-01T00:00:00+00:00")), ahead(spark, "a"))
+        staged = []
+        stage = Versions.stage
+        monkeypatch.setattr(Versions, "stage", lambda self, name, df, *a, **k: (staged.append((name, df)), stage(self, name, df, *a, **k))[1])
+        before = ids(store.view().forecast_rows())
+        store.compact()
+        assert ids(store.view().forecast_rows()) == before == ["a"] * 6 + ["b"] * 3 + ["c"] * 3
+        kept = dict(staged)["forecast_rows"]
+        moved = [line for line in exchanges(kept) if "pm2_5_pred" in line or "month" in line]
+        assert len(moved) == 1 and "user_bucket" in moved[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_places_too_large_for_a_task(spark, store, monkeypatch):
+    monkeypatch.setattr("chronoloom.sources.runs.PLACE_ROWS", 2)
+    store.append(runs(spark, *[(f"n{i}", 1, "2026-01-09T00:00:00+00:00") for i in range(20)]), ahead(spark, *[f"n{i}" for i in range(20)]))
+    store.delete_runs(spark.createDataFrame([(1, f"n{i}") for i in range(0, 20, 2)], "user_id bigint, run_id string"))
+    before = ids(store.view().forecast_rows())
+    store.compact()
+    assert ids(store.view().forecast_rows()) == before and len(before) == 9 + 30
+
+
+def test_runs_are_shuffled_by_run_alone(spark, store):
+    store.delete_runs(spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "user_id bigint, run_id string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        view = store.view()
+        assert ids(view.runs()) == ["b", "c"]
+        dealt = [line.split("hashpartitioning(")[1].split(",")[0] for line in exchanges(view.runs())]
+        assert dealt and all(d.startswith(("run_id", "_run")) for d in dealt)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
