@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import CHUNK_BYTES, LOWER, byte_texts, chunks, release, running_hash, span_hashes
-from chronoloom.session import durable
+from chronoloom.session import discard, durable, shuffles_freed
 
 BUCKETS, DIMENSIONS, FILTERS = 1 << 16, 8, 12
 WIDTHS = (1, 2, 3)
@@ -288,7 +288,9 @@ def added_up(rows: DataFrame, one: Callable[[list[dict]], np.ndarray]) -> np.nda
         total = sum(np.frombuffer(x) for x in part["sums"].to_pylist())
         return pa.table([pa.array(part["block"].to_pylist()[:1], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "sums"])
 
-    told = rows.mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary").collect()
+    # The sums of an epoch are as large as all its networks.
+    with shuffles_freed(rows.sparkSession):
+        told = rows.mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary").collect()
     return np.concatenate([np.frombuffer(r.sums) for r in sorted(told, key=lambda r: r.block)])
 
 
@@ -336,7 +338,6 @@ def _epochs(known: DataFrame, net: Network, n: np.ndarray, shards: int) -> None:
         parts, squares = parts[: len(parts) // 2], parts[len(parts) // 2 :]
         net.table, (net.bias, net.out, net.shift), net.filters = parts[0], parts[-3:], parts[1:-3]
         sent.destroy()
-        # The sums of an epoch are as large as all its networks and stay on disk as long as Spark knows of a reader.
         release(known.sparkSession)
 
 
@@ -375,14 +376,16 @@ def train(docs: DataFrame, labels: DataFrame, learnable: str) -> Network | float
     if len(told) < 2:
         return 1.0 if [r.toxic for r in told] == [1] else 0.0
     shards = max(1, -(-sum(r.size for r in told) // SHARD_BYTES))
-    chosen = texts.join(labelled.drop("size"), ["doc_id", "h"])
+    # Stored before they are dealt to shards: the shuffle of all texts is gone when that of the chosen ones begins.
+    joined = durable(texts.join(labelled.drop("size"), ["doc_id", "h"]))
     turn = F.conv(F.substring(F.sha2("text", 256), 1, 8), 16, 10).cast("long")
-    chosen = chosen.withColumns({"held": turn % 5 == 0, "shard": F.pmod("h", F.lit(shards)).cast("int")})
+    chosen = joined.withColumns({"held": turn % 5 == 0, "shard": F.pmod("h", F.lit(shards)).cast("int")})
     # Each task writes whole shards to a file of their own, so no epoch shuffles texts.  Of equal rows the first stays.
     rows = chosen.repartition(shards, "shard").groupBy("doc_id", "h", "toxic", "held", "shard").agg(F.min(F.struct("text", "lang")).alias("d"))
     chosen = durable(rows.select("doc_id", "h", "toxic", "held", "shard", "d.*").sortWithinPartitions("shard", "h", "doc_id", "toxic"))
     del rows
-    release(docs.sparkSession)  # the shuffled texts, now that they are stored by shard
+    discard(joined)
+    release(docs.sparkSession)
 
     counts = {(r.toxic, r.held): r["count"] for r in chosen.groupBy("toxic", "held").count().collect()}
     # Too few texts to keep some back are both learned from and judged.

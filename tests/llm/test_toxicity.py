@@ -57,3 +57,27 @@ def test_shuffle_files_are_released_after_every_epoch(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "release", lambda s, f=toxicity.release: (released.append(s), f(s)))
     toxicity.train(docs, labels, "true")
     assert len(released) == toxicity.EPOCHS + 1
+
+
+def test_stored_frames_and_sums_leave_no_shuffle_files(spark):
+    """Without a garbage collector: the files are gone soon after the frame is written or the sums are made."""
+    import time
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from chronoloom.session import durable
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def left():
+        return {f for at in folders for f in Path(at).rglob("shuffle_*.data")}
+
+    before = left()
+    stored = durable(spark.range(5000).withColumn("shard", F.lit(0)).repartition(3, "id").groupBy("id", "shard").count())
+    toxicity.added_up(stored, lambda rows: np.ones(3))
+    for _ in range(50):
+        if left() <= before:
+            return
+        time.sleep(0.1)
+    assert not left() - before
