@@ -401,11 +401,12 @@ def _block_links(rows: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows, with all their columns, of the smallest id of each component; rows without id stay."""
-    found = similar_components(docs)
-    kept = durable(found.where("doc_id = component_id").select("doc_id"))
-    twice = not kept.groupBy("doc_id").count().where("count > 1").isEmpty()
-    rows = docs.join(kept.distinct(), "doc_id", "left_semi")
-    if twice:
+    found = similar_components(docs).where("doc_id IS NOT NULL")
+    # Most ids stay and have one row that is named by it: the few others are joined, so that they can be sent to the rows.
+    own = found.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("own"))
+    others = durable(own.where("own != 1"))
+    rows = docs.where("doc_id IS NOT NULL").join(others.where("own = 0").select("doc_id"), "doc_id", "left_anti")
+    if not others.where("own > 1").isEmpty():
         # Rows that share an id are one document: the one with the smallest text stays.
         columns = rows.columns
         packed = rows.select("doc_id", "text", F.struct(*columns).alias("row"))

@@ -216,3 +216,18 @@ def test_trie_links_equal_all_pairs():
         for i, j in jaccard.spanning_links(sets, list(range(40))):
             got.join(i, j)
         assert [want.root(i) for i in range(40)] == [got.root(i) for i in range(40)]
+
+
+def test_one_of_each_joins_the_few_ids_that_leave(spark):
+    rows = [(i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i}") for i in range(4000)]
+    rows += [(9000, rows[7][1]), (9001, rows[8][1]), (None, rows[9][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "6k")
+    try:
+        out = jaccard.one_of_each(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == list(range(4000))
+        assert out.where("doc_id IS NULL").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
