@@ -10,7 +10,11 @@
    do are already in its component.  Links are a spanning forest of the group's links: none between components is lost.
 4. Hashes whose sets are still in several components are open.  Partners share at least a known number of them, so sets
    with fewer leave, and each other set is searched under all but that number of its open hashes, the rarest first.
-   Sets that hang together by these hashes are one group, in which only sets that share one are compared.  Groups too large for one task are split into blocks, and blocks are compared pairwise.
+   Sets that hang together by these hashes are one group, in which only sets that share one are compared.
+
+Groups of many sets, mostly of texts with common lines, are cut into strips of similar sizes, and a set leaves a strip in
+which less than t of its hashes are met in other components: no partner is there.  Strips and groups too large for one
+task are split into blocks, and blocks are compared pairwise.
 
 A null or wordless text has an empty set and no link.  A row without id has no component.  Rows with one id are one
 node.  Repeated rows and equal texts are one class.  Only id and text are read.  Empty tables give empty results.
@@ -19,6 +23,7 @@ node.  Repeated rows and equal texts are one class.  Only id and text are read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -39,7 +44,17 @@ MARGIN = 0.08
 #: How often sets with too few open hashes are left out; the result does not depend on it.
 FILTER_ROUNDS = 1
 #: Hashes of all sets in one block of a group; a larger group is split.
-BLOCK_HASHES = 3_000_000
+BLOCK_HASHES = 1_000_000
+#: A group of more sets is cut into strips and sifted; the result does not depend on it.
+LARGE_GROUP = 200
+#: Each strip begins at so many times the size at which the one before begins; more than 5/4, so partners are in one strip or in neighbours.
+STRIP = 1.26
+#: Sets are searched together up to so many they ask for and so many bytes that mark their hashes, in steps of so many hashes.
+PROBE_ASKED, PROBE_BYTES, PROBE_STEPS = 1 << 16, 1 << 25, 1 << 21
+#: Sets of each component that are asked for before the others.
+FEW = 8
+#: Hashes in one batch on their way from sets to rows.
+BATCH_HASHES = 1 << 18
 
 
 def shingle_sets(texts: list[bytes], gram: int = GRAM) -> Iterator[np.ndarray]:
@@ -155,16 +170,18 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 class Search:
     """A finished trie as arrays: nodes level by level, so that children stand together, and members in depth-first order,
-    so that those of a subtree do."""
+    so that those of a subtree do.  Ranks from ``shared`` on are in one set only: no path keeps them, and no bound counts them."""
 
-    def __init__(self, trie: Trie, values: int) -> None:
+    def __init__(self, trie: Trie, shared: int, held: np.ndarray) -> None:
         nodes = [trie.top]
         for node in nodes:
             nodes += node.children.values()
         number = {id(node): k for k, node in enumerate(nodes)}
         self.child = np.cumsum([1] + [len(node.children) for node in nodes])
-        self.flat = np.concatenate([node.path for node in nodes])
-        self.path = np.cumsum([0] + [len(node.path) for node in nodes])
+        paths = [node.path[: np.searchsorted(node.path, shared)] for node in nodes]
+        self.flat = np.concatenate(paths)
+        self.path = np.cumsum([0] + [len(path) for path in paths])
+        self.tail = np.array([min(node.path[-1], shared - 1) if len(node.path) else -1 for node in nodes])
         self.low, self.high, self.depth = (np.array([getattr(node, f) for node in nodes]) for f in ("low", "high", "depth"))
         self.first, self.own, self.last = (np.zeros(len(nodes), np.int64) for _ in range(3))
         order: list[int] = []
@@ -181,44 +198,72 @@ class Search:
             stack.append((node, True))
             stack += [(c, False) for c in node.children.values()]
         self.members = np.array(order)
-        self.present = np.zeros(values, bool)
-
-    def similar(self, ranks: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        """Asked members (a mask) that are similar to a probe's sorted ranks; each level of the trie is one step."""
-        n, out = len(ranks), []
-        asked = asked[self.members]
-        before = np.concatenate([[0], np.cumsum(asked)])
-        self.present[ranks] = True
-        node, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.place = np.argsort(self.members)
+        self.shared = shared
+        # The most shared ranks of any set below.
+        kept = np.concatenate([held[self.members], [0]])
+        self.most = np.maximum.reduceat(kept, np.stack([self.first, self.last], 1).ravel())[::2]
+
+    def similar(self, probes: list[np.ndarray], asked: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Probes (by number) and those of their asked members that are similar to their sorted ranks.
+
+        All probes go down together; each level of the trie is one step.
+        """
+        count, shared = len(self.members), self.shared
+        n, held = np.array([len(p) for p in probes]), [p[: np.searchsorted(p, shared)] for p in probes]
+        start = np.cumsum([0] + [len(p) for p in held])
+        ranks = np.repeat(np.arange(len(probes)) * shared, np.diff(start)) + np.concatenate(held)
+        present = np.zeros(len(probes) * shared, bool)
+        present[ranks] = True
+        who = np.sort(np.concatenate([k * count + self.place[m] for k, m in enumerate(asked)]))
+        out = []
+        probe, node, overlap = np.arange(len(probes)), np.zeros(len(probes), np.int64), np.zeros(len(probes), np.int64)
         while len(node):
             # Lengths: a partner of n lies between t*n and n/t; and someone below must be asked for.
-            fits = (5 * self.high[node] >= 4 * n) & (4 * self.low[node] <= 5 * n) & (before[self.last[node]] > before[self.first[node]])
-            node, overlap = node[fits], overlap[fits]
-            begin, end = self.path[node], self.path[node + 1]
-            hits = np.concatenate([[0], np.cumsum(self.present[self.flat[_ranges(begin, end)]])])
-            stop = np.cumsum(end - begin)
-            overlap = overlap + hits[stop] - hits[stop - (end - begin)]
-            # What is left: of any set below at most high - depth, of the probe what ranks behind this path.
-            behind = np.where(end > begin, n - np.searchsorted(ranks, self.flat[end - 1], "right"), n)
-            most = overlap + np.minimum(self.high[node] - self.depth[node], behind)
-            fits = 9 * most >= 4 * (n + np.maximum(self.low[node], math.ceil(4 * n / 5)))
-            node, overlap = node[fits], overlap[fits]
-            full = node[9 * overlap >= 4 * (n + self.depth[node])]
-            at = _ranges(self.first[full], self.own[full])
-            out.append(self.members[at[asked[at]]])
+            fits = (5 * self.high[node] >= 4 * n[probe]) & (4 * self.low[node] <= 5 * n[probe])
+            probe, node, overlap = probe[fits], node[fits], overlap[fits]
+            some = np.searchsorted(who, probe * count + self.first[node])
+            fits = some < np.searchsorted(who, probe * count + self.last[node])
+            probe, node, overlap, some = probe[fits], node[fits], overlap[fits], some[fits]
+            overlap = overlap + self._met(present, probe * shared, node)
+            # What is left: of any set below what it shares behind depth at most, of the probe what ranks behind this path.
+            behind = start[probe + 1] - np.searchsorted(ranks, probe * shared + self.tail[node], "right")
+            most = overlap + np.minimum(np.maximum(self.most[node] - self.depth[node], 0), behind)
+            fits = 9 * most >= 4 * (n[probe] + np.maximum(self.low[node], (4 * n[probe] + 4) // 5))
+            probe, node, overlap, some = probe[fits], node[fits], overlap[fits], some[fits]
+            full = 9 * overlap >= 4 * (n[probe] + self.depth[node])
+            out.append(who[_ranges(some[full], np.searchsorted(who, probe[full] * count + self.own[node[full]]))])
             size = self.child[node + 1] - self.child[node]
-            node, overlap = _ranges(self.child[node], self.child[node + 1]), np.repeat(overlap, size)
-        self.present[ranks] = False
+            probe, node, overlap = np.repeat(probe, size), _ranges(self.child[node], self.child[node + 1]), np.repeat(overlap, size)
+        found = np.concatenate(out)
+        return found // count, self.members[found % count]
+
+    def _met(self, present: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """How many ranks of each node's path are present in the row that begins there."""
+        begin, size = self.path[node], self.path[node + 1] - self.path[node]
+        steps = np.cumsum(size)
+        cuts = np.searchsorted(steps, np.arange(PROBE_STEPS, steps[-1], PROBE_STEPS)) if len(node) else []
+        out = [np.zeros(0, np.int64)]
+        for a, b in itertools.pairwise(np.unique([0, *cuts, len(node)]).tolist()):
+            n = size[a:b]
+            at = _ranges(begin[a:b], begin[a:b] + n)
+            hits = np.concatenate([[0], np.cumsum(present[np.repeat(row[a:b], n) + self.flat[at]])])
+            stop = np.cumsum(n)
+            out.append(hits[stop] - hits[stop - n])
         return np.concatenate(out)
 
 
 def spanning_links(
-    sets: list[np.ndarray], component: list[int], keys: list[list[int]] | None = None, block: list[int] | None = None
+    sets: list[np.ndarray],
+    component: list[int],
+    keys: list[list[int]] | None = None,
+    block: list[int] | None = None,
+    guest: list[bool] | None = None,
 ) -> list[tuple[int, int]]:
     """Pairs of set numbers: a spanning forest of the links between given components.
 
-    Only sets that share one of their ``keys`` are compared (all, where these are not given), and with ``block`` (0 or 1)
-    only sets of different blocks.
+    Only sets that share one of their ``keys`` are compared (all, where these are not given), with ``block`` (0 or 1)
+    only sets of different blocks, and with ``guest`` no two guests.
     """
     every = np.concatenate(sets)
     values, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
@@ -229,35 +274,79 @@ def spanning_links(
     trie = Trie()
     for i, path in enumerate(paths):
         trie.add(path, i)
-    search = Search(trie, len(values))
+    shared = int((counts > 1).sum())
+    search = Search(trie, shared, np.array([np.searchsorted(path, shared) for path in paths]))
     size = np.array([len(p) for p in paths])
     label = np.unique(component, return_inverse=True)[1]
     side = np.array(block) if block else None
+    visits = np.array(guest) if guest else None
     listed: dict[int, list[int]] = {}
     for i, own in enumerate(keys or [[0]] * len(sets)):
         for k in own:
             listed.setdefault(k, []).append(i)
     members = {k: np.array(m) for k, m in listed.items() if len(m) > 1}
     out = []
+
+    def link(probes: list[int], asked: list[np.ndarray]) -> None:
+        k, found = search.similar([paths[i] for i in probes], asked)
+        one = np.unique(k * len(sets) + label[found], return_index=True)[1]
+        for i, j in zip(np.array(probes)[k[one]].tolist(), found[one].tolist(), strict=True):
+            if label[j] != label[i]:
+                out.append((j, i))
+                label[label == label[i]] = label[j]
+
+    def flush(probes: list[int], asked: list[np.ndarray]) -> None:
+        # A few of each component first: most copies are found there, and no more is asked about their component.
+        few = [_few(near, label[near]) if len(near) > 2 * FEW else near for near in asked]
+        many = [k for k, near in enumerate(asked) if 2 * len(few[k]) <= len(near)]
+        if many:
+            link([probes[k] for k in many], [few[k] for k in many])
+            asked = [near[label[near] != label[i]] for i, near in zip(probes, asked, strict=True)]
+            for k in many:
+                asked[k] = np.setdiff1d(asked[k], few[k], assume_unique=True)
+        rest = [k for k, near in enumerate(asked) if len(near)]
+        if rest:
+            link([probes[k] for k in rest], [asked[k] for k in rest])
+
+    probes: list[int] = []
+    asked: list[np.ndarray] = []
+    total = 0
     for i in range(len(sets)):
         lists = [m for m in (members.get(k) for k in (keys[i] if keys else [0])) if m is not None]
         if not lists:
             continue
-        near = np.unique(np.concatenate([m[: np.searchsorted(m, i)] for m in lists])) if len(lists) > 1 else lists[0][: np.searchsorted(lists[0], i)]
+        near = lists[0][: np.searchsorted(lists[0], i)]
+        if len(lists) > 1:
+            meets = np.zeros(i, bool)
+            for m in lists:
+                meets[m[: np.searchsorted(m, i)]] = True
+            near = np.flatnonzero(meets)
         near = near[(label[near] != label[i]) & (5 * size[near] >= 4 * size[i]) & (4 * size[near] <= 5 * size[i])]
         if side is not None:
             near = near[side[near] != side[i]]
+        if visits is not None and visits[i]:
+            near = near[~visits[near]]
         if not len(near):
             continue
-        asked = np.zeros(len(sets), bool)
-        asked[near] = True
-        for j in search.similar(paths[i], asked).tolist():
-            if label[j] != label[i]:
-                out.append((j, i))
-                label[label == label[i]] = label[j]
+        probes.append(i)
+        asked.append(near)
+        total += len(near)
+        if total > PROBE_ASKED or len(probes) * shared > PROBE_BYTES:
+            flush(probes, asked)
+            probes, asked, total = [], [], 0
+    if probes:
+        flush(probes, asked)
     return out
 
 
+def _few(near: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The first FEW sets of each label."""
+    order = np.argsort(label, kind="stable")
+    begins = np.flatnonzero(np.diff(label[order], prepend=-1))
+    place = np.arange(len(order)) - np.repeat(begins, np.diff(begins, append=len(order)))
+    return near[np.sort(order[place < FEW])]
+
+
 def stars(component: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """(smallest, other) of the components that pairs of set numbers join."""
     up: dict[int, int] = {}
@@ -275,16 +364,16 @@ def stars(component: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int,
 
 
 def trie_links(grouped: DataFrame, keys: list[str]) -> DataFrame:
-    """Links (a, b) of components within the groups of rows (hashes, component, side, and shared keys where not all meet)."""
+    """Links (a, b) of components within the groups of rows (hashes, component, side, guest, and shared keys where not all meet)."""
 
     def run(group: pa.Table) -> pa.Table:
         component = group.column("component").to_pylist()
         found = []
         if len(component) > 1:
             sets = [np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()]
-            sides = group.column("side").to_pylist()
+            sides, guests = group.column("side").to_pylist(), group.column("guest").to_pylist()
             shared = group.column("shared").to_pylist() if "shared" in group.column_names else None
-            found = stars(component, spanning_links(sets, component, shared, sides if any(sides) else None))
+            found = stars(component, spanning_links(sets, component, shared, sides if any(sides) else None, guests if any(guests) else None))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return grouped.groupBy(*keys).applyInArrow(run, "a long, b long")
@@ -310,7 +399,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     needs = classes.join(sized, ["set_key", "doc_id"]).groupBy("doc_id").agg(F.min("need").alias("need"))
     enough = met.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("g")).join(needs, "doc_id").where("n >= need")
     enough = enough.select("doc_id", "g", "need")
-    sets = durable(_owned(docs, enough))
+    sets = durable(_owned(docs, enough).withColumn("size", (F.octet_length("hashes") / 8).cast("long")))
     release(spark)
     every = met
     met = durable(every.join(sets.select("doc_id", "need").distinct(), "doc_id").select("doc_id", "need", "h"))
@@ -318,7 +407,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # First under one hash each: near copies mostly meet there, and the rest of the work knows their components.
     same_id = _links_of_ids(sized, classes)
-    known = components(_block_links(_labelled(sets.select("doc_id", "hashes", F.col("g").alias("group")), None)).unionByName(same_id))
+    known = components(_block_links(_labelled(sets.select("doc_id", "size", "hashes", F.col("g").alias("group")), None)).unionByName(same_id))
     release(spark)
 
     # Then under hashes whose sets are not all in one component, as far as a set has enough of these.
@@ -344,9 +433,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     clusters = components(members.select(F.col("doc_id").alias("a"), "b"))
     release(spark)
     once = members.groupBy("doc_id").agg(F.first("component").alias("component"), F.collect_set("h").alias("shared"))
-    once = once.join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "doc_id")
-    more = durable(_block_links(once.join(sets.select("doc_id", "hashes"), "doc_id")))
-    discard(sets, members, clusters)
+    once = durable(once.join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "doc_id"))
+    more = durable(_block_links(once.join(sets.select("doc_id", "size", "hashes"), "doc_id")))
+    discard(sets, members, clusters, once)
     release(spark)
     if not more.isEmpty():
         # Links now join components: a document takes what its component is called.
@@ -380,23 +469,67 @@ def _labelled(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     return joined.withColumn("component", F.coalesce("component", "doc_id"))
 
 
+def _sifted(rows: DataFrame) -> DataFrame:
+    """Sets (item) that can have a partner in their strip, of rows (group, strip, guest, item, component, size, hashes).
+
+    A partner holds 4/5 of a set's hashes at least, so as many must be met in other components of the group and strip.
+    Guests do not meet each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, item, component = (batch.column(k).to_numpy() for k in range(3))
+            guest = batch.column(3).to_numpy(zero_copy_only=False)
+            sets = [np.frombuffer(h, np.uint64) for h in batch.column(4).to_pylist()]
+            ends = np.cumsum([len(s) for s in sets])
+            begin = 0
+            while begin < len(sets):
+                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - len(sets[begin]) + BATCH_HASHES, "right")))
+                n = [len(s) for s in sets[begin:end]]
+                keys = mix(np.concatenate(sets[begin:end]) ^ np.repeat(place[begin:end].view(np.uint64), n))
+                columns = [keys.view(np.int64), np.repeat(item[begin:end], n), np.repeat(component[begin:end], n), np.repeat(guest[begin:end], n)]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["key", "item", "component", "guest"])
+                begin = end
+
+    # Where two keys or items fall together more is open, so that a set stays that could leave.
+    named = rows.select(F.xxhash64("group", "strip").alias("place"), "item", "component", "guest", "hashes")
+    flat = named.mapInArrow(run, "key long, item long, component long, guest boolean")
+    met = flat.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.every("guest").alias("guests"))
+    met = met.where("low != high AND NOT guests")
+    counted = flat.join(met.select("key"), "key").groupBy("item").agg(F.count("*").alias("n"))
+    return rows.select("group", "strip", "item", "size").join(counted, "item").where("5 * n >= 4 * size").drop("n")
+
+
 def _block_links(rows: DataFrame) -> DataFrame:
-    """Links of rows (doc_id, hashes, component, group and perhaps shared) within their groups.
+    """Links of rows (doc_id, size, hashes, component, group and perhaps shared) within their groups.
 
-    A group over BLOCK_HASHES is cut into blocks by document; each block is searched alone, and then each two blocks
-    against each other.
+    A group over LARGE_GROUP is cut into strips by size: a set belongs to one and is a guest in the next, where it meets
+    those that belong there.  A strip or smaller group over BLOCK_HASHES is cut into blocks by document; each block is
+    searched alone, and then each two blocks against each other.
     """
-    sizes = rows.groupBy("group").agg(F.sum(F.octet_length("hashes") / 8).alias("s"), F.count("*").alias("n")).where("n > 1")
-    cut = sizes.select("group", F.ceil(F.col("s") / BLOCK_HASHES).cast("int").alias("cuts"))
-    placed = rows.join(cut, "group").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
+    sizes = durable(rows.groupBy("group").agg(F.sum("size").alias("s"), F.count("*").alias("n")).where("n > 1"))
+    large = rows.join(sizes.where(F.col("n") > LARGE_GROUP).select("group"), "group")
+    strip = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(STRIP)).cast("int") + 1
+    large = large.withColumn("own", strip).withColumn("strip", F.explode(F.array("own", F.col("own") + 1)))
+    large = large.withColumn("guest", F.col("own") != F.col("strip")).withColumn("item", F.xxhash64("group", "strip", "doc_id", "size"))
+    left = durable(_sifted(large))
+    small = rows.join(sizes.where(F.col("n") <= LARGE_GROUP).select("group"), "group")
+    small = small.withColumn("strip", F.lit(0)).withColumn("guest", F.lit(False))
+    large = large.join(left.select("item").distinct(), "item", "left_semi").drop("own", "item")
+
+    parts = left.groupBy("group", "strip").agg(F.sum("size").alias("s"), F.count("*").alias("n")).where("n > 1")
+    parts = parts.unionByName(sizes.where(F.col("n") <= LARGE_GROUP).withColumn("strip", F.lit(0)))
+    cut = parts.select("group", "strip", F.ceil(F.col("s") / BLOCK_HASHES).cast("int").alias("cuts"))
+    placed = small.unionByName(large).join(cut, ["group", "strip"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
     # Block i meets every block j: key (min, max); within its own key it is searched alone.
-    others = F.when(F.col("cuts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1))
+    others = F.when(F.col("cuts") <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1))
     spread = placed.withColumn("other", F.explode(others)).select(
         *rows.columns,
+        "strip", "guest",
         F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
     )
-    return trie_links(spread, ["group", "i", "j"])
+    return trie_links(spread, ["group", "strip", "i", "j"])
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -80,6 +80,35 @@ def test_components_with_groups_cut_into_blocks(spark, tables, docs, monkeypatch
     assert {i: r.component_id for i, r in got.items()} == {i: c for i, (_, c) in brute.components(docs).items()}
 
 
+@pytest.mark.parametrize("block", [300, 1_000_000])
+def test_components_with_groups_cut_into_strips(spark, tables, docs, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "LARGE_GROUP", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_HASHES", block)
+    got = rows(queries.op5_ngram_jaccard_join(spark, tables))
+    assert {i: r.component_id for i, r in got.items()} == {i: c for i, (_, c) in brute.components(docs).items()}
+
+
+def test_sets_that_share_common_lines_only_are_not_searched(spark, monkeypatch):
+    rng = random.Random(5)
+    lines = [" ".join(f"{x}{i}" for i in range(14)) for x in "abcd"]
+    docs = []
+    for k in range(120):
+        own = " ".join(f"w{rng.randrange(10**9)}" for _ in range(12 + k % 30))
+        docs.append((k, "\n".join([*rng.sample(lines, 2), own])))
+    docs += [(200 + k, docs[k][1] + f" end{k}") for k in range(3)]
+    searched, links = [], jaccard.trie_links
+
+    def counted(grouped, keys):
+        searched.append(grouped.count())
+        return links(grouped, keys)
+
+    monkeypatch.setattr(jaccard, "trie_links", counted)
+    monkeypatch.setattr(jaccard, "LARGE_GROUP", 5, raising=False)
+    got = jaccard.similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in brute.components(docs).items()}
+    assert sum(searched) < 60
+
+
 def test_contamination(spark, tables, docs, items):
     got = rows(queries.op3_benchmark_decontamination(spark, tables))
     want = brute.contamination(docs, items)
@@ -218,6 +247,43 @@ def test_trie_links_equal_all_pairs():
         assert [want.root(i) for i in range(40)] == [got.root(i) for i in range(40)]
 
 
+def test_trie_links_without_pairs_of_guests_and_in_small_batches(monkeypatch):
+    monkeypatch.setattr(jaccard, "PROBE_ASKED", 20)
+    monkeypatch.setattr(jaccard, "PROBE_STEPS", 50)
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        pool = np.sort(rng.choice(400, 60, replace=False).astype(np.uint64))
+        sets = [np.sort(rng.permutation(pool)[: rng.integers(48, 60)]) for _ in range(50)]
+        guest, block = (rng.random(50) < 0.5).tolist(), rng.integers(0, 2, 50).tolist()
+        keys = [[int(h) for h in s[:4]] for s in sets]
+        want, got = Forest(50), Forest(50)
+        for i in range(50):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                meet = set(keys[i]) & set(keys[j]) and block[i] != block[j] and not (guest[i] and guest[j])
+                if meet and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                    want.join(i, j)
+        for i, j in jaccard.spanning_links(sets, list(range(50)), keys, block, guest):
+            got.join(i, j)
+        assert [want.root(i) for i in range(50)] == [got.root(i) for i in range(50)]
+
+
+def test_probes_go_down_the_trie_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    pool = np.sort(rng.choice(10**9, 300, replace=False).astype(np.uint64))
+    sets = [pool[rng.random(300) > 0.04] for _ in range(400)]
+    calls, ranges = [], jaccard._ranges
+
+    def counted(begin, end):
+        calls.append(len(begin))
+        return ranges(begin, end)
+
+    monkeypatch.setattr(jaccard, "_ranges", counted)
+    assert len(jaccard.spanning_links(sets, list(range(400)))) == 399
+    assert len(calls) < 20_000
+
+
 def test_one_of_each_joins_the_few_ids_that_leave(spark):
     rows = [(i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i}") for i in range(4000)]
     rows += [(9000, rows[7][1]), (9001, rows[8][1]), (None, rows[9][1])]
