@@ -12,9 +12,9 @@
    with fewer leave, and each other set is searched under all but that number of its open hashes, the rarest first.
    Sets that hang together by these hashes are one group, in which only sets that share one are compared.
 
-Groups of many sets, mostly of texts with common lines, are cut into strips of similar sizes, and a set leaves a strip in
-which less than t of its hashes are met in other components: no partner is there.  Strips and groups too large for one
-task are split into blocks, and blocks are compared pairwise.
+Groups of many sets, mostly of texts with common lines, are cut into strips of similar sizes.  Strips and groups too large
+for one task are split into blocks, and blocks are compared pairwise.  Before a trie is made, sets leave of which less than
+t of the hashes are met in other components there: they have no partner.
 
 A null or wordless text has an empty set and no link.  A row without id has no component.  Rows with one id are one
 node.  Repeated rows and equal texts are one class.  Only id and text are read.  Empty tables give empty results.
@@ -45,7 +45,7 @@ MARGIN = 0.08
 FILTER_ROUNDS = 1
 #: Hashes of all sets in one block of a group; a larger group is split.
 BLOCK_HASHES = 1_000_000
-#: A group of more sets is cut into strips and sifted; the result does not depend on it.
+#: A group of more sets is cut into strips; the result does not depend on it.
 LARGE_GROUP = 200
 #: Each strip begins at so many times the size at which the one before begins; more than 5/4, so partners are in one strip or in neighbours.
 STRIP = 1.26
@@ -53,8 +53,6 @@ STRIP = 1.26
 PROBE_ASKED, PROBE_BYTES, PROBE_STEPS = 1 << 16, 1 << 25, 1 << 21
 #: Sets of each component that are asked for before the others.
 FEW = 8
-#: Hashes in one batch on their way from sets to rows.
-BATCH_HASHES = 1 << 18
 
 
 def shingle_sets(texts: list[bytes], gram: int = GRAM) -> Iterator[np.ndarray]:
@@ -265,6 +263,17 @@ def spanning_links(
     Only sets that share one of their ``keys`` are compared (all, where these are not given), with ``block`` (0 or 1)
     only sets of different blocks, and with ``guest`` no two guests.
     """
+    stay = _sifted(sets, component, block, guest).tolist()
+    if len(stay) < 2:
+        return []
+    found = _forest(*([x[k] for k in stay] if x else None for x in (sets, component, keys, block, guest)))
+    return [(stay[j], stay[i]) for j, i in found]
+
+
+def _forest(
+    sets: list[np.ndarray], component: list[int], keys: list[list[int]] | None, block: list[int] | None, guest: list[bool] | None
+) -> list[tuple[int, int]]:
+    """The links of :func:`spanning_links`, through a trie of all sets."""
     every = np.concatenate(sets)
     values, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
     order = np.lexsort((values, -counts))
@@ -339,6 +348,37 @@ def spanning_links(
     return out
 
 
+def _sifted(sets: list[np.ndarray], component: list[int], block: list[int] | None, guest: list[bool] | None) -> np.ndarray:
+    """Numbers of the sets that can have a partner.
+
+    A partner holds 4/5 of a set's hashes at least, so as many must be met in other components, by sets that it may be
+    compared with.  What leaves takes its hashes along.
+    """
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    label = np.unique(component, return_inverse=True)[1]
+    kinds = [np.array(block) == 0, np.array(block) == 1] if block else []
+    kinds += [~np.array(guest)] if guest else []
+    left = len(sets)
+    while True:
+        low, high = np.full(len(values), len(sets)), np.full(len(values), -1)
+        np.minimum.at(low, inverse, label[owner])
+        np.maximum.at(high, inverse, label[owner])
+        met = low < high
+        for kind in kinds:
+            held = np.zeros(len(values), bool)
+            held[inverse[kind[owner]]] = True
+            met &= held
+        stays = 5 * np.bincount(owner[met[inverse]], minlength=len(sets)) >= 4 * size
+        before, left = left, int(stays.sum())
+        # The few that would still leave later cost less in the trie.
+        if 10 * (before - left) <= before:
+            return np.flatnonzero(stays)
+        keep = stays[owner]
+        owner, inverse = owner[keep], inverse[keep]
+
+
 def _few(near: np.ndarray, label: np.ndarray) -> np.ndarray:
     """The first FEW sets of each label."""
     order = np.argsort(label, kind="stable")
@@ -469,37 +509,6 @@ def _labelled(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     return joined.withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def _sifted(rows: DataFrame) -> DataFrame:
-    """Sets (item) that can have a partner in their strip, of rows (group, strip, guest, item, component, size, hashes).
-
-    A partner holds 4/5 of a set's hashes at least, so as many must be met in other components of the group and strip.
-    Guests do not meet each other.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place, item, component = (batch.column(k).to_numpy() for k in range(3))
-            guest = batch.column(3).to_numpy(zero_copy_only=False)
-            sets = [np.frombuffer(h, np.uint64) for h in batch.column(4).to_pylist()]
-            ends = np.cumsum([len(s) for s in sets])
-            begin = 0
-            while begin < len(sets):
-                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - len(sets[begin]) + BATCH_HASHES, "right")))
-                n = [len(s) for s in sets[begin:end]]
-                keys = mix(np.concatenate(sets[begin:end]) ^ np.repeat(place[begin:end].view(np.uint64), n))
-                columns = [keys.view(np.int64), np.repeat(item[begin:end], n), np.repeat(component[begin:end], n), np.repeat(guest[begin:end], n)]
-                yield pa.record_batch([pa.array(c) for c in columns], names=["key", "item", "component", "guest"])
-                begin = end
-
-    # Where two keys or items fall together more is open, so that a set stays that could leave.
-    named = rows.select(F.xxhash64("group", "strip").alias("place"), "item", "component", "guest", "hashes")
-    flat = named.mapInArrow(run, "key long, item long, component long, guest boolean")
-    met = flat.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.every("guest").alias("guests"))
-    met = met.where("low != high AND NOT guests")
-    counted = flat.join(met.select("key"), "key").groupBy("item").agg(F.count("*").alias("n"))
-    return rows.select("group", "strip", "item", "size").join(counted, "item").where("5 * n >= 4 * size").drop("n")
-
-
 def _block_links(rows: DataFrame) -> DataFrame:
     """Links of rows (doc_id, size, hashes, component, group and perhaps shared) within their groups.
 
@@ -507,20 +516,17 @@ def _block_links(rows: DataFrame) -> DataFrame:
     those that belong there.  A strip or smaller group over BLOCK_HASHES is cut into blocks by document; each block is
     searched alone, and then each two blocks against each other.
     """
-    sizes = durable(rows.groupBy("group").agg(F.sum("size").alias("s"), F.count("*").alias("n")).where("n > 1"))
-    large = rows.join(sizes.where(F.col("n") > LARGE_GROUP).select("group"), "group")
-    strip = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(STRIP)).cast("int") + 1
-    large = large.withColumn("own", strip).withColumn("strip", F.explode(F.array("own", F.col("own") + 1)))
-    large = large.withColumn("guest", F.col("own") != F.col("strip")).withColumn("item", F.xxhash64("group", "strip", "doc_id", "size"))
-    left = durable(_sifted(large))
-    small = rows.join(sizes.where(F.col("n") <= LARGE_GROUP).select("group"), "group")
-    small = small.withColumn("strip", F.lit(0)).withColumn("guest", F.lit(False))
-    large = large.join(left.select("item").distinct(), "item", "left_semi").drop("own", "item")
-
-    parts = left.groupBy("group", "strip").agg(F.sum("size").alias("s"), F.count("*").alias("n")).where("n > 1")
-    parts = parts.unionByName(sizes.where(F.col("n") <= LARGE_GROUP).withColumn("strip", F.lit(0)))
-    cut = parts.select("group", "strip", F.ceil(F.col("s") / BLOCK_HASHES).cast("int").alias("cuts"))
-    placed = small.unionByName(large).join(cut, ["group", "strip"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
+    sizes = durable(rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"))
+    few = rows.join(sizes.where(F.col("n") <= LARGE_GROUP).select("group"), "group")
+    few = few.withColumn("strip", F.lit(0)).withColumn("guest", F.lit(False))
+    many = rows.join(sizes.where(F.col("n") > LARGE_GROUP).select("group"), "group")
+    first = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(STRIP)).cast("int") + 1
+    many = many.withColumn("own", first).withColumn("strip", F.explode(F.array("own", F.col("own") + 1)))
+    many = many.withColumn("guest", F.col("own") != F.col("strip")).drop("own")
+    every = few.unionByName(many)
+    cut = every.groupBy("group", "strip").agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.every("guest").alias("guests"))
+    cut = cut.where("n > 1 AND NOT guests").select("group", "strip", F.ceil(F.col("s") / BLOCK_HASHES).cast("int").alias("cuts"))
+    placed = every.join(cut, ["group", "strip"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
     # Block i meets every block j: key (min, max); within its own key it is searched alone.
     others = F.when(F.col("cuts") <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1))
     spread = placed.withColumn("other", F.explode(others)).select(

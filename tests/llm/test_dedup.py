@@ -88,25 +88,23 @@ def test_components_with_groups_cut_into_strips(spark, tables, docs, monkeypatch
     assert {i: r.component_id for i, r in got.items()} == {i: c for i, (_, c) in brute.components(docs).items()}
 
 
-def test_sets_that_share_common_lines_only_are_not_searched(spark, monkeypatch):
-    rng = random.Random(5)
-    lines = [" ".join(f"{x}{i}" for i in range(14)) for x in "abcd"]
-    docs = []
+def test_sets_that_share_common_lines_only_are_not_searched(monkeypatch):
+    rng = np.random.default_rng(5)
+    lines = np.split(rng.choice(10**6, 40, replace=False).astype(np.uint64), 4)
+    sets = []
     for k in range(120):
-        own = " ".join(f"w{rng.randrange(10**9)}" for _ in range(12 + k % 30))
-        docs.append((k, "\n".join([*rng.sample(lines, 2), own])))
-    docs += [(200 + k, docs[k][1] + f" end{k}") for k in range(3)]
-    searched, links = [], jaccard.trie_links
-
-    def counted(grouped, keys):
-        searched.append(grouped.count())
-        return links(grouped, keys)
-
-    monkeypatch.setattr(jaccard, "trie_links", counted)
-    monkeypatch.setattr(jaccard, "LARGE_GROUP", 5, raising=False)
-    got = jaccard.similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in brute.components(docs).items()}
-    assert sum(searched) < 60
+        picked = [lines[x] for x in rng.permutation(4)[:2]]
+        sets.append(np.unique(np.concatenate([*picked, rng.integers(10**6, 10**9, 8 + k % 20).astype(np.uint64)])))
+    sets += [np.unique(np.append(sets[k], np.uint64(10**9 + k))) for k in range(3)]
+    added, add = [], jaccard.Trie.add
+
+    def counted(self, path, member):
+        added.append(member)
+        return add(self, path, member)
+
+    monkeypatch.setattr(jaccard.Trie, "add", counted)
+    assert sorted(jaccard.spanning_links(sets, list(range(123)))) == [(0, 120), (1, 121), (2, 122)]
+    assert len(added) < 20
 
 
 def test_contamination(spark, tables, docs, items):
